@@ -35,20 +35,54 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
+class Vocabulary(dict):
+    """Words as they stand in texts to rows of a table of hashes: the bare word and its first four and five letters. Each
+    Python worker has one; it starts anew once it holds `most` words, so its size has a bound."""
+
+    def __init__(self, most: int = 1 << 18):
+        super().__init__()
+        self.hashes, self.most = np.zeros((3, 1 << 10), np.uint64), most
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at == self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
+        bare = word.strip(_PUNCT)
+        if bare:
+            letters, crc = bare.decode("utf-8", "replace"), zlib.crc32
+            self.hashes[:, at] = crc(bare) + 1, *(crc(letters[:n].encode(), n) + 1 for n in (4, 5))
+        return at
+
+
+_vocabulary = Vocabulary()
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """By sorting in place; np.unique hashes, which is slower for some thousand numbers."""
+    x.sort()
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 def text_features(text: bytes | None, bits: int) -> np.ndarray:
     """The distinct slots of a text."""
-    w = [x for x in (y.strip(_PUNCT) for y in (text or b"").translate(_LOWER).split()) if x]
-    if not w:
+    known = _vocabulary
+    if len(known) > known.most:
+        known.clear()
+    raw = (text or b"").translate(_LOWER).split()
+    ids = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+    one = known.hashes[0][ids]
+    if not one.all():  # words of punctuation only
+        ids, one = ids[one > 0], one[one > 0]
+    if not len(ids):
         return np.zeros(0, np.int64)
-    crc = zlib.crc32
-    one = np.fromiter(map(crc, w), np.uint64, len(w))
-    distinct = set(w)
-    stems = np.fromiter((crc(x.decode("utf-8", "replace")[:n].encode(), n) for x in distinct for n in (4, 5)), np.uint64, 2 * len(distinct))
+    stems = known.hashes[1:, distinct(ids)].ravel()
     with np.errstate(over="ignore"):
         a, b = one * np.uint64(0x9E3779B97F4A7C15), one * np.uint64(0xC2B2AE3D27D4EB4F)
         near, skip = a[:-1] ^ (b[1:] >> np.uint64(1)), a[:-2] ^ (b[2:] << np.uint64(1))
         every = np.concatenate([a, stems * np.uint64(0xD6E8FEB86659FD93), near * np.uint64(0xBF58476D1CE4E5B9), skip * np.uint64(0x94D049BB133111EB)])
-    return np.unique(every >> np.uint64(64 - bits)).astype(np.int64)
+    return distinct((every >> np.uint64(64 - bits)).astype(np.int64))
 
 
 @dataclass(frozen=True)
@@ -71,7 +105,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5, epochs: int = 4, seed: int = 7) -> Model:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 0.5, epochs: int = 2, seed: int = 7) -> Model:
     """FTRL-proximal over rows of distinct slots; the intercept is a coordinate without L1."""
     n, z = np.zeros(1 << bits), np.zeros(1 << bits)
     n0 = z0 = 0.0
@@ -95,7 +129,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, alpha: float
     return Model(bits, slots, w[slots].astype(np.float32), -z0 / ((beta + math.sqrt(n0)) / alpha + l2) if len(rows) else -1e-9)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: F.Column | None = None, max_rows: int = 8000, bits: int = 20, epochs: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: F.Column | None = None, max_rows: int = 8000, bits: int = 20, epochs: int = 2) -> Model:
     """The model from at most max_rows labelled rows, at most half of them positive. held_out: a condition on the id (True:
     never used). The sample is the rows of smallest hash of the id, for each label on its own."""
     small_batches(docs.sparkSession)
