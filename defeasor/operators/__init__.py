@@ -1 +1 @@
-
+"""Relational, graph and analytical operators."""

@@ -1 +1 @@
-
+"""Readers, derived views and writers."""

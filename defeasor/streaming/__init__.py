@@ -1 +1 @@
-
+"""Evidence as a stream."""
