@@ -2,8 +2,8 @@
 
 Words are runs of digits, ASCII letters (lower-cased) and all non-ASCII characters. Each item gives its windows of
 ``window`` consecutive words (the whole item if it has fewer, nothing if it has none). The windows are the patterns of
-one automaton, padded with blanks so that they match at word borders only; a document is normalised to blank-joined
-words, scanned once, and every match is mapped to word numbers and to code points of the original text.
+one automaton over word numbers; a document is normalised to the numbers of its words (0 for words of no item), scanned
+once, and every match is a run of word numbers, which maps to code points of the original text.
 
 Edge cases: null and wordless texts have no words, no hits and are clean. Items that are null or wordless give no
 pattern. Equal windows of several items count for each of them. Rows that repeat are scanned and returned each for
@@ -11,14 +11,15 @@ itself. Empty tables give empty or clean results. Of the input only the named co
 have any names; ``decontaminate`` keeps all columns of the documents.
 
 Scale: the documents are scanned in place without a shuffle. The item texts go to every worker, so their size is
-checked first: blocks of at most ``block_bytes`` are built into one automaton each, and every text is scanned by each.
+checked first: blocks of at most ``block_bytes`` (and one item) are built into one automaton each, and every text is
+scanned by each. A worker holds two automata at most; with more blocks they take turns over rounds of texts.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -34,54 +35,87 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())]))
 
-_automata: dict[tuple, ahocorasick.Automaton] = {}
+#: Automata a Python worker holds at a time, and the bytes of texts that one of them scans before the next takes over.
+HELD, ROUND = 2, 8 << 20
+#: Word numbers become characters; the surrogates are left out.
+MOST_WORDS = 0x10FFFF - 0x800
 
+_automata: dict[tuple, Matcher] = {}
 
-def normal_words(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_NORMAL).split()
 
+def normal_words(text: bytes | str | None) -> list[bytes]:
+    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
+    return raw.translate(_NORMAL).split()
 
-def patterns(items: list[tuple[str, bytes]], window: int) -> dict[str, tuple[int, set[str]]]:
-    """Each padded window with its number of words and the items that have it."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = normal_words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            key = f" {b' '.join(part).decode('utf-8', 'replace')} "
-            found.setdefault(key, (len(part), set()))[1].add(item)
-    return found
 
+def _letter(number: int) -> str:
+    return chr(number + 1 if number + 1 < 0xD800 else number + 0x801)
 
-def automaton(items: tuple[tuple[str, bytes], ...], window: int) -> ahocorasick.Automaton:
-    """Built once in each Python worker."""
+
+@dataclass(frozen=True)
+class Matcher:
+    """An automaton over word numbers: each distinct item word is one character, so a place in the scanned string is the
+    number of a word, and windows of ten words are ten nodes deep whatever the words' lengths."""
+
+    vocabulary: dict[bytes, str]
+    automaton: ahocorasick.Automaton
+
+    def scan(self, w: list[bytes]) -> list[tuple[tuple[str, ...], int, int]]:
+        """(items, first word, last word) of every occurrence, in order of its end."""
+        if not len(self.automaton) or not w:
+            return []
+        known = self.vocabulary.get
+        return [(ids, end - n + 1, end) for end, (n, ids) in self.automaton.iter("".join([known(x, "\0") for x in w]))]
+
+
+def matcher(items: tuple[tuple[str, bytes], ...], window: int) -> Matcher:
+    """Built once in each Python worker, as long as it is among the last HELD ones."""
     key = (hash(items), len(items), window)
     if key not in _automata:
+        vocabulary: dict[bytes, str] = {}
+        found: dict[str, tuple[int, set[str]]] = {}
+        for item, text in items:
+            coded = "".join([vocabulary.setdefault(x, _letter(len(vocabulary))) for x in normal_words(text)])
+            for i in range(max(1, len(coded) - window + 1) if coded else 0):
+                part = coded[i : i + window]
+                found.setdefault(part, (len(part), set()))[1].add(item)
         a = ahocorasick.Automaton()
-        for text, (n, ids) in patterns(list(items), window).items():
-            a.add_word(text, (n, tuple(sorted(ids))))
+        for part, (n, ids) in found.items():
+            a.add_word(part, (n, tuple(sorted(ids))))
         if len(a):
             a.make_automaton()
-        while len(_automata) >= 4:
+        while len(_automata) >= HELD:
             _automata.pop(next(iter(_automata)))
-        _automata[key] = a
+        _automata[key] = Matcher(vocabulary, a)
     return _automata[key]
 
 
-def scan(a: ahocorasick.Automaton, w: list[bytes]) -> list[tuple[tuple[str, ...], int, int]]:
-    """(items, first word, last word) of every occurrence, in order of its end."""
-    if not len(a) or not w:
-        return []
-    text = f" {b' '.join(w).decode('utf-8', 'replace')} "
-    found = list(a.iter(text))
-    if not found:
-        return []
-    blanks = [i for i, c in enumerate(text) if c == " "]  # word k ends before blank k + 1
-    out = []
-    for end, (n, ids) in found:
-        last = bisect.bisect_left(blanks, end) - 1
-        out.append((ids, last - n + 1, last))
-    return out
+def rounds(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about `most` bytes."""
+    now, size = [], 0
+    for batch in batches:
+        now.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
+def scanned(batches: Iterator[pa.RecordBatch], at: int, sent: list, window: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[list]]]:
+    """Each batch with, for each text in column `at`, its number of words and all occurrences. If there are more blocks
+    than a worker holds automata, each takes its turn over a round of batches."""
+    for some in rounds(batches, ROUND if len(sent) > HELD else 0):
+        sizes, found = [[0] * len(b) for b in some], [[[] for _ in range(len(b))] for b in some]
+        for block in sent:
+            m = matcher(block.value, window)
+            for batch, n, f in zip(some, sizes, found):
+                for row, text in enumerate(batch.column(at).to_pylist()):
+                    w = normal_words(text)
+                    n[row] = len(w)
+                    f[row] += m.scan(w)
+        yield from zip(some, sizes, found)
 
 
 def union_length(spans: list[tuple[int, int]]) -> int:
@@ -99,13 +133,13 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
     for i, t in rows.toLocalIterator():
         now.append((i if i is not None else "", bytes(t)))
         size += len(t)
-        if size > block_bytes:
+        if size > min(block_bytes, MOST_WORDS):
             out.append(tuple(now))
             now, size = [], 0
     return [*out, tuple(now)] if now or not out else out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """Per document: id, n_words, n_hit, items (sorted distinct item ids as strings) and spans.
 
     spans: array of (item_id, start, end) in code points of the original text, end exclusive, one for each run of words
@@ -119,12 +153,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                w = normal_words(text)
-                found = [x for b in sent for x in scan(automaton(b.value, window), w)]
-                n_words.append(len(w))
+        for batch, counts, every in scanned(batches, 1, sent, window):
+            n_hit, items, spans = [], [], []
+            for text, found in zip(batch.column(1).to_pylist(), every):
                 n_hit.append(union_length([x[1:] for x in found]))
                 by_item: dict[str, list[tuple[int, int]]] = {}
                 for ids, a, b in found:
@@ -137,12 +168,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                 items.append(sorted(by_item))
                 at = [m.span() for m in _WORD.finditer(text.decode("utf-8", "replace"))] if found else []
                 spans.append([{"item_id": i, "start": at[a][0], "end": at[b][1]} for i in sorted(by_item) for a, b in by_item[i]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)], names=out.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)], names=out.names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text")).mapInArrow(run, out)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,8 +181,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [not any(scan(automaton(b.value, window), normal_words((text or "").encode("utf-8", "replace"))) for b in sent) for text in batch.column(at).to_pylist()]
+        for batch, _, every in scanned(batches, at, sent, window):
+            clean = [not found for found in every]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
