@@ -10,14 +10,15 @@ A text is split at \n; a line's key is the line stripped of white space and lowe
 2. Texts are read again: only lines that the second filter suspects of repeating leave their task, as 128-bit digests
    with document counts, pre-aggregated, and are counted exactly. False positives of the filter drop out here; a
    repeated line always passes both filters.
-3. Texts are read a third time and lose the lines of confirmed keys. Confirmed digests are broadcast in blocks of at
-   most ``block_keys``; more blocks mean more passes within the same scan.
+3. Texts are read a third time and lose the lines of confirmed keys. The confirmed digests are counted first: up to
+   ``block_keys`` of them are broadcast. Beyond that nothing is: each text's suspected digests are joined with the
+   confirmed ones and come back to the text as an array, by the hash of the text.
 
 Edge cases: null and empty texts are one empty line, which is never dropped (unless min_chars is 0); a key repeated
 within a document counts once for it; rows are documents, whatever their id. Empty tables give empty results. Only the
 named columns are read; ``drop_repeated_lines`` keeps all columns.
 
-Scale: no text is shuffled. If lines outgrow the filters, more of them are suspected and shuffled as digests; the
+Scale: no text is shuffled while the confirmed digests fit a broadcast, else once. If lines outgrow the filters, more of them are suspected and shuffled as digests; the
 result stays exact.
 """
 
@@ -25,11 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,9 +62,10 @@ def _segment(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(58)).astype(np.int64)
 
 
-def seen_twice(hashes: np.ndarray, filters: list[bytes | None], bits: int) -> np.ndarray:
+def seen_twice(hashes: np.ndarray, filters: list[bytes | None]) -> np.ndarray:
     """Whether each hash may have been seen twice."""
     out, at = np.zeros(len(hashes), bool), _segment(hashes)
+    bits = 8 * max((len(f) for f in filters if f is not None), default=0)
     for s in np.unique(at).tolist():
         if filters[s] is not None:
             mine = np.flatnonzero(at == s)
@@ -111,13 +114,11 @@ def twice_filters(docs: DataFrame, text_col: str = "text", min_chars: int = 1, b
     return out
 
 
-def repeated_keys(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, bits: int = 1 << 21) -> DataFrame:
+def repeated_keys(docs: DataFrame, filters: Broadcast, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """key (128-bit digest) and n_docs of every key in at least min_docs documents, confirmed exactly. Written once."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     if min_docs < 2:
         raise ValueError("a repeated line is in at least two documents")
-    filters = spark.sparkContext.broadcast(twice_filters(docs, text_col, min_chars, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = filters.value
@@ -126,7 +127,7 @@ def repeated_keys(docs: DataFrame, text_col: str = "text", min_docs: int = 10, m
             for text in batch.column(0).to_pylist():
                 seen.update({k for k in line_keys(text) if long_enough(k, min_chars)})
             keys = list(seen)
-            may = seen_twice(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), held, bits)
+            may = seen_twice(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), held)
             keys = [keys[i] for i in np.flatnonzero(may).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(k) for k in keys], pa.binary()), pa.array([seen[k] for k in keys], pa.int64())], names=["key", "n"])
 
@@ -134,81 +135,96 @@ def repeated_keys(docs: DataFrame, text_col: str = "text", min_docs: int = 10, m
     return stash(counted.where(F.col("n_docs") >= min_docs), "lines")
 
 
-def _key_blocks(keys: DataFrame, block_keys: int) -> list:
-    """Broadcast frozen sets of digests, each of at most block_keys."""
-    spark, out, now = keys.sparkSession, [], set()
-    for (k,) in keys.select("key").toLocalIterator():
-        now.add(bytes(k))
-        if len(now) >= block_keys:
-            out.append(spark.sparkContext.broadcast(frozenset(now)))
-            now = set()
-    return [*out, spark.sparkContext.broadcast(frozenset(now))]
-
-
-def _cut(text: bytes | None, blocks: list[frozenset], min_chars: int) -> tuple[int, list[bytes]]:
-    """The number of lines and the lines that stay."""
-    lines = (text or b"").split(b"\n")
-    stay = []
-    for line, key in zip(lines, line_keys(text)):
-        d = xxhash.xxh3_128_digest(key)
-        if not (long_enough(key, min_chars) and any(d in b for b in blocks)):
+def _digests(text: bytes | None, min_chars: int) -> list[bytes | None]:
+    """The digest of each line's key; None for keys that are too short."""
+    return [xxhash.xxh3_128_digest(k) if long_enough(k, min_chars) else None for k in line_keys(text)]
+
+
+def _cut(text: bytes | None, gone: Container[bytes], own: Iterable[bytes], min_chars: int) -> tuple[int, list[bytes]]:
+    """The number of lines and the lines that stay; the first line of each key in own stays, too."""
+    lines, mine, stay = (text or b"").split(b"\n"), set(own), []
+    for line, d in zip(lines, _digests(text, min_chars)):
+        if d in mine or d not in gone:
+            mine.discard(d)
             stay.append(line)
     return len(lines), stay
 
 
+class Confirmed:
+    """The confirmed keys: broadcast if there are at most block_keys of them, else at hand by joins only."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, bits: int, block_keys: int):
+        self.docs, self.text_col, self.min_chars = docs, text_col, min_chars
+        self.filters = docs.sparkSession.sparkContext.broadcast(twice_filters(docs, text_col, min_chars, bits))
+        self.keys = repeated_keys(docs, self.filters, text_col, min_docs, min_chars)
+        self.rank = F.when(F.col(id_col).isNull(), "~").otherwise(F.lpad(F.col(id_col).cast("string"), 24, "0"))
+        self.small = self.keys.count() <= block_keys
+        held = frozenset(bytes(k) for (k,) in self.keys.select("key").toLocalIterator()) if self.small else frozenset()
+        self.held = docs.sparkSession.sparkContext.broadcast(held)
+
+    def occurrences(self) -> DataFrame:
+        """(key, i, h): confirmed keys of each document, by the rank of its id and the hash of its text."""
+        filters, held, small, least = self.filters, self.held, self.small, self.min_chars
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, ids, hashes = [], [], []
+                for i, h, t in zip(*(c.to_pylist() for c in batch.columns)):
+                    mine = [k for k in set(line_keys(t)) if long_enough(k, least)]
+                    if not small:
+                        may = seen_twice(np.array([xxhash.xxh64_intdigest(k) for k in mine], np.uint64), filters.value)
+                        mine = [mine[j] for j in np.flatnonzero(may).tolist()]
+                    found = [d for d in map(xxhash.xxh3_128_digest, mine) if not small or d in held.value]
+                    keys += found
+                    ids += [i] * len(found)
+                    hashes += [h] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.string()), pa.array(hashes, pa.int64())], names=["key", "i", "h"])
+
+        marks = self.docs.select(self.rank, F.xxhash64(self.text_col), F.col(self.text_col).cast("string").cast("binary"))
+        found = marks.mapInArrow(run, "key binary, i string, h long")
+        return found if small else found.join(self.keys.select("key"), "key")
+
+    def marked(self, keep_first: bool = False) -> DataFrame:
+        """The documents with __gone, the keys their lines lose (null if the broadcast has them), and __own, the keys
+        whose first line they keep. What a text loses depends on the text only, so its hash finds it."""
+        none = F.lit(None).cast("array<binary>")
+        rows = self.docs.withColumns({"__i": self.rank, "__h": F.xxhash64(self.text_col), "__own": none, "__gone": none})
+        if not self.small:
+            gone = self.occurrences().select("h", "key").distinct().groupBy(F.col("h").alias("__h")).agg(F.collect_list("key").alias("__gone"))  # as many as a text has lines
+            rows = rows.drop("__gone").join(gone, "__h", "left")
+        if keep_first:
+            first = self.occurrences().groupBy("key").agg(F.min(F.struct("i", "h")).alias("o"))
+            own = first.groupBy(F.col("o.i").alias("__i"), F.col("o.h").alias("__h")).agg(F.collect_list("key").alias("__own"))
+            rows = rows.drop("__own").join(own, ["__i", "__h"], "left")
+        return rows
+
+
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, bits: int = 1 << 21, block_keys: int = 1 << 20) -> DataFrame:
     """Per row: id, n_lines, n_dropped and kept_sha256 (of the lines that stay, joined by \\n)."""
-    sent = _key_blocks(repeated_keys(docs, text_col, min_docs, min_chars, bits), block_keys)
+    c = Confirmed(docs.select(id_col, text_col), id_col, text_col, min_docs, min_chars, bits, block_keys)
+    held, small, least = c.held, c.small, c.min_chars
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.value for b in sent]
         for batch in batches:
-            found = [_cut(t, held, min_chars) for t in batch.column(1).to_pylist()]
+            listed = [None] * len(batch) if small else batch.column(2).to_pylist()
+            found = [_cut(t, held.value if small else set(g or ()), (), least) for t, g in zip(batch.column(1).to_pylist(), listed)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([n - len(s) for n, s in found], pa.int64()), pa.array([hashlib.sha256(b"\n".join(s)).hexdigest() for _, s in found], pa.string())], names=out.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text")).mapInArrow(run, out)
+    rows = c.docs if small else c.marked()
+    return rows.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text"), *([] if small else ["__gone"])).mapInArrow(run, out)
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits: int = 1 << 21, block_keys: int = 1 << 20) -> DataFrame:
     """docs with the repeated lines cut out of the text (null stays null). keep_first: the row with the smallest
     (id, hash of the text) that has a key keeps the key's first line."""
-    small_batches(docs.sparkSession)
-    keys = repeated_keys(docs, text_col, min_docs, min_chars, bits)
-    sent = _key_blocks(keys, block_keys)
-    if not keep_first:
-        cut: Callable = lambda t: None if t is None else b"\n".join(_cut(t, [b.value for b in sent], min_chars)[1]).decode("utf-8", "replace")
-        firsts = None
-    else:
-        def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b.value for b in sent]
-            for batch in batches:
-                least: dict[bytes, tuple[str, int]] = {}
-                for i, h, t in zip(*(c.to_pylist() for c in batch.columns)):
-                    for k in {xxhash.xxh3_128_digest(k) for k in line_keys(t) if long_enough(k, min_chars)}:
-                        if any(k in b for b in held) and (k not in least or (i, h) < least[k]):
-                            least[k] = (i, h)
-                yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.binary()), pa.array([v[0] for v in least.values()], pa.string()), pa.array([v[1] for v in least.values()], pa.int64())], names=["key", "i", "h"])
-
-        rank = F.when(F.col(id_col).isNull(), "~").otherwise(F.lpad(F.col(id_col).cast("string"), 24, "0"))
-        marks = docs.select(rank.alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").cast("binary").alias("t"))
-        best = marks.mapInArrow(owned, "key binary, i string, h long").groupBy("key").agg(F.min(F.struct("i", "h")).alias("o"))
-        firsts = best.groupBy("o.i", "o.h").agg(F.collect_list("key").alias("__own"))
-        cut = lambda t: t
-    if firsts is None:
-        return docs.withColumn(text_col, F.udf(cut, "string", useArrow=True)(F.col(text_col).cast("string").cast("binary")))
-
-    def spare(t: bytes | None, own: list[bytes] | None) -> str | None:
+    c = Confirmed(docs, id_col, text_col, min_docs, min_chars, bits, block_keys)
+    held, small, least = c.held, c.small, c.min_chars
+
+    def cut(t: bytes | None, gone: list[bytes] | None, own: list[bytes] | None) -> str | None:
         if t is None:
             return None
-        held, mine, stay = [b.value for b in sent], set(map(bytes, own or [])), []
-        for line, key in zip(t.split(b"\n"), line_keys(t)):
-            d = xxhash.xxh3_128_digest(key)
-            if d in mine or not (long_enough(key, min_chars) and any(d in b for b in held)):
-                mine.discard(d)
-                stay.append(line)
-        return b"\n".join(stay).decode("utf-8", "replace")
-
-    rows = docs.withColumns({"__i": rank, "__h": F.xxhash64(text_col)})
-    joined = rows.join(firsts.withColumnsRenamed({"i": "__i", "h": "__h"}), ["__i", "__h"], "left")
-    return joined.withColumn(text_col, F.udf(spare, "string", useArrow=True)(F.col(text_col).cast("string").cast("binary"), "__own")).select(*docs.columns)
+        return b"\n".join(_cut(t, held.value if small else set(map(bytes, gone or ())), map(bytes, own or ()), least)[1]).decode("utf-8", "replace")
+
+    text = F.udf(cut, "string", useArrow=True)(F.col(text_col).cast("string").cast("binary"), "__gone", "__own")
+    return c.marked(keep_first).withColumn(text_col, text).select(*docs.columns)

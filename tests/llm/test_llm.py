@@ -252,8 +252,12 @@ def test_line_dedup(docs):
     cut = line_dedup.drop_repeated_lines(docs)
     assert cut.columns == docs.columns
     same([(r["doc_id"], r["text"]) for r in cut.collect()], [(i, None if t is None else s) for (i, t), (_, _, s) in zip(rows, expected)])
-    first = [r["text"] for r in line_dedup.drop_repeated_lines(docs, keep_first=True).collect()]
-    assert sum(lower(x.strip()) == "the same line" for t in first for x in (t or "").split("\n")) == 1
+    joined = line_dedup.drop_repeated_lines(docs, block_keys=0)  # by joins instead of the broadcast
+    assert joined.columns == docs.columns
+    same([(r["doc_id"], r["text"]) for r in joined.collect()], [(r["doc_id"], r["text"]) for r in cut.collect()])
+    for most in (1 << 20, 0):
+        first = [r["text"] for r in line_dedup.drop_repeated_lines(docs, keep_first=True, block_keys=most).collect()]
+        assert sum(lower(x.strip()) == "the same line" for t in first for x in (t or "").split("\n")) == 1
     assert line_dedup.line_report(docs.limit(0)).isEmpty()
 
 
