@@ -11,7 +11,7 @@ Training uses a sample of labelled rows of documented size (``max_rows``, at mos
 of the id); features are hashed on the executors and only slot numbers come to the driver. Scoring covers whole texts.
 
 Edge cases: null and empty texts have no features and get the intercept's score. Labels other than 0 and 1 and null
-labels are not used; without any label the model is zero and scores everything 0.5 below the threshold's margin (see
+labels are not used; of several rows with one id one is used; without any label the model is zero and scores everything 0.5 below the threshold's margin (see
 ``Model.score``). Repeated rows are scored alike. Empty tables give empty results. Labels, language, source and id are
 never inputs of a score. Only the named columns are read; ``drop_toxic`` keeps all columns.
 """
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "y", "x"])
 
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    got = sorted(picked.select("__id", "__y", "__text").mapInArrow(run, out).toLocalIterator(), key=lambda r: (str(r[0]), bytes(r[2])))[: 2 * max_rows]
+    one = picked.select("__id", "__y", "__text").mapInArrow(run, out).groupBy("id", "y").agg(F.min("x").alias("x"))  # one row of each id: max_rows at most
+    got = sorted(one.toLocalIterator(), key=lambda r: (str(r[0]), bytes(r[2])))
     return ftrl([np.frombuffer(bytes(r[2]), np.int32) for r in got], np.array([r[1] for r in got], float), bits=bits, epochs=epochs)
 
 
