@@ -17,6 +17,7 @@ scanned by each. A worker holds two automata at most; with more blocks they take
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +38,8 @@ HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.Str
 
 #: Automata a Python worker holds at a time, and the bytes of texts that one of them scans before the next takes over.
 HELD, ROUND = 2, 8 << 20
-#: Word numbers become characters; the surrogates are left out.
-MOST_WORDS = 0x10FFFF - 0x800
+#: Word numbers are written in this base: the automaton searches a node's children one by one, so they should be few.
+BASE = 64
 
 _automata: dict[tuple, Matcher] = {}
 
@@ -48,37 +49,41 @@ def normal_words(text: bytes | str | None) -> list[bytes]:
     return raw.translate(_NORMAL).split()
 
 
-def _letter(number: int) -> str:
-    return chr(number + 1 if number + 1 < 0xD800 else number + 0x801)
-
-
 @dataclass(frozen=True)
 class Matcher:
-    """An automaton over word numbers: each distinct item word is one character, so a place in the scanned string is the
-    number of a word, and windows of ten words are ten nodes deep whatever the words' lengths."""
+    """An automaton over word numbers: each distinct item word is a number of `digits` letters, so windows of ten words
+    are a few dozen nodes deep whatever the words' lengths, and a match that ends at a whole word is a match of words."""
 
     vocabulary: dict[bytes, str]
+    digits: int
     automaton: ahocorasick.Automaton
 
     def scan(self, w: list[bytes]) -> list[tuple[tuple[str, ...], int, int]]:
         """(items, first word, last word) of every occurrence, in order of its end."""
         if not len(self.automaton) or not w:
             return []
-        known = self.vocabulary.get
-        return [(ids, end - n + 1, end) for end, (n, ids) in self.automaton.iter("".join([known(x, "\0") for x in w]))]
+        k, coded = self.digits, "".join(map(self.vocabulary.get, w, itertools.repeat("\0" * self.digits)))
+        return [(ids, end // k - n + 1, end // k) for end, (n, ids) in self.automaton.iter(coded) if end % k == k - 1]
 
 
 def matcher(items: tuple[tuple[str, bytes], ...], window: int) -> Matcher:
     """Built once in each Python worker, as long as it is among the last HELD ones."""
     key = (hash(items), len(items), window)
     if key not in _automata:
-        vocabulary: dict[bytes, str] = {}
+        numbers: dict[bytes, int] = {}
+        for _, text in items:
+            for x in normal_words(text):
+                numbers.setdefault(x, len(numbers))
+        digits = 1
+        while BASE**digits < len(numbers):
+            digits += 1
+        vocabulary = {x: "".join([chr(1 + n // BASE**i % BASE) for i in range(digits)]) for x, n in numbers.items()}
         found: dict[str, tuple[int, set[str]]] = {}
         for item, text in items:
-            coded = "".join([vocabulary.setdefault(x, _letter(len(vocabulary))) for x in normal_words(text)])
-            for i in range(max(1, len(coded) - window + 1) if coded else 0):
-                part = coded[i : i + window]
-                found.setdefault(part, (len(part), set()))[1].add(item)
+            w = [vocabulary[x] for x in normal_words(text)]
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                part = w[i : i + window]
+                found.setdefault("".join(part), (len(part), set()))[1].add(item)
         a = ahocorasick.Automaton()
         for part, (n, ids) in found.items():
             a.add_word(part, (n, tuple(sorted(ids))))
@@ -86,7 +91,7 @@ def matcher(items: tuple[tuple[str, bytes], ...], window: int) -> Matcher:
             a.make_automaton()
         while len(_automata) >= HELD:
             _automata.pop(next(iter(_automata)))
-        _automata[key] = Matcher(vocabulary, a)
+        _automata[key] = Matcher(vocabulary, digits, a)
     return _automata[key]
 
 
@@ -133,7 +138,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
     for i, t in rows.toLocalIterator():
         now.append((i if i is not None else "", bytes(t)))
         size += len(t)
-        if size > min(block_bytes, MOST_WORDS):
+        if size > block_bytes:
             out.append(tuple(now))
             now, size = [], 0
     return [*out, tuple(now)] if now or not out else out
