@@ -74,7 +74,7 @@ from ..functions.phrases import PLURAL_VERBS, QUESTIONS, VERBS  # noqa: E402
 
 PRED = """pr AS (SELECT p_partkey, p_brand AS subject, ['is', 'has', 'can', 'serves as', 'appears', 'produces', 'tastes or smells', 'displays', 'thrives', 'are', 'have', 'utilizes'][p_partkey % 12 + 1] || ' ' || p_name AS predicate FROM part)"""
 ASK = "CASE " + " ".join(f"WHEN starts_with(predicate, '{p}') THEN '{a}' || subject || '{m}' || substr(predicate, {len(p) + 1}) || '?'" for p, a, m in QUESTIONS) + " ELSE 'Does ' || subject || ' ' || predicate || '?' END"
-EN = "en AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en')"
+EN = "en AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"
 TURNS = """tu AS (SELECT subject, serial, unnest([0, 1, 2, 3]) AS nth, CASE state WHEN 'ENTAILED' THEN 'yes' ELSE 'no' END AS says, CASE WHEN pol = 1 THEN 'strengthening' ELSE 'weakening' END AS eff,
  'Object_' || subject || CASE WHEN pol = 1 THEN ' has P' ELSE ' lacks P' END || idx || '.' AS fact FROM r)"""
 _concepts = [("animal", 0.20), ("mammal", 0.15), ("vertebrate", 0.15), ("plant", 0.15), ("insect", 0.15), ("microorganism", 0.10), ("bird", 0.10)]
@@ -127,7 +127,7 @@ ORACLE_SQL = {
     "skeptical_resolution": f"""WITH {LIN.replace('range(N)', 'range(100)')}, c AS (SELECT 'g' || graph_id AS graph_id, graph_id AS gid, src AS subject, dst AS target, unnest([0, 1, 2, 3, 4]) AS cut FROM lin WHERE type = 'hypothesis_edge')
  SELECT graph_id, subject, target, coalesce((SELECT CASE WHEN arg_max(e.type, e.layer) = 'defeasible_lacks_property' THEN 'False' END FROM lin e WHERE e.graph_id = gid AND e.type LIKE 'defeasible%' AND e.serial <= cut), 'True') AS answer FROM c""",
     "subclass_superclass_lookup": "WITH e AS (SELECT n_name AS c, r_name AS p FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT DISTINCT lower(p) AS label, c AS found, 'sub' AS direction FROM e UNION SELECT DISTINCT lower(c), p, 'super' FROM e",
-    "disjunctive_property_match": "SELECT DISTINCT p.p_partkey AS property, s.p_partkey AS subject FROM part p JOIN part s ON s.p_partkey < 25 AND (p.p_type = s.p_type OR p.p_brand = s.p_brand)",
+    "disjunctive_property_match": "WITH k AS (SELECT DISTINCT p_type, p_brand, p_type || '|' || p_brand AS kind FROM part) SELECT DISTINCT p.kind AS property, s.kind AS subject FROM k p JOIN k s ON p.p_type = s.p_type OR p.p_brand = s.p_brand",
     "relation_join_weight_ordered": "WITH w AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, l_partkey) AS r FROM w) SELECT s_name AS start_label, p_name AS end_label, round(weight, 6) AS weight, r FROM t JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE r <= 3",
     "node_upsert_first_wins": "SELECT p_name AS id, arg_min(p_brand, p_partkey) AS label FROM part GROUP BY p_name",
     "alias_group_concat": "SELECT p_brand, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS aliases FROM part GROUP BY p_brand",
@@ -143,7 +143,7 @@ ORACLE_SQL = {
     "edge_sentences": f"WITH {E} SELECT subject, serial, 'Object ' || subject || CASE WHEN pol = 1 THEN ' ' ELSE ' does not ' END || 'show P' || idx || '.' AS sentence FROM e",
     "pretext_listagg": "SELECT n_regionkey, string_agg(n_name || ' is a kind of region ' || n_regionkey || '.', ' ' ORDER BY n_nationkey) AS pretext FROM nation GROUP BY n_regionkey",
     "plural_article": "WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) SELECT word, CASE WHEN regexp_matches(lower(word), '(s|sh|ch|x|z)$') THEN word || 'es' WHEN regexp_matches(lower(word), '[^aeiou]y$') THEN word[:-2] || 'ies' ELSE word || 's' END AS plural, CASE WHEN suffix(word, 's') THEN word ELSE word || 's' END AS naive, CASE WHEN lower(word[1]) IN ('a', 'e', 'i', 'o', 'u') THEN 'an' ELSE 'a' END AS article FROM w",
-    "disjunction_lists": "WITH g AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l FROM nation WHERE n_nationkey < 9 GROUP BY 1) SELECT n_regionkey, 'At least one of ' || CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' or ' || l[2] ELSE array_to_string(l[:len(l) - 1], ', ') || ', or ' || l[len(l)] END || ' is not cold.' AS sentence FROM g",
+    "disjunction_lists": "WITH g AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l FROM nation GROUP BY 1) SELECT n_regionkey, 'At least one of ' || CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' or ' || l[2] ELSE array_to_string(l[:len(l) - 1], ', ') || ', or ' || l[len(l)] END || ' is not cold.' AS sentence FROM g",
     "reliability_pairs": "WITH a AS (SELECT s_nationkey, s_name, lead(s_name) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS less FROM supplier) SELECT s_nationkey, s_name || ' is more reliable than ' || less || '.' AS statement FROM a WHERE less IS NOT NULL",
     "template_fill": "SELECT p_partkey, 'is made of ' || lower(p_name) AS sentence FROM part",
     "url_concepts": "SELECT page_id, regexp_extract(url, '^https?://[^/]+/(?:[a-z]{2}/)?([^/?#]*)', 1) AS concept FROM pages",
@@ -166,7 +166,7 @@ ORACLE_SQL = {
  SELECT graph_id, node, layer, CASE WHEN {_unit('esign', 'graph_id', 'node')} < 0.5 THEN 'defeasible_has_property' ELSE 'defeasible_lacks_property' END AS type, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY {_key('eser', 'graph_id', 'node')}) AS INT) AS serial FROM k""",
     "markov_transitions": f"WITH {EN}, w AS (SELECT '^' || word || '$' AS w FROM en), a AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w) SELECT substr(w, i, 2) AS state, substr(w, i + 2, 1) AS next, count(*) AS n FROM a GROUP BY ALL",
     "nonce_filter": f"WITH {EN}, d AS (SELECT DISTINCT word FROM en) SELECT word FROM d WHERE len(word) BETWEEN 4 AND 10 AND NOT regexp_matches(word, '[^aeiouy]{{4,}}') AND len(list_filter(range(1, len(word) - 1), lambda i: word[i] = word[i + 1] AND word[i] = word[i + 2])) = 0",
-    "isa_extraction": r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> '') AS l FROM documents WHERE lang = 'en'),
+    "isa_extraction": r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> '') AS l FROM documents),
  s AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM d)
  SELECT doc_id, CAST(pos AS BIGINT) AS pos, regexp_extract(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$', 1) AS subject, regexp_extract(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$', 2) AS value
  FROM s WHERE regexp_matches(s, '^[A-Za-z, ]+$') AND s LIKE '% is %' AND regexp_matches(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$')""",

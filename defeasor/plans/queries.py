@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from ..functions import hashing, phrases
 from ..operators import analytics, chain, converse, generate, inheritance, knowledge, skeptical, text
 from ..sources.views import evidence, last_edges, results, signed_events, table, taxonomy_edges, taxonomy_evidence
+from . import population
 
-QUERIES = {}
+
+QUERIES = dict(population.QUERIES)
 
 
 def query(f):
@@ -223,8 +225,10 @@ def subclass_superclass_lookup(spark, sf):
 
 @query
 def disjunctive_property_match(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("property"), F.col("p_type").alias("domain"), F.array(F.col("p_brand")).alias("allowed"))
-    s = table(spark, sf, "part").where("p_partkey < 25").select(F.col("p_partkey").alias("subject"), F.col("p_type").alias("subject_domain"), F.col("p_brand").alias("subject_type"))
+    """Kinds of parts (type and brand) against each other: as many as the two vocabularies have, whatever the table."""
+    kinds = table(spark, sf, "part").select("p_type", "p_brand", F.concat_ws("|", "p_type", "p_brand").alias("kind")).distinct()
+    p = kinds.select(F.col("kind").alias("property"), F.col("p_type").alias("domain"), F.array("p_brand").alias("allowed"))
+    s = kinds.select(F.col("kind").alias("subject"), F.col("p_type").alias("subject_domain"), F.col("p_brand").alias("subject_type"))
     return knowledge.matching_properties(p, s)
 
 
@@ -319,7 +323,7 @@ def plural_article(spark, sf):
 
 @query
 def disjunction_lists(spark, sf):
-    g = table(spark, sf, "nation").where("n_nationkey < 9").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    g = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
     return g.select("n_regionkey", phrases.at_least_one_of(phrases.listed(F.col("names")), F.lit("is cold")).alias("sentence"))
 
 
@@ -404,23 +408,23 @@ def phonotactic_corpus(spark, sf):
     return text.phonotactic_words(spark, 2000)
 
 
-def _english_words(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").where("lang = 'en'").select(F.explode(text.alphabetic_tokens(F.col("text"))).alias("word"))
+def _words(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.explode(text.alphabetic_tokens(F.col("text"))).alias("word"))
 
 
 @query
 def markov_transitions(spark, sf):
-    return text.markov_transitions(_english_words(spark, sf))
+    return text.markov_transitions(_words(spark, sf))
 
 
 @query
 def nonce_filter(spark, sf):
-    return _english_words(spark, sf).distinct().where(text.valid_nonce(F.col("word")))
+    return _words(spark, sf).distinct().where(text.valid_nonce(F.col("word")))
 
 
 @query
 def isa_extraction(spark, sf):
-    s = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "s"))
+    s = table(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "s"))
     return s.where("s rlike '^[A-Za-z, ]+$' and s like '% is %'").select("doc_id", "pos", text.extract(F.col("s")).alias("e")).where("e.kind = 'isa'").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "e.subject", "e.value")
 
 
