@@ -105,11 +105,11 @@ def paraphrase_prompts(spark, sf):
     return c.select("batch", populate.blocks_prompt(F.col("t.text")).alias("prompt"))
 
 
-@query("""SELECT conv_id, v AS version, CASE v WHEN 1 THEN upper(text) ELSE 'say: ' || text END AS paraphrase FROM (SELECT conv_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE turn = 0), (VALUES (1), (2)) q(v)""")
+@query("""SELECT conv_id, v AS version, CASE v WHEN 1 THEN 'so: ' || text ELSE 'say: ' || text END AS paraphrase FROM (SELECT conv_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE turn = 0), (VALUES (1), (2)) q(v)""")
 def paraphrase_replies(spark, sf):
     """Two versions of each first turn, out of a tagged reply."""
     c = table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
-    reply = c.select("conv_id", F.concat(F.lit("BLOCK_1_V1:\n"), F.upper("t"), F.lit("\nBLOCK_1_V2: say: "), "t").alias("r"))
+    reply = c.select("conv_id", F.concat(F.lit("BLOCK_1_V1:\nso: "), F.col("t"), F.lit("\nBLOCK_1_V2: say: "), "t").alias("r"))
     both = F.array(*[F.struct(F.lit(v).alias("version"), populate.blocks_reply(F.col("r"), F.lit(1), v).alias("paraphrase")) for v in (1, 2)])
     return reply.select("conv_id", F.explode(both).alias("x")).select("conv_id", "x.version", "x.paraphrase")
 
