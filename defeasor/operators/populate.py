@@ -117,5 +117,6 @@ def blocks_prompt(texts: Column) -> Column:
 
 def blocks_reply(reply: Column, i: Column, version: int) -> Column:
     """The text of BLOCK_i_Vversion in a tagged reply, up to the next tag; null if it is not there."""
+    # Fixed value: the pattern of tagged replies.
     pattern = F.concat(F.lit(r"(?s)BLOCK_"), i.cast("string"), F.lit(rf"_V{version}:\s*(.*?)(?=BLOCK_\d+_V[12]:|$)"))
     return F.nullif(F.regexp_replace(F.call_function("regexp_extract", reply, pattern, F.lit(1)), r"\s+$", ""), F.lit(""))
