@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.hashing import order_key
+from ..functions.unions import union_of
+from .ranking import hash_bucket, numbered
 
 CLOSED_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
 BEFORE = (Window.unboundedPreceding, -1)
@@ -85,7 +87,7 @@ def interleaved(main: DataFrame, extra: DataFrame, seed: int = 42) -> DataFrame:
     ranked = keys.withColumn("serial", F.row_number().over(Window.partitionBy("subject").orderBy("k")))
     a = main.join(ranked, ["subject", "serial"]).select("subject", "k", F.lit("main").alias("kind"), F.col("serial").alias("n"))
     b = extra.select("subject", order_key("mix", "subject", F.concat(F.lit("x"), F.col("ord")), seed=seed).alias("k"), F.lit("irrelevant").alias("kind"), F.col("ord").alias("n"))
-    return a.unionByName(b).withColumn("pos", F.row_number().over(Window.partitionBy("subject").orderBy("k", "kind", "n"))).drop("k")
+    return union_of(a, b).withColumn("pos", F.row_number().over(Window.partitionBy("subject").orderBy("k", "kind", "n"))).drop("k")
 
 
 def exception_groups(evidence: DataFrame) -> DataFrame:
@@ -96,9 +98,10 @@ def exception_groups(evidence: DataFrame) -> DataFrame:
 
 def partition_subjects(subjects: DataFrame, share: float, cap: int, seed: int = 42) -> DataFrame:
     """subject and section (t4, t12) with n4 = round-half-even(n * share) clamped to 1..n-1, and the caps of the sections."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    n4 = F.when(n < 2, 0).otherwise(F.least(F.greatest(F.lit(1), F.bround(n * F.lit(share), 0)), n - 1))
-    ranked = subjects.withColumn("__n4", n4).withColumn("__r", F.row_number().over(Window.orderBy(order_key("part", "subject", seed=seed), "subject")))
+    key = order_key("part", "subject", seed=seed)
+    ranked = numbered(subjects, hash_bucket(key), [key, "subject"], "__r")
+    n = F.col("n_rows")
+    ranked = ranked.withColumn("__n4", F.when(n < 2, 0).otherwise(F.least(F.greatest(F.lit(1), F.bround(n * F.lit(share), 0)), n - 1))).drop("n_rows")
     t4 = max(1, cap // 2)
     out = ranked.withColumn("section", F.when(F.col("__r") <= F.col("__n4"), "t4").otherwise("t12"))
     out = out.withColumn("rank_in_section", F.when(F.col("section") == "t4", F.col("__r")).otherwise(F.col("__r") - F.col("__n4")).cast("bigint"))

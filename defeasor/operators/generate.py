@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import bernoulli, number, order_key, unit
+from ..functions.unions import union_of
+from .ranking import number_bucket, numbered, running_max
 
 # Shapes of class trees: depth, breadth of the root, least and most children, survival, decay.
 TREE_PRESETS = {"jellyfish": (4, 5, 1, 1, 0.4, 1.0), "balanced": (3, 2, 2, 2, 1.0, 1.0), "bushy": (2, 3, 1, 2, 0.7, 1.0)}
@@ -29,7 +31,7 @@ def linear_graphs(spark: SparkSession, n: int, shortest: int = 4, longest: int =
     signed = inner.where("r <= wanted").withColumn("serial", F.row_number().over(Window.partitionBy("graph_id").orderBy("i")))
     sign = F.when(bernoulli(0.5, "sign", "graph_id", "i", seed=seed), "defeasible_has_property").otherwise("defeasible_lacks_property")
     ev = signed.select("graph_id", cls(F.col("i")), F.lit("Property"), sign, F.col("i"), "serial")
-    return backbone.union(top).union(hyp).union(ev)
+    return union_of(backbone, top, hyp, ev)
 
 
 def tree_nodes(spark: SparkSession, n: int, preset: str = "jellyfish", seed: int = 42) -> DataFrame:
@@ -43,7 +45,7 @@ def tree_nodes(spark: SparkSession, n: int, preset: str = "jellyfish", seed: int
         alive = level if d == 0 else level.where(unit("live", "graph_id", "node", seed=seed) < F.lit(survival))
         kids = alive.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), k)))
         level = kids.select("graph_id", F.concat("node", F.lit("."), F.col("k").cast("string")).alias("node"), F.col("node").alias("parent"), F.lit(d + 1).alias("layer"))
-        out = out.union(level)
+        out = union_of(out, level)
     return out
 
 
@@ -85,12 +87,14 @@ def linear_fingerprints(edges: DataFrame) -> DataFrame:
 
 def saturation(fingerprints: DataFrame, stop: int) -> DataFrame:
     """graph_id, is_new, run (consecutive duplicates so far) and accepted: new and before the first run of `stop`."""
-    w = Window.orderBy("graph_id")
-    seen = fingerprints.withColumn("is_new", F.row_number().over(Window.partitionBy("fingerprint").orderBy("graph_id")) == 1)
-    seen = seen.withColumn("island", F.sum(F.col("is_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = seen.withColumn("run", F.sum((~F.col("is_new")).cast("int")).over(Window.partitionBy("island").orderBy("graph_id").rowsBetween(Window.unboundedPreceding, 0)))
-    stopped = F.coalesce(F.max((F.col("run") >= stop).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return seen.withColumn("accepted", F.col("is_new") & (stopped == 0)).select("graph_id", "is_new", "run", "accepted")
+    first = fingerprints.withColumn("is_new", F.row_number().over(Window.partitionBy("fingerprint").orderBy("graph_id")) == 1)
+    bucket = number_bucket(fingerprints, "graph_id")
+    seen = numbered(first, bucket, ["graph_id"], "__at")
+    seen = running_max(seen, bucket, ["graph_id"], F.when(F.col("is_new"), F.col("__at")), "__last")
+    seen = seen.withColumn("run", F.col("__at") - F.col("__last"))
+    end = seen.where(F.col("run") >= stop).agg(F.min("__at").alias("__end"))  # one row
+    accepted = F.col("is_new") & (F.col("__end").isNull() | (F.col("__at") <= F.col("__end")))
+    return seen.join(F.broadcast(end)).select("graph_id", "is_new", "run", accepted.alias("accepted"))
 
 
 def weighted_choice(rows: DataFrame, key: str, options: list[tuple[str, float]], purpose: str = "w", seed: int = 42) -> DataFrame:

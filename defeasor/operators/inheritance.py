@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.unions import union_of
+
 
 def ancestors(edges: DataFrame, subjects: DataFrame, depth: int) -> DataFrame:
     """(subject, node, dist) with the subject itself at 0. edges: src to its one parent dst; depth bounds the levels.
@@ -21,7 +23,7 @@ def ancestors(edges: DataFrame, subjects: DataFrame, depth: int) -> DataFrame:
     out = level
     for _ in range(depth):
         level = level.join(step, "node").select("subject", F.col("parent").alias("node"), (F.col("dist") + 1).alias("dist"))
-        out = out.union(level)
+        out = union_of(out, level)
     return out
 
 
@@ -42,7 +44,7 @@ def answers(anc: DataFrame, evidence: DataFrame) -> DataFrame:
     until = F.coalesce(F.lead("serial").over(Window.partitionBy("subject").orderBy("serial")), F.lit(1 << 30))
     steps = on.select("subject", "serial", until.alias("until"), "best", (F.col("code") % 10).alias("pol"))
     first = subjects.join(on.groupBy("subject").agg(F.min("serial").alias("u")), "subject", "left").select("subject", F.lit(0).alias("serial"), F.coalesce("u", F.lit(1 << 30)).alias("until"), F.lit(None).cast("int").alias("best"), F.lit(None).cast("int").alias("pol"))
-    return first.union(steps)
+    return union_of(first, steps)
 
 
 def answer_counts(anc: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def answer_counts(anc: DataFrame, evidence: DataFrame) -> DataFrame:
     own = steps.where("serial > 0").select(says.alias("answer"), F.when(F.col("pol") == 1, "strengthen").otherwise("weaken").alias("effect"), F.lit(1).cast("bigint").alias("n"))
     held = F.least(F.col("until") - 1, F.col("total")) - F.col("serial")
     quiet = steps.select(says.alias("answer"), F.lit("no effect").alias("effect"), held.cast("bigint").alias("n"))
-    return own.union(quiet).groupBy("answer", "effect").agg(F.sum("n").alias("n")).where("n > 0")
+    return union_of(own, quiet).groupBy("answer", "effect").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def tree_distance(anc: DataFrame, pairs: DataFrame) -> DataFrame:

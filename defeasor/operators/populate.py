@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import bernoulli, number, order_key
+from ..functions.unions import union_of
 
 
 def labelled_by_position(nodes: DataFrame, names: DataFrame, fallback: str) -> DataFrame:
@@ -101,7 +102,7 @@ def markov_words(model: DataFrame, n: int, longest: int = 10, order: int = 2, se
         live = words.where(~F.col("w").endswith("$")).withColumn("state", F.substring("w", -order, order))
         u = drawn(f"mk{at}")
         more = live.join(steps, (live["state"] == steps["state"]) & (u >= F.col("lo")) & (u < F.col("hi"))).select("id", F.concat("w", "next").alias("w"))
-        words = done.union(more)
+        words = union_of(done, more)
     return words.select("id", F.initcap(F.regexp_replace("w", r"[\^$]", "")).alias("word"))
 
 
@@ -120,3 +121,15 @@ def blocks_reply(reply: Column, i: Column, version: int) -> Column:
     # Fixed value: the pattern of tagged replies.
     pattern = F.concat(F.lit(r"(?s)BLOCK_"), i.cast("string"), F.lit(rf"_V{version}:\s*(.*?)(?=BLOCK_\d+_V[12]:|$)"))
     return F.nullif(F.regexp_replace(F.call_function("regexp_extract", reply, pattern, F.lit(1)), r"\s+$", ""), F.lit(""))
+
+
+def tree_layout(nodes: DataFrame, depth: int) -> DataFrame:
+    """graph_id, node, x, y: leaves stand side by side in order of their paths, a parent over the mean of its children; y
+    falls with the layer. nodes: graph_id, node, parent, layer, no layer beyond depth. One join for each layer."""
+    inner = nodes.where("parent is not null").select("graph_id", F.col("parent").alias("node")).distinct()
+    w = Window.partitionBy("graph_id").orderBy("node")
+    placed = nodes.join(inner, ["graph_id", "node"], "left_anti").withColumn("x", F.row_number().over(w).cast("double"))
+    for layer in range(depth - 1, -1, -1):
+        means = placed.where(F.col("layer") == layer + 1).groupBy("graph_id", F.col("parent").alias("node")).agg(F.avg("x").alias("x"))
+        placed = union_of(placed, nodes.where(F.col("layer") == layer).join(means, ["graph_id", "node"]).select(*placed.columns))
+    return placed.select("graph_id", "node", F.round("x", 6).alias("x"), (-F.col("layer")).alias("y"))

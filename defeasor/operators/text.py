@@ -59,3 +59,9 @@ def split_first_turn(content: Column, mark: str = "Question:") -> tuple[Column,
 def url_concept(url: Column) -> Column:
     """The first part of the path after the language, or of the path."""
     return F.regexp_extract(url, r"^https?://[^/]+/(?:[a-z]{2}/)?([^/?#]*)", 1)
+
+
+def compounds(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct words of capitalised parts, joined by blanks; a row with a missing or empty part makes none."""
+    whole = parts.where(F.forall(F.array(*columns), lambda p: p.isNotNull() & (p != "")))
+    return whole.select(F.concat_ws(" ", *[F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30))) for c in columns]).alias("word")).distinct()

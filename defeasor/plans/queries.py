@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import hashing, phrases
-from ..operators import analytics, chain, converse, generate, inheritance, knowledge, skeptical, text
+from ..operators import analytics, chain, converse, generate, inheritance, knowledge, ranking, skeptical, text
 from ..sources.views import evidence, last_edges, results, signed_events, table, taxonomy_edges, taxonomy_evidence
-from . import population
+from . import dialogue, population  # noqa: F401 (dialogue adds its queries to those of population)
 
 
 QUERIES = dict(population.QUERIES)
@@ -431,7 +431,8 @@ def isa_extraction(spark, sf):
 @query
 def batches(spark, sf):
     c = table(spark, sf, "conversations").where("turn = 0").select("conv_id")
-    return c.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("conv_id")) - 1) / 5).cast("bigint"))
+    at = ranking.numbered(c, ranking.number_bucket(c, "conv_id"), ["conv_id"], "at")
+    return at.select("conv_id", F.floor((F.col("at") - 1) / 5).cast("bigint").alias("batch"))
 
 
 @query

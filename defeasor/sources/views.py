@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import bernoulli, number, order_key
+from ..functions.unions import sound_unions, union_of
 
 CHAIN_END = 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,7 +41,7 @@ def taxonomy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"), F.lit(2).alias("layer"))
     c = table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"), F.lit(3).alias("layer"))
     s = table(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"), F.lit(3).alias("layer"))
-    return r.union(n).union(c).union(s)
+    return union_of(r, n, c, s)
 
 
 def taxonomy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
