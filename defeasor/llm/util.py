@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.unions import sound_unions
+
 #: The white space of the text contracts: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -38,17 +40,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation beyond the table."""
     spark = df.sparkSession
+    sound_unions(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts: so few rows that a batch of long texts fits a Python worker."""
+    sound_unions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
