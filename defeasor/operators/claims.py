@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions import phrases
 from ..functions.hashing import bernoulli, number, order_key
+from ..functions.once import once, spread
 from .chain import delta_label
 
 CONTRADICTION, BYPASS = "contradiction", "bypass"
@@ -36,8 +37,8 @@ def _event(kind: str, idx: Column, pol: Column | int) -> Column:
     return F.struct(F.lit(kind).alias("kind"), idx.cast("int").alias("idx"), (F.lit(pol) if isinstance(pol, int) else pol).cast("int").alias("pol"))
 
 
-def _reveal(edge: Column) -> Column:
-    return F.when(edge.isNotNull(), _event("reveal", edge["idx"], edge["pol"]))
+def _reveal(idx: str, pol: str) -> Column:
+    return F.when(F.col(idx).isNotNull(), _event("reveal", F.col(idx), F.col(pol)))
 
 
 def plan_claims(evidence: DataFrame, chain_length: int, sources: int = 3, b_first: float = 0.7, later: float = 0.6, seed: int = 42) -> DataFrame:
@@ -48,7 +49,7 @@ def plan_claims(evidence: DataFrame, chain_length: int, sources: int = 3, b_firs
     """
     edge = F.struct("serial", "idx", "pol")
     s = evidence.groupBy("conversation", "subject").agg(F.array_sort(F.collect_list(edge)).alias("evidence"))
-    s = s.withColumn("scenario", F.when(bernoulli(0.5, "scenario", "subject", seed=seed), CONTRADICTION).otherwise(BYPASS))
+    s = once(s, scenario=F.when(bernoulli(0.5, "scenario", "subject", seed=seed), CONTRADICTION).otherwise(BYPASS))
     s = s.withColumn("ordering", F.when(bernoulli(b_first, "ordering", "subject", seed=seed), "b_first").otherwise("a_first"))
     s = s.withColumn("source_a", (number("source_a", "subject", seed=seed) % (sources - 1)).cast("int"))
     s = s.withColumn("source_b", (F.col("source_a") + 1 + number("source_b", "subject", seed=seed) % (sources - 1 - F.col("source_a"))).cast("int"))
@@ -67,7 +68,7 @@ def _with_contested(s: DataFrame, seed: int) -> DataFrame:
     positives = F.filter("evidence", lambda x: x["pol"] == 1)
     n = F.size(positives)
     half = F.slice(positives, F.floor(n / 2).cast("int") + 1, F.greatest(n, F.lit(1)))
-    return s.withColumn("contested", F.when(F.col("scenario") == CONTRADICTION, _drawn(half, "contested", "subject", seed=seed)["idx"]))
+    return once(s, contested=F.when(F.col("scenario") == CONTRADICTION, _drawn(half, "contested", "subject", seed=seed)["idx"]))
 
 
 def _with_bypass(s: DataFrame, chain_length: int, seed: int) -> DataFrame:
@@ -80,28 +81,28 @@ def _with_bypass(s: DataFrame, chain_length: int, seed: int) -> DataFrame:
     key = lambda i, j: order_key("bypass", "conversation", "source_a", F.lit(i), F.lit(j), seed=seed)
     shuffled = F.array_sort(F.array(*[F.struct(key(i, j).alias("k"), F.lit(i).alias("src"), F.lit(j).alias("tgt")) for i, j in spans]))
     s = s.withColumn("__turn", turn)
-    s = s.withColumn("__a", F.when((F.col("scenario") == BYPASS) & (F.col("__turn") <= len(spans)), F.get(shuffled, F.col("__turn") - 1)))
-    a_src, a_tgt = F.col("__a.src"), F.col("__a.tgt")
+    s = spread(s, F.when((F.col("scenario") == BYPASS) & (F.col("__turn") <= len(spans)), F.get(shuffled, F.col("__turn") - 1)), "__k", "a_src", "a_tgt")
+    a_src, a_tgt = F.col("a_src"), F.col("a_tgt")
     inside = F.flatten(F.transform(F.sequence(a_src + 1, a_tgt - 2), lambda i: F.transform(F.sequence(i + 1, a_tgt - 1), lambda j: F.struct(i.alias("src"), j.alias("tgt")))))
-    s = s.withColumn("__inside", inside)
-    s = s.withColumn("__b", F.get("__inside", (number("inside", "subject", seed=seed) % F.size("__inside")).cast("int")))
-    return s.withColumns({"a_src": a_src, "a_tgt": a_tgt, "b_src": F.col("__b.src"), "b_tgt": F.col("__b.tgt")}).drop("__turn", "__a", "__inside", "__b")
+    s = once(s, __inside=inside)
+    s = spread(s, F.get("__inside", (number("inside", "subject", seed=seed) % F.size("__inside")).cast("int")), "b_src", "b_tgt")
+    return s.drop("__turn", "__k", "__inside")
 
 
 def _with_events(s: DataFrame, later: float, seed: int) -> DataFrame:
     """events: the first claim, evidence up to the spot that the claims are about, the second claim, later evidence."""
     contra = F.col("scenario") == CONTRADICTION
     own = F.filter("evidence", lambda x: ~F.coalesce(x["idx"] == F.col("contested"), F.lit(False)))
-    s = s.withColumn("__own", own)
+    s = once(s, __own=own)
     upto = F.when(contra, F.col("contested")).otherwise(F.col("b_src"))
-    s = s.withColumn("__between", _drawn(F.filter("__own", lambda x: x["idx"] <= upto), "between", "subject", seed=seed))
-    rest = F.filter("__own", lambda x: (F.col("__between").isNull() | (x["idx"] != F.col("__between.idx"))) & (contra | (x["idx"] <= F.col("a_src"))))
-    s = s.withColumn("__post", F.when(~contra | bernoulli(later, "post", "subject", seed=seed), _drawn(rest, "after", "subject", seed=seed)))
+    s = spread(s, _drawn(F.filter("__own", lambda x: x["idx"] <= upto), "between", "subject", seed=seed), "__s1", "__idx1", "__pol1")
+    rest = F.filter("__own", lambda x: (F.col("__idx1").isNull() | (x["idx"] != F.col("__idx1"))) & (contra | (x["idx"] <= F.col("a_src"))))
+    s = spread(s, F.when(~contra | bernoulli(later, "post", "subject", seed=seed), _drawn(rest, "after", "subject", seed=seed)), "__s2", "__idx2", "__pol2")
     a = _event("a_claim", F.when(contra, F.col("contested")).otherwise(F.col("a_tgt")), 1)
     b = _event("b_claim", F.when(contra, F.col("contested")).otherwise(F.col("b_tgt")), -1)
     b_first = F.col("ordering") == "b_first"
-    row = F.array(F.when(b_first, b).otherwise(a), _reveal(F.col("__between")), F.when(b_first, a).otherwise(b), _reveal(F.col("__post")))
-    return s.withColumn("events", F.when(F.col("skipped").isNull(), F.array_compact(row))).drop("__own", "__between", "__post", "evidence")
+    row = F.array(F.when(b_first, b).otherwise(a), _reveal("__idx1", "__pol1"), F.when(b_first, a).otherwise(b), _reveal("__idx2", "__pol2"))
+    return s.withColumn("events", F.when(F.col("skipped").isNull(), F.array_compact(row))).drop("__own", "__s1", "__idx1", "__pol1", "__s2", "__idx2", "__pol2", "evidence")
 
 
 def _state(events: Column, contra: Column, rule_src: Column, rule_tgt: Column) -> Column:
@@ -122,14 +123,14 @@ def _sentence(chain: str = "P") -> Column:
     """What is said: of an object in a contradiction and a reveal, of a rule in a bypass."""
     name = F.concat(F.lit("object "), F.col("subject").cast("string"))
     node = lambda c: F.concat(F.lit(chain), c.cast("string"))
-    has = F.concat(F.lit("has "), node(F.col("e.idx")))
-    said = F.when(F.col("e.pol") == 1, F.concat(phrases.capitalized(name), F.lit(" "), has, F.lit("."))).otherwise(phrases.negative_sentence(name, has))
-    is_a = F.col("e.kind") == "a_claim"
-    have = F.concat(F.lit("have "), node(F.col("e.idx")))
+    has = F.concat(F.lit("has "), node(F.col("idx")))
+    said = F.when(F.col("pol") == 1, F.concat(phrases.capitalized(name), F.lit(" "), has, F.lit("."))).otherwise(phrases.negative_sentence(name, has))
+    is_a = F.col("kind") == "a_claim"
+    have = F.concat(F.lit("have "), node(F.col("idx")))
     rule = F.concat(F.lit("objects with property "), node(F.when(is_a, F.col("a_src")).otherwise(F.col("b_src"))), F.lit(" generally "), F.when(is_a, have).otherwise(phrases.negated_rule(have)), F.lit("."))
     source = F.concat(F.lit("Expert "), F.char(F.lit(65) + F.when(is_a, F.col("source_a")).otherwise(F.col("source_b"))), F.lit(" reports: "))
     claim = F.concat(source, F.when(F.col("scenario") == BYPASS, rule).otherwise(said))
-    return F.when(F.col("e.kind") == "reveal", said).otherwise(claim)
+    return F.when(F.col("kind") == "reveal", said).otherwise(claim)
 
 
 def replay_claims(plans: DataFrame, chain_length: int) -> DataFrame:
@@ -140,23 +141,25 @@ def replay_claims(plans: DataFrame, chain_length: int) -> DataFrame:
     shorter path for a positive that leaves the chain entailed.
     """
     contra = F.col("scenario") == CONTRADICTION
-    rows = plans.where("skipped is null").select("*", F.posexplode("events").alias("__at", "e"))
+    rows = plans.where("skipped is null").select("*", F.posexplode("events").alias("__at", "__e"))
+    rows = spread(rows, F.col("__e"), "kind", "idx", "pol")
     seen = lambda n: _state(F.slice("events", F.lit(1), n), contra, F.col("a_src"), F.col("a_tgt"))
-    rows = rows.withColumns({"before": seen(F.col("__at")), "after": seen(F.col("__at") + 1)})
-    was, now = F.col("before.state"), F.col("after.state")
+    rows = spread(rows, seen(F.col("__at")), "was", "p_was", "q_was")
+    rows = spread(rows, seen(F.col("__at") + 1), "now", "p_now", "q_now")
+    was, now = F.col("was"), F.col("now")
     delta = delta_label(was, now)
-    both = (was == "ENTAILED") & (now == "ENTAILED") & (F.col("e.pol") == 1)
-    nearer = F.when(F.col("e.idx") >= F.greatest("before.p", "before.q"), "STRENGTHENING").otherwise("NO_EFFECT")
+    both = (was == "ENTAILED") & (now == "ENTAILED") & (F.col("pol") == 1)
+    nearer = F.when(F.col("idx") >= F.greatest("p_was", "q_was"), "STRENGTHENING").otherwise("NO_EFFECT")
     a_first = F.col("ordering") == "a_first"
     effect = (
-        F.when(F.col("e.kind") == "reveal", F.when(both, nearer).otherwise(delta))
-        .when((F.col("e.kind") == "a_claim") & (~contra | a_first), "STRENGTHENING")
-        .when((F.col("e.kind") == "b_claim") & contra & a_first, "NO_EFFECT")
+        F.when(F.col("kind") == "reveal", F.when(both, nearer).otherwise(delta))
+        .when((F.col("kind") == "a_claim") & (~contra | a_first), "STRENGTHENING")
+        .when((F.col("kind") == "b_claim") & contra & a_first, "NO_EFFECT")
         .otherwise(delta)
     )
     answer = F.when(now == "ENTAILED", ANSWERS["ENTAILED"]).when(now == "DEFEATED", ANSWERS["DEFEATED"]).otherwise("unknown")
-    kind = F.concat(F.lit("type4_"), F.when(F.col("e.kind") == "reveal", "edge_reveal").otherwise(F.col("e.kind")))
-    return rows.select("subject", (F.col("__at") + 1).alias("event_ord"), kind.alias("update_type"), F.col("e.idx").alias("idx"), (chain_length - 1 - F.col("e.idx")).alias("hyp_node_distance"), was.alias("state_before"), now.alias("state"), answer.alias("answer"), F.lower(effect).alias("effect"), _sentence().alias("sentence"))
+    update = F.concat(F.lit("type4_"), F.when(F.col("kind") == "reveal", "edge_reveal").otherwise(F.col("kind")))
+    return rows.select("subject", (F.col("__at") + 1).alias("event_ord"), update.alias("update_type"), "idx", (chain_length - 1 - F.col("idx")).alias("hyp_node_distance"), was.alias("state_before"), now.alias("state"), answer.alias("answer"), F.lower(effect).alias("effect"), _sentence().alias("sentence"))
 
 
 def plan_report(plans: DataFrame) -> DataFrame:
