@@ -196,6 +196,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, pivots: int = 16, hot: int = 2048) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id (null last; ties: any one of them)."""
     rows, of = _grouped(docs, id_col, text_col, shingle, radius, pivots, hot)
+    return first_of_groups(docs, rows, of, id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The document of the smallest id of each __root, from rows (id, __hash, __fp) and of (__fp, __root)."""
     each = rows.join(of, "__fp").groupBy("__root", id_col, "__hash").agg(F.count(F.lit(1)).alias("__n"))
     first = F.min(F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("__id"), F.col("__hash"), F.col("__n"))).alias("f")
     keep = stash(each.groupBy("__root").agg(first).select("f.__id", "f.__hash", "f.__n"), "kept")
