@@ -20,6 +20,8 @@ all rows is spread over 16**digits tasks' worth of buckets. Only the table of so
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,19 +82,21 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 2.0, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns; where a budget ends inside a
     document, that copy ends there too (n_chars, if there is such a column, follows)."""
-    b = budgets(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    b = budgets(docs, id_col=id_col, text_col=text_col, source_col=source_col, cap=cap, **options)
     took = b.groupBy(F.col(id_col).alias("__id"), F.col("__source").alias("__s"), F.col("__hash").alias("__h")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__all"), F.count(F.lit(1)).alias("__n")).where("__all > 0")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__s")) & (F.xxhash64(text_col) == F.col("__h"))
     joined = docs.join(took, same)
     # rows that agree in id, source and text share what was taken among them: whole copies go round, the rest to the last
+    most = math.ceil(cap)  # copies of a row
     one = joined.where("__n = 1").withColumn("__taken", F.col("__all"))
     several = joined.where("__n > 1").withColumn("__i", F.row_number().over(Window.partitionBy("__id", "__s", "__h").orderBy("__n")))
-    several = several.withColumn("__taken", F.greatest(F.lit(0), F.least(F.col("__all") - (F.col("__i") - 1) * F.col("__size") * 2, F.col("__size") * 2))).drop("__i")
+    several = several.withColumn("__taken", F.greatest(F.lit(0), F.least(F.col("__all") - (F.col("__i") - 1) * F.col("__size") * most, F.col("__size") * most))).drop("__i")
     both = one.union(several) if not took.where("__n > 1").isEmpty() else one
-    copies = F.filter(F.array(F.least("__taken", "__size"), F.col("__taken") - F.col("__size")), lambda x: x > 0)
+    epochs = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")) - 1).cast("long"))
+    copies = F.filter(F.transform(epochs, lambda i: F.least(F.col("__size"), F.col("__taken") - i * F.col("__size"))), lambda x: x > 0)
     out = both.withColumn("__take", F.explode(copies))
     cut = F.when(F.col("__take") < F.col("__size"), first_words(F.col(text_col), F.col("__take"))).otherwise(F.col(text_col))
     out = out.withColumn(text_col, cut)
