@@ -13,7 +13,7 @@ length (``TEXT_EXCESS`` a character), so p = P(chi-squared as small as seen | te
 to tell the two apart. Benjamini-Hochberg over all candidates of the corpus, on a histogram of p with a fixed number of
 bins, holds the share of false discoveries below ``fdr``. Discoveries are spans of kind random.
 
-Edge cases: null and empty texts have no spans; repeated rows are scanned each for itself; spans of one start are in the
+Edge cases: a candidate of less than two characters before its final '=' is not random; null and empty texts have no spans; repeated rows are scanned each for itself; spans of one start are in the
 order of the kinds; an empty table gives an empty result; only the named columns are read.
 
 Scale: one scan of the texts writes the few spans and candidates; the second pass reads those only. The histogram has at
@@ -102,7 +102,11 @@ def battery(found: Column) -> Column:
         alphabet = F.when(v["enc"] == "hex", ALPHABETS["hex"]).when(v["enc"] == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
         plain = F.translate(F.rtrim(v["s"], F.lit("=")), "-_", "+/")
         plain = F.when(v["enc"] == "hex", F.lower(plain)).otherwise(plain)
-        return let(F.struct(v["enc"].alias("enc"), alphabet.alias("alphabet"), plain.alias("s")), lambda u: let(F.struct(u["enc"].alias("enc"), u["s"].alias("s"), F.length(u["alphabet"]).cast("double").alias("k"), F.transform(F.split(u["s"], ""), lambda c: (F.instr(u["alphabet"], c) - 1).cast("double")).alias("x")), numbers))
+        return let(F.struct(v["enc"].alias("enc"), alphabet.alias("alphabet"), plain.alias("s")), lambda u: F.when(F.length(u["s"]) < 2, too_short(u)).otherwise(let(F.struct(u["enc"].alias("enc"), u["s"].alias("s"), F.length(u["alphabet"]).cast("double").alias("k"), F.transform(F.split(u["s"], ""), lambda c: (F.instr(u["alphabet"], c) - 1).cast("double")).alias("x")), numbers)))
+
+    def too_short(u: Column) -> Column:
+        zero = F.lit(0.0)
+        return F.struct(u["enc"].alias("enc"), F.length(u["s"]).alias("n"), zero.alias("chi2"), zero.alias("p_uniform"), zero.alias("p_runs"), zero.alias("p_serial"), F.lit(1.0).alias("p_text"))
 
     def numbers(v: Column) -> Column:
         n, k, x = F.length(v["s"]).cast("double"), v["k"], v["x"]
