@@ -9,7 +9,8 @@ Blocks (paragraphs, headings, list items, cells, ...) are joined by one \\n in p
 becomes one blank; character references are decoded; br counts as white space.
 
 Edge cases: null and empty pages, pages without tags' worth of words and pages of boilerplate only give the empty text;
-unclosed elements end with the page; a page without any tag is one block of text. Repeated rows are read each for itself.
+unclosed elements end with the element around them or where HTML implies it; no element that is or holds the article (the
+main element, else the longest article; on pages without either, over half of the words) is boilerplate; a page without any tag is one block of text. Repeated rows are read each for itself.
 Empty tables give empty results. Only the named columns are read.
 
 Scale: one pass in place, no shuffle; memory is that of one batch of pages.
@@ -42,10 +43,35 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _BOILER = frozenset("nav aside footer form menu dialog button fieldset".split())
 #: Fixed words by which class, id and role name boilerplate.
 _BOILER_HINTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus footer gdpr menu modal nav navbar navigation newsletter notice notices popup promo promoted recommended related replies respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Parts that turn a hint into a statement about the page, and parts that only say which piece of a hint it is.
+_MODIFIERS = frozenset("has have no not with without enabled disabled enable disable is hide show open closed".split())
+_LAYOUT = frozenset("area bar block body bottom box btn button buttons col column container content group inner item items left link links list outer panel primary right row secondary section thread title top wrap wrapper".split())
+_P = frozenset(["p"])
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li dd dt main menu nav ol p pre section table ul".split())
+_SCOPE = frozenset("button caption html marquee table td th".split())
+_CELLS = frozenset("td th caption".split())
+_TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
+#: Start tags that end an open element: which ones, and what keeps them from being ended.
+_CLOSES = {"li": (frozenset(["li"]), frozenset("ul ol menu table td th".split())), **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd"]), frozenset("dl table td th".split()))), **dict.fromkeys(("td", "th"), (_CELLS, frozenset(["tr", "table"]))), "tr": (frozenset(["tr"]), frozenset(["table"])), **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset("tbody thead tfoot".split()), frozenset(["table"]))), **dict.fromkeys(("option", "optgroup"), (frozenset(["option"]), frozenset(["select", "datalist"])))}
+#: Elements that are boilerplate even if they hold most words of a page without an article.
+_NEVER_WHOLE = frozenset("nav aside footer menu dialog button header".split())
 
 Item = tuple[str, str, str, int]  # kind of token, what (tag name or words), place, position in the page
 
 
+def _names_boilerplate(value: str) -> bool:
+    """Whether a word of a class, id or role does: it or its last part is a hint, or its first one before parts of layout."""
+    for word in value.lower().split():
+        parts = _PARTS.findall(word)
+        if not parts or not _MODIFIERS.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in _LAYOUT:
+            parts.pop()
+        if parts[-1] in _BOILER_HINTS:
+            return True
+    return False
+
+
 def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
     if name in _BOILER or (name == "header" and not in_main):
         return True
@@ -53,51 +79,107 @@ def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(not _BOILER_HINTS.isdisjoint(_PARTS.findall("".join(m).lower())) for m in _HINT.findall(attrs))
+    return any(_names_boilerplate("".join(m)) for m in _HINT.findall(attrs))
+
+
+def _elements(tokens: list[re.Match]) -> dict[int, int]:
+    """For the position of each start tag among the tokens, the position at which its element ends: at its end tag, at the
+    end of an element around it, or where HTML implies its end."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+
+    def close(names: frozenset[str], stop: frozenset[str], at: int) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                ends.update((p, at) for _, p in stack[i:])
+                del stack[i:]
+                return
+            if stack[i][0] in stop:
+                return
+
+    for at, m in enumerate(tokens):
+        name = (m["name"] or "").lower()
+        if not name or name in _VOID:
+            continue
+        if m["close"]:
+            if name in _INLINE:  # a stray one ends no block
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        ends.update((p, at) for _, p in stack[i:])
+                        del stack[i:]
+                    elif stack[i][0] in _INLINE:
+                        continue
+                    break
+            else:
+                close(frozenset((name,)), frozenset() if name in _TABLE or name in ("body", "html") else _CELLS - {name}, at)
+            continue
+        if (m["attrs"] or "").endswith("/") and name not in _CLOSES and name not in _ENDS_P:
+            continue
+        if name in _ENDS_P:
+            close(_P, _SCOPE, at)
+        if name in _CLOSES:
+            close(*_CLOSES[name], at)
+        if not (m["attrs"] or "").endswith("/"):
+            stack.append((name, at))
+    ends.update((p, len(tokens)) for _, p in stack)
+    return ends
+
+
+def _is_main(name: str, attrs: str) -> bool:
+    return name in ("article", "main") or bool(_MAIN_ROLE.search(attrs))
 
 
 def read_page(page: str) -> list[Item]:
     """Tags ('t'), words ('w'), words of links ('a') and boilerplate words ('b') with their places in, out or none."""
     out: list[Item] = []
-    boiler, boiler_depth, main, link, at = "", 0, [], 0, 0
+    tokens = list(_TOKEN.finditer(page))
+    ends = _elements(tokens)
+    n_before, n, at = [], 0, 0  # words before each token
+    for m in tokens:
+        n += _n_words(page[at : m.start()])
+        n_before.append(n)
+        at = m.end()
+    n_before.append(n + _n_words(page[at:]))
+    held = lambda p: n_before[ends[p]] - n_before[p]
+    mains = [p for p in ends if _is_main(tokens[p]["name"].lower(), tokens[p]["attrs"] or "") and held(p)]
+    the_main = max(mains, key=lambda p: (tokens[p]["name"].lower() != "article", held(p), -p), default=None)
+
+    def whole(p: int, name: str) -> bool:
+        """Whether an element is or contains the article or, on pages without one, the bulk of the words."""
+        if the_main is not None:
+            return p <= the_main < ends[p]
+        return name not in _NEVER_WHOLE and 2 * held(p) > n_before[-1]
+
+    boiler_end, main_end, link, at, has_main = 0, 0, 0, 0, False
 
-    def words(upto: int) -> None:
+    def words(upto: int, i: int) -> None:
         if upto > at and (text := page[at:upto]) and (not text.isspace() or out):
-            kind = "b" if boiler else "a" if link else "w"
-            out.append((kind, text, "in" if main else "out", at))
+            kind = "b" if i <= boiler_end and boiler_end else "a" if link else "w"
+            out.append((kind, text, "in" if i <= main_end and main_end else "out", at))
 
-    has_main = False
-    for m in _TOKEN.finditer(page):
-        words(m.start())
+    for i, m in enumerate(tokens):
+        words(m.start(), i)
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
+        boiler = bool(boiler_end) and i < boiler_end
+        inside = bool(main_end) and i <= main_end
         if m["close"]:
-            if boiler and name == boiler:
-                boiler_depth -= 1
-                boiler = boiler if boiler_depth else ""
-            elif not boiler:
-                link = max(0, link - 1) if name == "a" else link
-            out.append(("t", f"/{name}", "in" if main else "out", m.start()))
-            if not boiler and name in main:
-                while main.pop() != name:
-                    pass
+            if not boiler and i != boiler_end and name == "a":
+                link = max(0, link - 1)
+            out.append(("t", f"/{name}", "in" if inside else "out", m.start()))
             continue
+        inside = inside and i < main_end
         attrs = m["attrs"] or ""
-        if boiler:
-            boiler_depth += name == boiler and not attrs.endswith("/")
-        elif name not in _VOID and not attrs.endswith("/") and _boilerplate(name, attrs, bool(main)):
-            boiler, boiler_depth = name, 1
-        elif name in ("article", "main") or "main" in attrs or "articleBody" in attrs:
-            if name in ("article", "main") or _MAIN_ROLE.search(attrs):
-                main.append(name)
-                has_main = True
-        elif main and name == main[-1] and name == "div":
-            main.append(name)
+        if not boiler and i in ends:
+            if _boilerplate(name, attrs, inside) and not whole(i, name):
+                boiler, boiler_end = True, ends[i]
+            elif _is_main(name, attrs):
+                main_end, has_main, inside = max(main_end, ends[i]), True, True
         link += name == "a" and not boiler
-        out.append(("t", name, "in" if main else "out", m.start()))
-    words(len(page))
+        out.append(("t", name, "in" if inside else "out", m.start()))
+    words(len(page), len(tokens))
     return out if has_main else [(k, x, "none", p) for k, x, _, p in out]
 
 
