@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .util import small_batches
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|head\b(?=\s*/))\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<svg\b(?:[^>"']|"[^"]*"|'[^']*')*?/>|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|head\b(?=\s*/))\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|data-role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _PARTS = re.compile(r"[a-z]+")

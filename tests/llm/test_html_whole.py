@@ -14,6 +14,13 @@ TEXT = "one two three four five six seven eight nine ten"
     (f'<body><div class="widget"><article><p>{TEXT}</p><div class="share-buttons">Send it</div></article></div></body>', TEXT),
     (f'<body><div class="sidebar"><p>{TEXT}</p></div><p>end</p></body>', TEXT + "\nend"),
     (f'<article><p>{TEXT}</p><div class="comments"><article>short one</article></div></article>', TEXT),
+    (f'<article><p class="notice">x<p>Real text</p><p>{TEXT}</p></article>', "Real text\n" + TEXT),
+    (f'<article><ul><li class="share">x<li>a b</ul><p>{TEXT}</p></article>', "a b\n" + TEXT),
+    (f'<article><ul><li class="share">x</ul><p>{TEXT}</p></article>', TEXT),
+    (f'<article><table><tr><td class="ad">x<td>{TEXT}<tr><td>more</table></article>', TEXT + "\nmore"),
+    (f'<article><dl><dt class="ad">x<dd>{TEXT}</dl></article>', TEXT),
+    (f'<article><svg class="icon"/><p>{TEXT}</p></article>', TEXT),
+    (f'<article><svg><path d="M"/></svg><p>{TEXT}</p></article>', TEXT),
 ])
 def test_article_is_whole(page, text):
     assert main_text(page) == text
