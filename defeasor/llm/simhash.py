@@ -4,17 +4,20 @@ A text is lower-cased (A-Z), cut at white space and turned into 3-word shingles
 sequence). Bit b of the fingerprint is set if over half of the shingles' XXH64 (seed 42) have it. Fingerprints that differ
 in at most ``radius`` bits are linked; groups are the connected components.
 
-Search: equal fingerprints are one node from the start. If two differ in at most 3 of 64 bits, at least 3 of 6 blocks are
-equal, so each fingerprint goes to 20 block keys of about 32 bits and only fingerprints with an equal key meet. Where they
-meet, the method's table is used: each fingerprint has its Hamming distances to ``pivots`` fixed reference fingerprints;
-by the triangle inequality a pair is discarded if any coordinate differs by more than the radius, and what survives is
-verified bit by bit. Each meeting yields a spanning forest of its links, never all pairs.
+Search: equal fingerprints are one node from the start. Each has its Hamming distances to ``pivots`` fixed reference
+fingerprints, precomputed once and written as the pivot table. By the triangle inequality a pair is discarded if any
+coordinate differs by more than the radius, and what survives is verified bit by bit. Which pairs are held against the
+table: if two fingerprints differ in at most 3 of 64 bits, at least 3 of 6 blocks are equal, so each goes to 20 block keys
+of about 32 bits and only those with an equal key meet. A key of more than ``hot`` fingerprints is divided again by 20 keys
+of about 16 of its other bits. In a meeting the first coordinate puts the rows in order, so that a row's partners are a
+slice, and the other coordinates discard pairs one after the other. Each meeting yields a spanning forest of its links,
+never all pairs.
 
 Edge cases: null, empty and wordless texts have fingerprint zero and link like any other. A null id is never the
 smallest; a group of null ids only has a null component. Repeated rows come back as often as they came. An empty table
 gives an empty result. Only the two named columns are read; ``drop_near_duplicates`` keeps all columns.
 
-Scale: texts are read once and never shuffled; from then on rows are some 20 bytes. A key shared by more than ``hot``
+Scale: texts are read once and never shuffled; from then on rows are some 40 bytes. A finer key shared by more than ``hot``
 fingerprints is cut into chunks, and pairs of chunks are handled by separate tasks. Components come from alternating
 large-star and small-star passes over written edges, never from links on the driver.
 """
@@ -27,12 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .util import small_batches, stash
+from .util import packed, small_batches, stash, unpacked
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -89,17 +91,21 @@ def pivot_table(fps: np.ndarray, pivots: int) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, coords: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Positions of links that span each component of one meeting."""
-    rest, queue, links = np.arange(len(fps)), [], []
+    """Positions of links that span each component of one meeting. Rows are kept in the order of the first coordinate, so
+    that partners are a slice; each further coordinate discards pairs before the fingerprints are compared."""
+    rest, queue, links = np.argsort(coords[:, 0], kind="stable"), [], []
     while len(rest):
         if not queue:
             queue.append(int(rest[0]))
             rest = rest[1:]
         i = queue.pop()
-        if not len(rest):
-            break
-        close = (np.abs(coords[rest] - coords[i]) <= radius).all(axis=1)
-        at = np.flatnonzero(close)
+        first = coords[rest, 0]
+        lo, hi = np.searchsorted(first, coords[i, 0] - radius), np.searchsorted(first, coords[i, 0] + radius, side="right")
+        at = np.arange(lo, hi)
+        for k in range(1, coords.shape[1]):
+            if len(at) < 8:
+                break
+            at = at[np.abs(coords[rest[at], k] - coords[i, k]) <= radius]
         at = at[np.bitwise_count(fps[rest[at]] ^ fps[i]) <= radius]
         if len(at):
             found = rest[at].tolist()
@@ -109,47 +115,114 @@ def forest(fps: np.ndarray, coords: np.ndarray, radius: int) -> list[tuple[int,
     return links
 
 
+def with_pivots(reps: DataFrame, pivots: int) -> DataFrame:
+    """reps (__fp, ...) with __pivots, one byte for each reference fingerprint: the pivot table, written once."""
+    out = T.StructType([*reps.schema.fields, T.StructField("__pivots", T.BinaryType())])
+    at = reps.columns.index("__fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column(at).to_numpy().view(np.uint64), pivots).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in table], pa.binary())], names=out.names)
+
+    return stash(reps.mapInArrow(run, out), "pivots")
+
+
+def meetings(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns and the positions at which a meeting starts, from rows sorted by the first `keys` columns: whole meetings."""
+    left: list[np.ndarray] | None = None
+    for batch in itertools.chain(batches, [None]):
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None else None
+        if left is not None:
+            cols = left if cols is None else [np.concatenate(x) for x in zip(left, cols)]
+        if cols is None or not len(cols[0]):
+            continue
+        new = np.zeros(len(cols[0]), bool)
+        new[0] = True
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        if batch is not None:  # the last meeting may go on in the next batch
+            left, cols = [c[starts[-1] :] for c in cols], [c[: starts[-1]] for c in cols]
+            starts = starts[:-1]
+        if len(starts):
+            yield cols, starts
+
+
+def rows_of_bytes(column: np.ndarray, kind: type) -> np.ndarray:
+    """Binary values of one length as rows of a matrix."""
+    return np.frombuffer(b"".join(column.tolist()), kind).reshape(len(column), -1)
+
+
+def dealt(rows: DataFrame, keys: list[str], hot: int) -> DataFrame:
+    """Rows (keys, __fp, c, ...) with chunks a <= b in the place of c: keys of more than `hot` rows are cut into chunks,
+    and each pair of chunks is a meeting of its own."""
+    rest = [c for c in rows.columns if c not in (*keys, "c")]
+    n = rows.withColumn("n", F.ceil(F.col("c") / hot).cast("int")).withColumn("x", F.pmod(F.xxhash64("__fp"), F.col("n")).cast("int"))
+    n = n.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"), *rest)
+    return n.select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *rest)
+
+
+def finer_masks(radius: int) -> list[list[int]]:
+    """For each of block_masks, masks of the bits outside of it: its blocks in halves, every choice of `radius` halves. Two
+    fingerprints within the radius that agree on the block mask agree on one of these at least."""
+    out = []
+    for mask in block_masks(radius):
+        halves, at = [], 0
+        while at < 64:
+            upto = at
+            while upto < 64 and mask >> upto & 1 == mask >> at & 1:
+                upto += 1
+            if not mask >> at & 1:  # blocks side by side are cut again at the places of blocks
+                cuts = sorted({at, upto, *(x for x in (round(64 * i / (radius + 3)) for i in range(radius + 4)) if at < x < upto)})
+                for a, b in itertools.pairwise(cuts):
+                    half = (a + b) // 2
+                    halves += [((1 << half) - 1) ^ ((1 << a) - 1), ((1 << b) - 1) ^ ((1 << half) - 1)]
+            at = upto
+        out.append([sum(x) for x in itertools.combinations(halves, radius)])
+    return out
+
+
+def _masked(masks: Column, name: str) -> Column:
+    """For each mask its number and the fingerprint under it."""
+    return F.explode(F.transform(masks, lambda x, i: F.struct(i.alias("t"), F.col("__fp").bitwiseAND(x).alias("m")))).alias(name)
+
+
+def _longs(masks: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(x)) for x in masks])
+
+
 def links(reps: DataFrame, radius: int = 3, pivots: int = 16, hot: int = 2048) -> DataFrame:
     """Links (a < b, unsigned order not implied) between distinct fingerprints __fp that keep every component together."""
-    keyed = reps.select("__fp", F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("__fp").bitwiseAND(F.lit(_signed(m))).alias("m")) for t, m in enumerate(block_masks(radius))])).alias("k")).select("__fp", "k.t", "k.m")
+    table = with_pivots(reps.select("__fp"), pivots)
+    keyed = table.select("__fp", "__pivots", _masked(_longs(block_masks(radius)), "k")).select("__fp", "__pivots", "k.t", "k.m")
     shared = keyed.groupBy("t", "m").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = keyed.join(shared, ["t", "m"]).withColumn("n", F.ceil(F.col("c") / hot).cast("int"))
-    met = met.withColumn("x", F.pmod(F.xxhash64("__fp"), F.col("n")).cast("int"))
-    met = met.select("__fp", "t", "m", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"))
-    met = met.select("t", "m", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "__fp").repartition("t", "m", "a", "b").sortWithinPartitions("t", "m", "a", "b")
+    met = keyed.join(shared, ["t", "m"])
+    zero = F.lit(0)
+    calm = met.where(F.col("c") <= hot).withColumns({"t2": zero, "m2": zero.cast("bigint")})
+    # a key that many fingerprints share has keys of its own, from the other bits
+    finer = F.element_at(F.array(*map(_longs, finer_masks(radius))), F.col("t") + 1)
+    busy = met.where(F.col("c") > hot).select("__fp", "__pivots", "t", "m", _masked(finer, "k")).select("__fp", "__pivots", "t", "m", (F.col("k.t") + 1).alias("t2"), F.col("k.m").alias("m2"))
+    keys = ["t", "m", "t2", "m2"]
+    again = busy.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = calm.select(*keys, "c", "__fp", "__pivots").union(busy.join(again, keys).select(*keys, "c", "__fp", "__pivots"))
+    met = dealt(met, keys, hot).repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b")
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[np.ndarray] | None = None
-        for batch in itertools.chain(batches, [None]):
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None else None
-            if left is not None:
-                cols = left if cols is None else [np.concatenate(x) for x in zip(left, cols)]
-            if cols is None or not len(cols[0]):
-                continue
-            new = np.zeros(len(cols[0]), bool)
-            new[0] = True
-            for c in cols[:4]:
-                new[1:] |= c[1:] != c[:-1]
-            starts = np.flatnonzero(new)
-            if batch is not None:  # the last meeting may go on in the next batch
-                left, cols = [c[starts[-1] :] for c in cols], [c[: starts[-1]] for c in cols]
-                starts = starts[:-1]
-                if not len(starts):
-                    continue
-            fps = cols[4].view(np.uint64)
-            coords = pivot_table(fps, pivots)
+        for cols, starts in meetings(batches, 6):
+            fps, coords = cols[6].view(np.uint64), rows_of_bytes(cols[7], np.uint8).astype(np.int16)
             sizes = np.diff([*starts, len(fps)])
             two = starts[sizes == 2]
             two = two[(np.abs(coords[two] - coords[two + 1]) <= radius).all(axis=1)]
             two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius]
-            a, b = [cols[4][two]], [cols[4][two + 1]]
+            a, b = [cols[6][two]], [cols[6][two + 1]]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 found = forest(fps[s : s + n], coords[s : s + n], radius)
                 if found:
                     i, j = np.array(found).T
-                    a.append(cols[4][s + i])
-                    b.append(cols[4][s + j])
+                    a.append(cols[6][s + i])
+                    b.append(cols[6][s + j])
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=out.names)
@@ -201,15 +274,15 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 def first_of_groups(docs: DataFrame, rows: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The document of the smallest id of each __root, from rows (id, __hash, __fp) and of (__fp, __root)."""
-    each = rows.join(of, "__fp").groupBy("__root", id_col, "__hash").agg(F.count(F.lit(1)).alias("__n"))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("__id"), F.col("__hash"), F.col("__n"))).alias("f")
+    each = rows.withColumnRenamed(id_col, "__id").join(of, "__fp").groupBy("__root", "__id", "__hash").agg(F.count(F.lit(1)).alias("__n"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("x"), F.col("__id"), F.col("__hash"), F.col("__n"))).alias("f")
     keep = stash(each.groupBy("__root").agg(first).select("f.__id", "f.__hash", "f.__n"), "kept")
+    whole = packed(docs, __i=id_col, __h=F.xxhash64(text_col))
 
     def kept(part: DataFrame) -> DataFrame:
-        return docs.join(part.drop("__n"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")))
+        return whole.join(part, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
 
-    out = kept(keep.where("__n = 1"))
+    out = unpacked(kept(keep.where("__n = 1")), docs)
     if not (several := keep.where("__n > 1")).isEmpty():  # rows with the same id and text: one of them
-        one = Window.partitionBy("__id", "__hash").orderBy("__id")
-        out = out.union(kept(several).withColumn("__at", F.row_number().over(one)).where("__at = 1").drop("__at"))
-    return out.drop("__id", "__hash")
+        out = out.union(unpacked(kept(several).dropDuplicates(["__id", "__hash"]), docs))
+    return out

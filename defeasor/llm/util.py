@@ -18,10 +18,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir. In local mode without the setting (tests) a temporary one; a cluster
+    without it is an error, as no folder of one machine is seen by all."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="defeasor-")
@@ -52,9 +55,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts: so few rows that a batch of long texts fits a Python worker."""
+    """Arrow batches of whole texts: so few rows, and so few bytes (or one row), that a batch of long texts fits a Python
+    worker. The settings are those of the session; no result depends on them."""
     sound_unions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+
+
+def packed(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """Each row as one struct __row beside the given columns: no name of the input can meet theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
+
+
+def unpacked(df: DataFrame, like: DataFrame, **replaced: Column) -> DataFrame:
+    """The rows in __row with the columns of `like` in their order, some of them replaced."""
+    return df.select(*[(replaced[c] if c in replaced else F.col("__row").getField(c)).alias(c) for c in like.columns])
 
 
 def words(text: Column) -> Column:
