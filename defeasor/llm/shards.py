@@ -7,12 +7,14 @@ have no gaps, any row's place can be computed from its number, and the whole shu
 The permutation is a balanced Feistel network over [0, 2^(2k)), 2^(2k) >= N; a value outside [0, N) is encrypted again
 until it falls inside (cycle walking), which keeps it a permutation of exactly N numbers.
 
-Edge cases: null ids and null texts are ordinary values; equal rows get numbers side by side, in any order, which
-changes nothing in the result; an empty table gives an empty result. Output names that the input already has (size,
-text_crc32, law, shard, slot, grown_shard) are replaced.
-
-Scale: row numbers need no global sort. Rows go to ``buckets`` hash buckets of their content, a bucket's rows are
-counted, the counts are summed up on the driver (as many numbers as buckets), and rows are numbered within buckets.
+Edge cases: null ids and null texts are ordinary values; equal rows get numbers side by side; an empty table gives an
+empty result. Output names that the input already has (size, text_crc32, law, shard, slot, grown_shard) are replaced; all
+other names are free.
+
+Scale: row numbers need no global sort. Rows are counted by a 128-bit hash of their content, which is all that is numbered:
+hashes go to buckets of some ``per_bucket`` of them (2**17 buckets at most), the driver sums up the buckets' rows, and a
+window numbers the hashes of a bucket. The rows meet their numbers in one join. Rows that are equal in all columns are one
+hash with a count: one of them is carried and copied by many tasks, so a row that a third of the table repeats meets in none.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .util import stable_key, stash
+from .util import copied, packed, row_keys, stash
 
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -56,19 +58,21 @@ def feistel(numbers: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarr
     return x.astype(np.int64)
 
 
-def global_numbers(df: DataFrame, key: Column, buckets: int = 4096) -> tuple[DataFrame, int]:
-    """df (written once) with __row, its global number, and the number of rows."""
-    rows = stash(df.withColumn("__key", key).withColumn("__bucket", F.pmod(F.col("__key"), F.lit(buckets)).cast("int")), "rows")
-    counts = dict(rows.groupBy("__bucket").count().collect())  # at most `buckets` rows
+def numbers_of(rows: DataFrame, per_bucket: int = 1 << 16) -> tuple[DataFrame, int]:
+    """From rows with __k1 and __k2: for each pair its number of rows __n and the first of their global numbers __start, and
+    the number of all rows."""
+    groups = stash(rows.groupBy("__k1", "__k2").agg(F.count(F.lit(1)).alias("__n")), "groups")
+    buckets = max(64, min(1 << 17, -(-groups.count() // per_bucket)))
+    groups = groups.withColumn("__bucket", F.pmod("__k1", F.lit(buckets)).cast("int"))
+    counts = dict(groups.groupBy("__bucket").agg(F.sum("__n")).collect())  # at most `buckets` rows
     starts, n = [], 0
-    for b in range(buckets):
+    for b in sorted(counts):
         starts.append((b, n))
-        n += counts.get(b, 0)
-    offsets = df.sparkSession.createDataFrame(starts, "__bucket int, __start long")
-    ties = [F.col(f"`{c}`").asc_nulls_first() for c, t in df.dtypes if not t.startswith(("map", "variant"))]
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy("__key", *ties))
-    numbered = rows.withColumn("__at", within).join(F.broadcast(offsets), "__bucket").withColumn("__row", F.col("__start") + F.col("__at") - 1)
-    return numbered.drop("__key", "__bucket", "__at", "__start"), n
+        n += counts[b]
+    offsets = rows.sparkSession.createDataFrame(starts, "__bucket int, __offset long")
+    within = F.sum("__n").over(Window.partitionBy("__bucket").orderBy("__k1", "__k2")) - F.col("__n")
+    numbered = groups.withColumn("__at", within).join(F.broadcast(offsets), "__bucket")
+    return numbered.select("__k1", "__k2", "__n", (F.col("__offset") + F.col("__at")).alias("__start")), n
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -77,15 +81,25 @@ def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.drop(*ADDED).withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text.cast("binary"))})
 
 
-def shard_rows(docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240229, buckets: int = 4096, carry: list[str] | None = None) -> DataFrame:
+def shard_rows(docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240229, carry: list[str] | None = None) -> DataFrame:
     """docs (or only id and the columns in carry) with size, text_crc32, law, shard, slot and grown_shard (null)."""
     kept = sized(docs, text_col)
     kept = kept if carry is None else kept.select(id_col, *[c for c in carry if c != id_col], "size", "text_crc32")
-    numbered, n = global_numbers(kept, stable_key(kept, [id_col, "text_crc32", "size"]), buckets)
+    first, second = row_keys(kept)
+    rows = packed(kept, __k1=first, __k2=second)
+    numbers, n = numbers_of(rows.select("__k1", "__k2"))
+    numbers = stash(numbers, "numbers")
 
     @F.pandas_udf(T.LongType())
     def place(row: pd.Series) -> pd.Series:
         return pd.Series(feistel(row.to_numpy(), n, seed))
 
-    placed = numbered.withColumn("__p", place("__row"))
-    return placed.withColumns({"law": F.lit("rows"), "shard": F.pmod("__p", F.lit(n_shards)).cast("int"), "slot": F.floor(F.col("__p") / n_shards).cast("long"), "grown_shard": F.lit(None).cast("int")}).drop("__row", "__p")
+    def placed(found: DataFrame) -> DataFrame:
+        p = found.withColumn("__p", place("__at"))
+        return p.select(*[F.col("__row").getField(c).alias(c) for c in kept.columns], F.lit("rows").alias("law"), F.pmod("__p", F.lit(n_shards)).cast("int").alias("shard"), F.floor(F.col("__p") / n_shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+    out = placed(rows.join(numbers.where("__n = 1"), ["__k1", "__k2"]).withColumn("__at", F.col("__start")))
+    if not (several := numbers.where("__n > 1")).isEmpty():
+        one = rows.join(several, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"])
+        out = out.union(placed(copied(one, F.col("__n"), "__i").withColumn("__at", F.col("__start") + F.col("__i"))))
+    return out

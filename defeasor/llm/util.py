@@ -78,7 +78,14 @@ def words(text: Column) -> Column:
     return F.when(F.element_at(parts, 1) == "", F.array().cast("array<string>")).otherwise(parts)
 
 
-def stable_key(df: DataFrame, first: list[str]) -> Column:
-    """A hash of the named columns and then of all others, for a total order that no layout of the input changes."""
-    rest = sorted(c for c in df.columns if c not in first)
-    return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in (*first, *rest)])
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns, null and empty apart: rows that agree in both are taken as equal."""
+    cols = [F.col(f"`{c}`").cast("string") for c in sorted(df.columns)]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    return F.xxhash64(F.lit(1), nulls, *cols), F.xxhash64(F.lit(2), nulls, *cols)
+
+
+def copied(df: DataFrame, n: Column, name: str, chunk: int = 1000) -> DataFrame:
+    """Each row n times, numbered from 0 in column `name`; the copies of one row are made by many tasks, chunk by chunk."""
+    parts = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(n / chunk) - 1)))).repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
+    return parts.withColumn(name, F.explode(F.sequence(F.col("__chunk") * chunk, F.least(n.cast("bigint"), (F.col("__chunk") + 1) * chunk) - 1))).where(n > 0).drop("__chunk")
