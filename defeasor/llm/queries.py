@@ -61,7 +61,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(table(spark, sf_dir, "documents"))
+    return mixing.mix_report(table(spark, sf_dir, "documents")).drop("__source")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ FROM m GROUP BY r
 
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('97|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
+                  md5('97|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
 w AS (SELECT *, CAST(CASE (nth - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w, source_size * CAST(2.0 AS DOUBLE) AS c FROM s),
 l AS (SELECT *, row_number() OVER (ORDER BY c / w, nth) AS o,
