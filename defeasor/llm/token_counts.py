@@ -2,8 +2,8 @@
 
 The content of a row is normalised (null becomes the empty text; nothing else, as the tokenizer sees every character) and
 digested with SHA-256. The tokenizer has a version digest, that of its file and of the options used. Counts are stored in
-a Parquet cache keyed by both digests: rows are joined to it, only distinct misses are encoded, and their counts are
-appended, so a second run over the same texts encodes nothing.
+a Parquet cache keyed by both digests: the digests of the rows are joined to it, only distinct misses are encoded, and their
+counts are appended, so a second run over the same texts encodes nothing and moves no text.
 
 Counts are those of the library with add_special_tokens off, special strings inside a text handled as the library's
 default does, without truncation or padding.
@@ -11,8 +11,9 @@ default does, without truncation or padding.
 Edge cases: null and empty texts have no bytes and no tokens; repeated texts are encoded once; an empty table leaves
 the cache as it is; only the named columns are read. Texts may be of any length.
 
-Scale: duplicates are removed on the map side before texts are dealt by digest, so a text that a third of the rows share
-costs no task more than others. Appends are whole files of finished tasks; a lost executor repeats its task only.
+Scale: a first pass writes the digests; texts are shuffled only if they are misses (up to ``most_broadcast`` of them; beyond
+that distinct texts meet the misses' digests in a join). Duplicates are removed on the map side before texts are dealt by
+digest, so a text that a third of the rows share costs no task more than others; in the last join AQE can split it. Appends are whole files of finished tasks; a lost executor repeats its task only.
 """
 
 from __future__ import annotations
@@ -65,8 +66,9 @@ def read_cache(spark, path: str, version: str) -> DataFrame:
     return stored.where(F.col("tokenizer_sha256") == version).select("content_sha256", "n_tokens").dropDuplicates(["content_sha256"])
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
-    """Per row: id, content_sha256, n_bytes, n_tokens, over_limit. cache_path: None for a cache that only this call uses."""
+def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, most_broadcast: int = 1 << 20) -> DataFrame:
+    """Per row: id, content_sha256, n_bytes, n_tokens, over_limit. cache_path: None for a cache that only this call uses.
+    most_broadcast: the number of misses up to which their digests are broadcast."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     version, cache_path = tokenizer_version(tokenizer_path), cache_path or shared_path(spark, "token-cache")
@@ -74,11 +76,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
         definition = spark.sparkContext.broadcast(f.read())  # one file of some MB, whatever the input
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("__text")).withColumn("content_sha256", F.sha2("__text", 256))
-    misses = rows.select("content_sha256", "__text").dropDuplicates(["content_sha256"])
+    digest = F.sha2(text, 256).alias("content_sha256")
+    narrow = stash(docs.select(F.col(id_col), digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
     stored = read_cache(spark, cache_path, version)
-    if not stored.isEmpty():
-        misses = misses.join(stored, "content_sha256", "left_anti")
+    cold = stored.isEmpty()
+    need = narrow.select("content_sha256").distinct()
+    need = stash(need if cold else need.join(stored, "content_sha256", "left_anti"), "misses")
+    n_misses = need.count()
+    texts = docs.select(digest, text.alias("__text"))
+    if cold:
+        misses = texts.dropDuplicates(["content_sha256"])
+    elif n_misses <= most_broadcast:  # only texts of misses leave their task
+        misses = texts.join(F.broadcast(need), "content_sha256", "left_semi").dropDuplicates(["content_sha256"])
+    else:
+        misses = texts.dropDuplicates(["content_sha256"]).join(need, "content_sha256", "left_semi")
     out = T.StructType([T.StructField("content_sha256", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +97,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts(t, batch.column(1).to_pylist()), pa.int64())], names=out.names)
 
-    new = misses.mapInArrow(run, out).select("content_sha256", F.lit(version).alias("tokenizer_sha256"), "n_tokens")
-    new.write.mode("append").parquet(cache_path)
-    narrow = stash(rows.select(id_col, "content_sha256", F.octet_length("__text").cast("long").alias("n_bytes")), "digests")
-    found = read_cache(spark, cache_path, version)
-    return narrow.join(found, "content_sha256").select(id_col, "content_sha256", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    if n_misses:
+        misses.mapInArrow(run, out).select("content_sha256", F.lit(version).alias("tokenizer_sha256"), "n_tokens").write.mode("append").parquet(cache_path)
+    # written, so that both sides of the join are dealt out by it and a text that very many rows share can be split
+    found = stash(read_cache(spark, cache_path, version), "counts")
+    return narrow.join(found, "content_sha256").select(F.col(id_col), "content_sha256", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
