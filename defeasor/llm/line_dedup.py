@@ -4,9 +4,11 @@ A text is split at \n; a line's key is the line stripped of white space and lowe
 ``min_chars`` code points that is in at least ``min_docs`` documents loses all its lines in every document (or, with
 ``keep_first``, all but the first occurrence in the corpus, by id).
 
-1. Every batch reduces its lines to 64-bit hashes, each once for a document and at most twice for a batch. Hashes are
-   dealt to segments by their leading bits; each segment passes them through two Bloom filters, "seen once" and "seen
-   twice", and gives up its second filter. Together these are of a size set by ``bits``, whatever the input.
+1. The lines are counted, which sets the size of the filters: ``bits_per_line`` bits a line, in segments by the leading
+   bits of a line's 64-bit hash. Each input partition fills two filters of its own, "seen once" and "seen twice", and
+   hands on the places of their bits. Partial filters of a segment are merged by OR: a bit is in the second filter if it is
+   in any second one or in two first ones. No line and no hash of one is shuffled. The merged second filters are
+   broadcast; beyond ``most_bytes`` in all they are folded by OR to that size.
 2. Texts are read again: only lines that the second filter suspects of repeating leave their task, as 128-bit digests
    with document counts, pre-aggregated, and are counted exactly. False positives of the filter drop out here; a
    repeated line always passes both filters.
@@ -15,11 +17,15 @@ A text is split at \n; a line's key is the line stripped of white space and lowe
    confirmed ones and come back to the text as an array, by the hash of the text.
 
 Edge cases: null and empty texts are one empty line, which is never dropped (unless min_chars is 0); a key repeated
-within a document counts once for it; rows are documents, whatever their id. Empty tables give empty results. Only the
-named columns are read; ``drop_repeated_lines`` keeps all columns.
-
-Scale: no text is shuffled while the confirmed digests fit a broadcast, else once. If lines outgrow the filters, more of them are suspected and shuffled as digests; the
-result stays exact.
+within a document counts once for it; rows are documents, whatever their id: repeated rows and null ids count each for
+itself, and with keep_first one row of them keeps a line. Ids are compared as their type is, null last, then by the hash of
+the text. Empty tables give empty results. Only the named columns are read; ``drop_repeated_lines`` keeps all columns,
+whatever their names.
+
+Scale: no text is shuffled while the confirmed digests fit a broadcast, else once; with keep_first the table is written
+once with a number for each row. What is shuffled for the filters is some 4 bytes a distinct line of a partition. A folded
+filter suspects more lines, and one that is full all of them: then every digest is shuffled, pre-aggregated, and the result
+is the same. With the default size that begins beyond some 10**9 distinct lines.
 """
 
 from __future__ import annotations
@@ -32,15 +38,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import small_batches, stash
+from . import bloom
+from .util import packed, small_batches, stash, unpacked
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = b" \t\n\x0b\x0c\r"
-SEGMENTS = 64
 
 
 def line_keys(text: bytes | None) -> list[bytes]:
@@ -52,66 +58,34 @@ def long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (least <= 1 or len(key.decode("utf-8", "replace")) >= least)
 
 
-def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Four places of each hash in its segment's filter."""
-    a, b = hashes & np.uint64(0x1FFFFFFF), (hashes >> np.uint64(29)) & np.uint64(0x1FFFFFFF) | np.uint64(1)
-    return (a[:, None] + b[:, None] * np.arange(4, dtype=np.uint64)[None, :]) % np.uint64(bits)
-
-
-def _segment(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(58)).astype(np.int64)
-
-
-def seen_twice(hashes: np.ndarray, filters: list[bytes | None]) -> np.ndarray:
-    """Whether each hash may have been seen twice."""
-    out, at = np.zeros(len(hashes), bool), _segment(hashes)
-    bits = 8 * max((len(f) for f in filters if f is not None), default=0)
-    for s in np.unique(at).tolist():
-        if filters[s] is not None:
-            mine = np.flatnonzero(at == s)
-            p = _places(hashes[mine], bits)
-            held = np.frombuffer(filters[s], np.uint8)
-            out[mine] = ((held[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-    return out
-
-
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").cast("binary").alias("t"))
 
 
-def twice_filters(docs: DataFrame, text_col: str = "text", min_chars: int = 1, bits: int = 1 << 21) -> list[bytes | None]:
-    """The second filter of each segment: at most SEGMENTS * bits / 8 bytes in all."""
+def _document_counts(texts: list[bytes | None], min_chars: int) -> Counter:
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update({k for k in line_keys(text) if long_enough(k, min_chars)})
+    return seen
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                seen.update({k for k in line_keys(text) if long_enough(k, min_chars)})
-            h = np.array([xxhash.xxh64_intdigest(k) for k in seen], np.uint64)
-            n = np.minimum(np.fromiter(seen.values(), np.int64, len(seen)), 2)
-            yield pa.RecordBatch.from_arrays([pa.array(_segment(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["s", "h", "n"])
+
+def twice_filter(docs: DataFrame, text_col: str = "text", min_chars: int = 1, bits_per_line: int = 16, most_bytes: int = 1 << 26) -> bloom.Filter:
+    """The second filter of all lines: at most most_bytes."""
+    text = F.col(text_col).cast("string")
+    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    segments = bloom.segments_for(lines * bits_per_line)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            segs, hs, ns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for s in np.unique(segs).tolist():
-                one, two = once.setdefault(s, np.zeros(bits, bool)), twice.setdefault(s, np.zeros(bits, bool))
-                h, back, count = np.unique(hs[segs == s].view(np.uint64), return_inverse=True, return_counts=True)
-                n = np.bincount(back, ns[segs == s], len(h))
-                p = _places(h, bits).astype(np.int64)
-                two[p[(n > 1) | one[p].all(axis=1)].ravel()] = True
-                one[p.ravel()] = True
-        for s, two in twice.items():
-            if two.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())], names=["s", "f"])
-
-    found = _texts(docs, text_col).mapInArrow(hashes, "s long, h long, n long").repartition(SEGMENTS, "s").mapInArrow(fill, "s long, f binary")
-    out: list[bytes | None] = [None] * SEGMENTS
-    for s, f in found.collect():
-        out[s] = bytes(f)
-    return out
+            seen = _document_counts(batch.column(0).to_pylist(), min_chars)
+            hashes.append(np.array([xxhash.xxh64_intdigest(k) for k in seen], np.uint64))
+            counts.append(np.fromiter(seen.values(), np.int64, len(seen)))
+        h, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        again = np.bincount(back, np.concatenate(counts), len(h)) > 1
+        yield from bloom.parts(h, again, segments)
+
+    return bloom.collected(_texts(docs, text_col).mapInArrow(fill, bloom.PARTS), segments, most_bytes, twice=True)
 
 
 def repeated_keys(docs: DataFrame, filters: Broadcast, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -121,13 +95,10 @@ def repeated_keys(docs: DataFrame, filters: Broadcast, text_col: str = "text", m
         raise ValueError("a repeated line is in at least two documents")
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = filters.value
         for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                seen.update({k for k in line_keys(text) if long_enough(k, min_chars)})
+            seen = _document_counts(batch.column(0).to_pylist(), min_chars)
             keys = list(seen)
-            may = seen_twice(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), held)
+            may = filters.value.suspects(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64))
             keys = [keys[i] for i in np.flatnonzero(may).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(k) for k in keys], pa.binary()), pa.array([seen[k] for k in keys], pa.int64())], names=["key", "n"])
 
@@ -153,55 +124,48 @@ def _cut(text: bytes | None, gone: Container[bytes], own: Iterable[bytes], min_c
 class Confirmed:
     """The confirmed keys: broadcast if there are at most block_keys of them, else at hand by joins only."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, bits: int, block_keys: int):
+    def __init__(self, docs: DataFrame, text_col: str, min_docs: int, min_chars: int, bits_per_line: int, block_keys: int, most_bytes: int):
+        small_batches(docs.sparkSession)
         self.docs, self.text_col, self.min_chars = docs, text_col, min_chars
-        self.filters = docs.sparkSession.sparkContext.broadcast(twice_filters(docs, text_col, min_chars, bits))
+        self.filters = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, text_col, min_chars, bits_per_line, most_bytes))
         self.keys = repeated_keys(docs, self.filters, text_col, min_docs, min_chars)
-        self.rank = F.when(F.col(id_col).isNull(), "~").otherwise(F.lpad(F.col(id_col).cast("string"), 24, "0"))
         self.small = self.keys.count() <= block_keys
         held = frozenset(bytes(k) for (k,) in self.keys.select("key").toLocalIterator()) if self.small else frozenset()
         self.held = docs.sparkSession.sparkContext.broadcast(held)
 
-    def occurrences(self) -> DataFrame:
-        """(key, i, h): confirmed keys of each document, by the rank of its id and the hash of its text."""
+    def occurrences(self, mark: Column) -> DataFrame:
+        """(key, mark): confirmed keys of each document, once for each."""
         filters, held, small, least = self.filters, self.held, self.small, self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, ids, hashes = [], [], []
-                for i, h, t in zip(*(c.to_pylist() for c in batch.columns)):
+                keys, at = [], []
+                for i, t in enumerate(batch.column(1).to_pylist()):
                     mine = [k for k in set(line_keys(t)) if long_enough(k, least)]
                     if not small:
-                        may = seen_twice(np.array([xxhash.xxh64_intdigest(k) for k in mine], np.uint64), filters.value)
+                        may = filters.value.suspects(np.array([xxhash.xxh64_intdigest(k) for k in mine], np.uint64))
                         mine = [mine[j] for j in np.flatnonzero(may).tolist()]
                     found = [d for d in map(xxhash.xxh3_128_digest, mine) if not small or d in held.value]
                     keys += found
-                    ids += [i] * len(found)
-                    hashes += [h] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.string()), pa.array(hashes, pa.int64())], names=["key", "i", "h"])
+                    at += [i] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(pa.array(at, pa.int64()))], names=["key", "mark"])
 
-        marks = self.docs.select(self.rank, F.xxhash64(self.text_col), F.col(self.text_col).cast("string").cast("binary"))
-        found = marks.mapInArrow(run, "key binary, i string, h long")
+        marks = self.docs.select(mark.alias("mark"), F.col(self.text_col).cast("string").cast("binary").alias("t"))
+        found = marks.mapInArrow(run, T.StructType([T.StructField("key", T.BinaryType()), marks.schema["mark"]]))
         return found if small else found.join(self.keys.select("key"), "key")
 
-    def marked(self, keep_first: bool = False) -> DataFrame:
-        """The documents with __gone, the keys their lines lose (null if the broadcast has them), and __own, the keys
-        whose first line they keep. What a text loses depends on the text only, so its hash finds it."""
-        none = F.lit(None).cast("array<binary>")
-        rows = self.docs.withColumns({"__i": self.rank, "__h": F.xxhash64(self.text_col), "__own": none, "__gone": none})
-        if not self.small:
-            gone = self.occurrences().select("h", "key").distinct().groupBy(F.col("h").alias("__h")).agg(F.collect_list("key").alias("__gone"))  # as many as a text has lines
-            rows = rows.drop("__gone").join(gone, "__h", "left")
-        if keep_first:
-            first = self.occurrences().groupBy("key").agg(F.min(F.struct("i", "h")).alias("o"))
-            own = first.groupBy(F.col("o.i").alias("__i"), F.col("o.h").alias("__h")).agg(F.collect_list("key").alias("__own"))
-            rows = rows.drop("__own").join(own, ["__i", "__h"], "left")
-        return rows
-
-
-def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, bits: int = 1 << 21, block_keys: int = 1 << 20) -> DataFrame:
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """rows (with __h, the hash of the text) with __gone, the keys their lines lose, or null if the broadcast has them.
+        What a text loses depends on the text only, so its hash finds it."""
+        if self.small:
+            return rows.withColumn("__gone", F.lit(None).cast("array<binary>"))
+        gone = self.occurrences(F.xxhash64(self.text_col)).distinct().groupBy(F.col("mark").alias("__h")).agg(F.collect_list("key").alias("__gone"))  # as many as a text has lines
+        return rows.join(gone, "__h", "left")
+
+
+def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, bits_per_line: int = 16, block_keys: int = 1 << 20, most_bytes: int = 1 << 26) -> DataFrame:
     """Per row: id, n_lines, n_dropped and kept_sha256 (of the lines that stay, joined by \\n)."""
-    c = Confirmed(docs.select(id_col, text_col), id_col, text_col, min_docs, min_chars, bits, block_keys)
+    c = Confirmed(docs.select(id_col, text_col), text_col, min_docs, min_chars, bits_per_line, block_keys, most_bytes)
     held, small, least = c.held, c.small, c.min_chars
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
@@ -211,14 +175,18 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             found = [_cut(t, held.value if small else set(g or ()), (), least) for t, g in zip(batch.column(1).to_pylist(), listed)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([n - len(s) for n, s in found], pa.int64()), pa.array([hashlib.sha256(b"\n".join(s)).hexdigest() for _, s in found], pa.string())], names=out.names)
 
-    rows = c.docs if small else c.marked()
-    return rows.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text"), *([] if small else ["__gone"])).mapInArrow(run, out)
+    text = F.col(text_col).cast("string").cast("binary").alias("__text")
+    rows = c.docs.select(F.col(id_col).alias("__id"), text, *([] if small else [F.xxhash64(text_col).alias("__h")]))
+    return (rows if small else c.marked(rows)).select("__id", "__text", *([] if small else ["__gone"])).mapInArrow(run, out)
 
 
-def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits: int = 1 << 21, block_keys: int = 1 << 20) -> DataFrame:
-    """docs with the repeated lines cut out of the text (null stays null). keep_first: the row with the smallest
-    (id, hash of the text) that has a key keeps the key's first line."""
-    c = Confirmed(docs, id_col, text_col, min_docs, min_chars, bits, block_keys)
+def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits_per_line: int = 16, block_keys: int = 1 << 20, most_bytes: int = 1 << 26) -> DataFrame:
+    """docs with the repeated lines cut out of the text (null stays null). keep_first: the row with the smallest id (null
+    last; then by the hash of the text, then any one) that has a key keeps the key's first line."""
+    whole = packed(docs, __id=id_col, __t=F.col(text_col).cast("string"))
+    if keep_first:
+        whole = stash(whole.withColumn("__n", F.monotonically_increasing_id()), "numbered")
+    c = Confirmed(whole, "__t", min_docs, min_chars, bits_per_line, block_keys, most_bytes)
     held, small, least = c.held, c.small, c.min_chars
 
     def cut(t: bytes | None, gone: list[bytes] | None, own: list[bytes] | None) -> str | None:
@@ -226,5 +194,12 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
             return None
         return b"\n".join(_cut(t, held.value if small else set(map(bytes, gone or ())), map(bytes, own or ()), least)[1]).decode("utf-8", "replace")
 
-    text = F.udf(cut, "string", useArrow=True)(F.col(text_col).cast("string").cast("binary"), "__gone", "__own")
-    return c.marked(keep_first).withColumn(text_col, text).select(*docs.columns)
+    rows = c.marked(whole.withColumn("__h", F.xxhash64("__t")))
+    own = F.lit(None).cast("array<binary>")
+    if keep_first:
+        marks = c.occurrences(F.struct(F.col("__id").isNull().alias("x"), F.col("__id").alias("i"), F.xxhash64("__t").alias("h"), F.col("__n").alias("n")))
+        first = marks.groupBy("key").agg(F.min("mark").alias("m"))
+        rows = rows.join(first.groupBy(F.col("m.n").alias("__n")).agg(F.collect_list("key").alias("__own")), "__n", "left")
+        own = F.col("__own")
+    text = F.udf(cut, "string", useArrow=True)(F.col("__t").cast("binary"), F.col("__gone"), own)
+    return unpacked(rows, docs, **{text_col: text})
