@@ -4,16 +4,19 @@ Base spans (kinds assign, access, hex) are the matches of three patterns, leftmo
 matches that are too short are dropped. Offsets are code points: a text is cut at the matches, and the lengths of cuts
 and matches are summed up in blocks, so that many matches cost no quadratic time.
 
-Candidates of the method are runs of 20 or more characters of [A-Za-z0-9+/_=-] that no base span touches. The encoding is
-inferred (hex, base32, base64) and gives the alphabet. Three tests are computed from the positions of the characters in
-the alphabet: chi-squared for uniformity (Wilson-Hilferty), runs above and below the middle, and lag-1 serial
-correlation. A candidate counts as random only if none of the three rejects randomness at ``accept``. The discovery
-itself is tested against ordinary text: there chi-squared has a noncentral distribution whose excess grows with the
-length (``TEXT_EXCESS`` a character), so p = P(chi-squared as small as seen | text) is small only for strings long enough
-to tell the two apart. Benjamini-Hochberg over all candidates of the corpus, on a histogram of p with a fixed number of
-bins, holds the share of false discoveries below ``fdr``. Discoveries are spans of kind random.
-
-Edge cases: a candidate of less than two characters before its final '=' is not random; null and empty texts have no spans; repeated rows are scanned each for itself; spans of one start are in the
+Candidates of the method are runs of 20 or more characters of [A-Za-z0-9+/_-], with up to two of = after them. The
+encoding is inferred (hex, base32, base64) and gives the alphabet. Three tests are computed from the positions of the
+characters in the alphabet: chi-squared for uniformity (Wilson-Hilferty), runs above and below the middle, and lag-1 serial
+correlation. A candidate counts as random only if none of the three rejects randomness at ``accept``.
+
+The discovery itself is tested against ordinary text, whose law is learned from the corpus: over the candidates that the
+battery rejects, for each encoding, the excess of chi-squared a character and the share of neighbours of different classes
+(capital, small, digit, other), with their spread between strings. A candidate's two deviations from that law, each scaled
+by what its length lets expect, are added up to one z, and p = P(z as large | text). Benjamini-Hochberg over all candidates
+of the corpus, on a histogram of p with a fixed number of bins, holds the share of false discoveries below ``fdr``.
+Discoveries are spans of kind random. Candidates inside of a base span are tested like others, but not reported twice.
+
+Edge cases: a corpus with fewer than ``LEAST`` rejected candidates of an encoding uses the law in ``TEXT_LAW``; null and empty texts have no spans; repeated rows are scanned each for itself; spans of one start are in the
 order of the kinds; an empty table gives an empty result; only the named columns are read.
 
 Scale: one scan of the texts writes the few spans and candidates; the second pass reads those only. The histogram has at
@@ -32,14 +35,16 @@ from .util import stash
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 #: Alphabets in the order of their encodings.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: Excess of chi-squared for each character of ordinary text: k * (sum of squared letter shares) - 1, for digits only in
-#: hex, capital letters in base32, lower-case letters in base64.
-TEXT_EXCESS = {"hex": 0.6, "base32": 1.1, "base64": 3.2}
+#: By encoding, of ordinary text: the excess of chi-squared a character and its spread, the share of neighbours of different
+#: classes and its spread.
+TEXT_LAW = {"hex": (0.6, 0.3, 0.1, 0.1), "base32": (1.1, 0.5, 0.05, 0.05), "base64": (3.2, 1.0, 0.12, 0.08)}
+#: Candidates of an encoding from which a law of its own is learned, and the least spread it may have.
+LEAST, SPREAD = 30, 0.03
 BINS = 4096
 BLOCK = 256
 
@@ -95,26 +100,26 @@ def _normal_tail(z: Column) -> Column:
 
 
 def battery(found: Column) -> Column:
-    """struct<enc, n, chi2, p_uniform, p_runs, p_serial, p_text> of one candidate string."""
+    """struct<enc, n, chi2, changes, p_uniform, p_runs, p_serial> of one candidate string of 20 or more characters."""
     enc = F.when(found.rlike("^[0-9a-fA-F]+$"), F.lit("hex")).when(found.rlike("^[A-Z2-7]+=*$"), F.lit("base32")).otherwise(F.lit("base64"))
 
     def tests(v: Column) -> Column:
         alphabet = F.when(v["enc"] == "hex", ALPHABETS["hex"]).when(v["enc"] == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
         plain = F.translate(F.rtrim(v["s"], F.lit("=")), "-_", "+/")
         plain = F.when(v["enc"] == "hex", F.lower(plain)).otherwise(plain)
-        return let(F.struct(v["enc"].alias("enc"), alphabet.alias("alphabet"), plain.alias("s")), lambda u: F.when(F.length(u["s"]) < 2, too_short(u)).otherwise(let(F.struct(u["enc"].alias("enc"), u["s"].alias("s"), F.length(u["alphabet"]).cast("double").alias("k"), F.transform(F.split(u["s"], ""), lambda c: (F.instr(u["alphabet"], c) - 1).cast("double")).alias("x")), numbers)))
-
-    def too_short(u: Column) -> Column:
-        zero = F.lit(0.0)
-        return F.struct(u["enc"].alias("enc"), F.length(u["s"]).alias("n"), zero.alias("chi2"), zero.alias("p_uniform"), zero.alias("p_runs"), zero.alias("p_serial"), F.lit(1.0).alias("p_text"))
+        return let(F.struct(v["enc"].alias("enc"), alphabet.alias("alphabet"), plain.alias("s")), lambda u: let(F.struct(u["enc"].alias("enc"), u["s"].alias("s"), F.length(u["alphabet"]).cast("double").alias("k"), F.transform(F.split(u["s"], ""), lambda c: (F.instr(u["alphabet"], c) - 1).cast("double")).alias("x")), numbers))
 
     def numbers(v: Column) -> Column:
         n, k, x = F.length(v["s"]).cast("double"), v["k"], v["x"]
         squares = F.aggregate(F.array_distinct(F.split(v["s"], "")), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(v["s"], c, F.lit(""))), F.lit(2.0)))
         mean = F.aggregate(x, F.lit(0.0), lambda a, c: a + c) / n
         high = F.aggregate(x, F.lit(0.0), lambda a, c: a + F.when(c > (k - 1) / 2, 1.0).otherwise(0.0))
-        turns = F.aggregate(F.sequence(F.lit(1), F.size(x) - 1), F.lit(1.0), lambda a, i: a + F.when((F.get(x, i) > (k - 1) / 2) != (F.get(x, i - 1) > (k - 1) / 2), 1.0).otherwise(0.0))
-        return let(F.struct(v["enc"].alias("enc"), n.alias("n"), k.alias("k"), x.alias("x"), (k / n * squares - n).alias("chi2"), mean.alias("mean"), high.alias("high"), turns.alias("runs")), p_values)
+        pairs = F.sequence(F.lit(1), F.size(x) - 1)
+        turns = F.aggregate(pairs, F.lit(1.0), lambda a, i: a + F.when((F.get(x, i) > (k - 1) / 2) != (F.get(x, i - 1) > (k - 1) / 2), 1.0).otherwise(0.0))
+        step = lambda c, at: F.when(c >= at, 1).otherwise(0)
+        kind = lambda c: F.when(v["enc"] == "hex", step(c, 10)).when(v["enc"] == "base32", step(c, 26)).otherwise(step(c, 26) + step(c, 52) + step(c, 62))
+        changes = F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.when(kind(F.get(x, i)) != kind(F.get(x, i - 1)), 1.0).otherwise(0.0))
+        return let(F.struct(v["enc"].alias("enc"), n.alias("n"), k.alias("k"), x.alias("x"), (k / n * squares - n).alias("chi2"), mean.alias("mean"), high.alias("high"), turns.alias("runs"), changes.alias("changes")), p_values)
 
     def p_values(v: Column) -> Column:
         n, df, x = v["n"], v["k"] - 1, v["x"]
@@ -124,29 +129,50 @@ def battery(found: Column) -> Column:
         z_runs = (v["runs"] - mean_runs) / F.sqrt(var_runs)
         spread = F.aggregate(x, F.lit(0.0), lambda a, c: a + (c - v["mean"]) * (c - v["mean"]))
         lag = F.aggregate(F.sequence(F.lit(1), F.size(x) - 1), F.lit(0.0), lambda a, i: a + (F.get(x, i) - v["mean"]) * (F.get(x, i - 1) - v["mean"]))
-        z_serial = F.when(spread > 0, (lag / spread + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-        excess = n * F.when(v["enc"] == "hex", TEXT_EXCESS["hex"]).when(v["enc"] == "base32", TEXT_EXCESS["base32"]).otherwise(TEXT_EXCESS["base64"])
-        z_text = (v["chi2"] - df - excess) / F.sqrt(2 * df + 4 * excess)
-        return F.struct(v["enc"].alias("enc"), n.cast("int").alias("n"), v["chi2"].alias("chi2"), _normal_tail(z_chi).alias("p_uniform"), (2 * _normal_tail(F.abs(z_runs))).alias("p_runs"), (2 * _normal_tail(F.abs(z_serial))).alias("p_serial"), _normal_tail(-z_text).alias("p_text"))
+        z_serial = F.when(spread > 0, (lag / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
+        return F.struct(v["enc"].alias("enc"), n.cast("int").alias("n"), v["chi2"].alias("chi2"), v["changes"].alias("changes"), _normal_tail(z_chi).alias("p_uniform"), (2 * _normal_tail(F.abs(z_runs))).alias("p_runs"), (2 * _normal_tail(F.abs(z_serial))).alias("p_serial"))
 
     return let(F.struct(enc.alias("enc"), found.alias("s")), tests)
 
 
+Law = dict[str, tuple[float, float, float, float]]
+
+
+def _df(t: Column) -> Column:
+    return F.when(t["enc"] == "hex", 15.0).when(t["enc"] == "base32", 31.0).otherwise(63.0)
+
+
+def text_law(rows: DataFrame, accept: float) -> Law:
+    """The law of ordinary text for each encoding, from the candidates that the battery rejects."""
+    c = rows.select(F.explode("__cands.t").alias("t")).where(~random_like(F.col("t"), accept)).select("t", ((F.col("t.chi2") - _df(F.col("t"))) / F.col("t.n")).alias("e"), (F.col("t.changes") / (F.col("t.n") - 1)).alias("q"))
+    found = c.groupBy("t.enc").agg(F.count(F.lit(1)), F.avg("e"), F.stddev_samp("e"), F.avg("q"), F.stddev_samp("q")).collect()  # three rows
+    return TEXT_LAW | {enc: (max(e, 0.1), max(se, SPREAD), min(max(q, 0.01), 0.9), max(sq, SPREAD)) for enc, n, e, se, q, sq in found if n >= LEAST}
+
+
+def p_text(t: Column, law: Law) -> Column:
+    """P(as far from text | text): two deviations, each with the variance of its count and that between strings."""
+    of = lambda i: F.when(t["enc"] == "hex", law["hex"][i]).when(t["enc"] == "base32", law["base32"][i]).otherwise(law["base64"][i])
+    n, df, excess, q = t["n"].cast("double"), _df(t), of(0), of(2)
+    z_chi = (df + n * excess - t["chi2"]) / F.sqrt(2 * df + 4 * n * excess + F.pow(n * of(1), F.lit(2.0)))
+    z_mix = (t["changes"] - (n - 1) * q) / F.sqrt((n - 1) * q * (1 - q) + F.pow((n - 1) * of(3), F.lit(2.0)))
+    return _normal_tail((z_chi + z_mix) / F.sqrt(F.lit(2.0)))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, base (spans), cands (start, end, tests) and the text's candidates' encodings. Written once."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     value = lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 12
     found = docs.select(F.col(id_col), _spans(find(text, ASSIGN), "assign", value).alias("__a"), _spans(find(text, ACCESS), "access").alias("__k"), _spans(find(text, HEX), "hex").alias("__h"), find(text, CANDIDATE).alias("__c"))
     base = F.array_sort(F.concat("__a", "__k", "__h"))
-    apart = lambda c: ~F.exists(F.col("__base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    inside = lambda c: F.exists(F.col("__base"), lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
     rows = found.withColumn("__base", base)
-    rows = rows.withColumn("__cands", F.when(F.size("__c") > 0, F.transform(F.filter("__c", apart), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["found"]).alias("t")))).otherwise(F.array()))
+    rows = rows.withColumn("__cands", F.when(F.size("__c") > 0, F.transform("__c", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), inside(c).alias("known"), battery(c["found"]).alias("t")))).otherwise(F.array()))
     return stash(rows.select(id_col, F.size("__a").cast("long").alias("n_assign"), F.size("__k").cast("long").alias("n_access"), F.size("__h").cast("long").alias("n_hex"), F.col("__base").cast(SPAN).alias("__base"), "__cands"), "spans")
 
 
-def threshold(rows: DataFrame, fdr: float, accept: float) -> float:
+def threshold(rows: DataFrame, law: Law, fdr: float, accept: float) -> float:
     """The largest p that Benjamini-Hochberg admits (by the upper edges of its bins); -1 if none."""
-    p = rows.select(F.explode("__cands").alias("c")).select(F.col("c.t.p_text").alias("p"), random_like(F.col("c.t"), accept).alias("r"))
+    p = rows.select(F.explode("__cands.t").alias("t")).select(p_text(F.col("t"), law).alias("p"), random_like(F.col("t"), accept).alias("r"))
     bin_of = F.least(F.lit(BINS - 1), F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * 100)).cast("int")
     bins = p.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("all"), F.count_if("r").alias("n")).collect()  # BINS rows at most
     total, rank, best = sum(b["all"] for b in bins), 0, -1.0
@@ -170,8 +196,9 @@ def _text_of(spans: Column) -> Column:
 def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, accept: float = 0.001) -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, base (string), spans (string), span_list (kind, start, end)."""
     rows = scan(docs, id_col=id_col, text_col=text_col)
-    most = threshold(rows, fdr, accept)
-    hit = F.filter("__cands", lambda c: random_like(c["t"], accept) & (c["t"]["p_text"] <= most))
+    law = text_law(rows, accept)
+    most = threshold(rows, law, fdr, accept)
+    hit = F.filter("__cands", lambda c: ~c["known"] & random_like(c["t"], accept) & (p_text(c["t"], law) <= most))
     random = F.transform(hit, lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), c["end"].alias("end"))).cast(SPAN)
     every = F.array_sort(F.concat("__base", random))
     listed = F.transform(every, lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
