@@ -187,28 +187,47 @@ def _n_words(text: str) -> int:
     return len(text.split())
 
 
-def labelled_pages(n: int = 60, seed: int = 11) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Pages made from a rule, with the (start, end) of their content: menus, notices, adverts, comments and footers of
-    many shapes around articles of 1 to 40 paragraphs, a third of them without an article or main element."""
+def labelled_pages(n: int = 120, seed: int = 11) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Pages made from a rule, with the (start, end) of their content. Around articles of 1 to 40 paragraphs (with links,
+    inline markup, lists, tables and quotes) there are menus, notices, adverts, comments and footers of many shapes, with
+    and without names that say so; a third of the pages have no article or main element."""
     rng = random.Random(seed)
 
     def say(k: int) -> str:
         return " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(k)) + "."
 
+    def marked(k: int) -> str:
+        kind = rng.choice(("a href='/x'", "em", "b", "span"))
+        return f"{say(k)} <{kind}>{say(rng.randint(1, 4))}</{kind.split()[0]}> {say(k)}" if rng.random() < 0.3 else say(2 * k)
+
+    def extra() -> str:
+        link = lambda: f"<a href='/y'>{say(rng.randint(2, 6))}</a>"
+        return rng.choice((
+            f"<ul><li>{say(5)}</li><li>{say(5)}</li></ul>", f"<ol><li>{link()}</li><li>{link()}</li></ol>", f"<h2>{say(4)}</h2>", f"<blockquote><p>{say(15)}</p></blockquote>",
+            "<table>" + "".join(f"<tr><td>{say(2)}</td><td>{say(3)}</td></tr>" for _ in range(3)) + "</table>", f"<div>{say(12)}</div>", f"<pre>{say(6)}</pre>",
+        ))
+
+    def items(one: str, k: int, words: int) -> str:
+        return "".join(one.format(say(rng.randint(1, words))) for _ in range(k))
+
     for i in range(n):
-        links = "".join(f'<li><a href="/{j}">{say(rng.randint(1, 3))}</a></li>' for j in range(rng.randint(3, 12)))
-        before = [f"<nav><ul>{links}</ul></nav>", f'<div class="ad">{say(rng.randint(4, 15))}</div>', f"<header><h2>{say(2)}</h2></header>", f"<div><ul>{links}</ul></div>"]
-        after = [f"<footer>{say(rng.randint(5, 15))}</footer>", f'<div class="comments"><p>{say(20)}</p></div>', f"<aside><p>{say(12)}</p></aside>", f"<form><label>{say(3)}</label><input><button>{say(1)}</button></form>"]
-        head = f"<html><head><title>{say(4)}</title></head><body>" + "".join(rng.sample(before, 3))
-        paragraphs = "".join(f"<p>{say(rng.randint(8, 60))}</p>" + (f"<ul><li>{say(5)}</li><li>{say(5)}</li></ul>" if rng.random() < 0.1 else "") for _ in range(rng.randint(1, 40)))
+        k = rng.randint(3, 20)
+        menu = rng.choice((items("<li><a href='/m'>{}</a></li>", k, 3), items("<a href='/m'>{}</a> ", k, 3), items("<div>{}</div>", k, 3), items("<span>{}</span><br>", k, 2)))
+        before = [f"<nav><ul>{menu}</ul></nav>", f'<div class="ad">{say(rng.randint(4, 15))}</div>', f"<header><h2>{say(2)}</h2></header>", f"<div><ul>{menu}</ul></div>", f"<div>{menu}</div>", f"<div><span>{say(3)}</span> <span>{say(2)}</span></div>"]
+        after = [f"<footer>{say(rng.randint(5, 15))}</footer>", f'<div class="comments"><p>{say(20)}</p></div>', f"<aside><p>{say(12)}</p></aside>", f"<form><label>{say(3)}</label><input><button>{say(1)}</button></form>", f"<div>{menu}</div>", f"<div><small>{say(4)}</small></div>"]
         shell = ("<article>", "</article>") if i % 3 == 0 else ("<main>", "</main>") if i % 3 == 1 else ("<div>", "</div>")
+        if i % 3 < 2:  # text without a name stands beside articles too
+            before.append(f"<div>{say(rng.randint(5, 60))}</div>")
+            after.append(f"<div>{say(rng.randint(5, 60))}</div>")
+        head = f"<html><head><title>{say(4)}</title></head><body>" + "".join(rng.sample(before, 3))
+        paragraphs = "".join(f"<p>{marked(rng.randint(4, 30))}</p>" + (extra() if rng.random() < 0.15 else "") for _ in range(rng.randint(1, 40)))
         start = head + shell[0]
         content = f"<h1>{say(5)}</h1>{paragraphs}"
         yield start + content + shell[1] + "".join(rng.sample(after, 3)) + "</body></html>", [(len(start), len(start) + len(content))]
 
 
 #: Tags are counted by these names; all others share one weight.
-_OWN_WEIGHT = frozenset("p h1 h2 h3 li ul a div article main nav aside footer header form section".split())
+_OWN_WEIGHT = frozenset("p h1 h2 h3 li ul ol a b em span br table tr td blockquote pre div article main nav aside footer header form section".split())
 
 
 def _key(kind: str, what: str, place: str) -> tuple[str, str, str]:
