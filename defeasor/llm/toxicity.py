@@ -1,8 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words are lower-cased runs of characters other than white space, stripped of ASCII punctuation at both ends. Features, each
-hashed to one of 2**bits slots and counted once for a text: the words, their first four and first five letters (which carry
-a stem into inflections not seen in training), pairs of neighbours, and pairs with one word between them.
+hashed to one of 2**bits slots and counted once for a text: the words, their first four to eight letters (which carry a
+stem into inflections not seen in training), pairs of neighbours, and pairs with one word between them.
 
 FTRL-proximal learns with a learning rate for each coordinate (alpha / (beta + root of the sum of squared gradients)) and
 L1 and L2 terms; L1 leaves most slots at exactly zero, so the weights that are broadcast are a few thousand numbers.
@@ -32,16 +32,17 @@ from pyspark.sql import types as T
 from .util import small_batches
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+STARTS = (4, 5, 6, 7, 8)
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class Vocabulary(dict):
-    """Words as they stand in texts to rows of a table of hashes: the bare word and its first four and five letters. Each
+    """Words as they stand in texts to rows of a table of hashes: the bare word and its STARTS first letters. Each
     Python worker has one; it starts anew once it holds `most` words, so its size has a bound."""
 
     def __init__(self, most: int = 1 << 18):
         super().__init__()
-        self.hashes, self.most = np.zeros((3, 1 << 10), np.uint64), most
+        self.hashes, self.most = np.zeros((1 + len(STARTS), 1 << 10), np.uint64), most
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
@@ -50,7 +51,7 @@ class Vocabulary(dict):
         bare = word.strip(_PUNCT)
         if bare:
             letters, crc = bare.decode("utf-8", "replace"), zlib.crc32
-            self.hashes[:, at] = crc(bare) + 1, *(crc(letters[:n].encode(), n) + 1 for n in (4, 5))
+            self.hashes[:, at] = crc(bare) + 1, *(crc(letters[:n].encode(), n) + 1 for n in STARTS)
         return at
 
 
@@ -105,7 +106,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 0.5, epochs: int = 2, seed: int = 7) -> Model:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5, epochs: int = 8, seed: int = 7) -> Model:
     """FTRL-proximal over rows of distinct slots; the intercept is a coordinate without L1."""
     n, z = np.zeros(1 << bits), np.zeros(1 << bits)
     n0 = z0 = 0.0
@@ -129,7 +130,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, alpha: float
     return Model(bits, slots, w[slots].astype(np.float32), -z0 / ((beta + math.sqrt(n0)) / alpha + l2) if len(rows) else -1e-9)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: F.Column | None = None, max_rows: int = 8000, bits: int = 20, epochs: int = 2) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: F.Column | None = None, max_rows: int = 8000, bits: int = 20, epochs: int = 8) -> Model:
     """The model from at most max_rows labelled rows, at most half of them positive. held_out: a condition on the id (True:
     never used). The sample is the rows of smallest hash of the id, for each label on its own."""
     small_batches(docs.sparkSession)
