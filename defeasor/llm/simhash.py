@@ -272,17 +272,23 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     return first_of_groups(docs, rows, of, id_col, text_col)
 
 
+def small_or_all(written: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table of ids and hashes, to be broadcast if it has been counted to have at most `most` rows."""
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def first_of_groups(docs: DataFrame, rows: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The document of the smallest id of each __root, from rows (id, __hash, __fp) and of (__fp, __root)."""
-    each = rows.withColumnRenamed(id_col, "__id").join(of, "__fp").groupBy("__root", "__id", "__hash").agg(F.count(F.lit(1)).alias("__n"))
+    each = stash(rows.withColumnRenamed(id_col, "__id").join(of, "__fp").groupBy("__root", "__id", "__hash").agg(F.count(F.lit(1)).alias("__n")), "rows")
     first = F.min(F.struct(F.col("__id").isNull().alias("x"), F.col("__id"), F.col("__hash"), F.col("__n"))).alias("f")
-    keep = stash(each.groupBy("__root").agg(first).select("f.__id", "f.__hash", "f.__n"), "kept")
+    keep = each.groupBy("__root").agg(first).select("__root", F.col("f.__id").alias("__k"), F.col("f.__hash").alias("__kh"), F.col("f.__n").alias("__kn"))
+    keep = stash(keep, "kept")
+    chosen = F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__kh"))
+    gone = stash(each.join(keep, "__root").where(~chosen | (F.col("__n") > 1)).select("__id", "__hash"), "dropped")
     whole = packed(docs, __i=id_col, __h=F.xxhash64(text_col))
-
-    def kept(part: DataFrame) -> DataFrame:
-        return whole.join(part, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
-
-    out = unpacked(kept(keep.where("__n = 1")), docs)
-    if not (several := keep.where("__n > 1")).isEmpty():  # rows with the same id and text: one of them
-        out = out.union(unpacked(kept(several).dropDuplicates(["__id", "__hash"]), docs))
+    same = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
+    out = unpacked(whole.join(small_or_all(gone), same, "left_anti"), docs)
+    several = stash(keep.where("__kn > 1").select(F.col("__k").alias("__id"), F.col("__kh").alias("__hash")), "repeated")
+    if not several.isEmpty():  # rows with the same id and text: one of them
+        out = out.union(unpacked(whole.join(small_or_all(several), same).dropDuplicates(["__id", "__hash"]), docs))
     return out
