@@ -108,3 +108,42 @@ def last_part(s: Column, sep: str = "/") -> Column:
 def percent(x: Column) -> Column:
     """'12.3 %' style cells; a dash for null."""
     return F.when(x.isNull(), "—").otherwise(F.format_string("%.1f", x * 100))
+
+
+def edge_sentence(stored: Column, edge_type: Column, subject: Column, predicate: Column, label: Column) -> Column:
+    """The stored sentence of an edge if there is one, else one from its parts."""
+    made = F.when(edge_type == "defeasible_has_property", F.concat(subject, F.lit(" "), predicate, F.lit("."))).when(edge_type == "defeasible_lacks_property", negative_sentence(subject, predicate)).otherwise(F.concat(subject, F.lit(" has attribute "), label, F.lit(".")))
+    return F.coalesce(F.when(stored != "", stored), made)
+
+
+def update_sentence(kind: Column, *, subject: Column, predicate: Column, plural: Column, parent: Column, parent_denied: Column, scope: Column, root: Column, told: Column) -> Column:
+    """How an update is told, by its kind. told: the edge's own sentence; parent: label of the property before it on the
+    chain; an exception to a property already denied is told plainly."""
+    exception = F.concat(subject, F.lit(" is an exception to the rule that "), parent, F.lit(" objects "), plural, F.lit("."))
+    out = F.when(kind == "exception", F.when(parent_denied, told).otherwise(exception)).when(kind.isin("pos", "neg", "safe_irr", "trap_irr"), told)
+    out = out.when(kind == "quantified_inst", at_least_one_of(listed(scope), predicate)).when(kind == "quantified_gen", at_least_one_object(root, predicate))
+    return out.otherwise(F.concat(F.lit("Update regarding "), subject, F.lit(" and "), predicate, F.lit(".")))
+
+
+def rule_claim(parent: Column, predicate: Column, *, denied: bool) -> Column:
+    return F.concat(F.lit("objects with property "), parent, F.lit(" generally "), negated_rule(predicate) if denied else predicate, F.lit("."))
+
+
+def reliability(names: Column, key: Column) -> Column:
+    """One text that orders sources by reliability: neighbours in hash order, each told from either end."""
+    n = F.size(names)
+    at = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    mark = lambda i, use: F.md5(F.concat(F.lit(f"42|{use}|"), key.cast("string"), F.lit("|"), i.cast("string")).cast("binary"))
+    higher, lower = lambda i: F.get(names, i), lambda i: F.get(names, i + 1)
+    said = lambda i: F.when(F.substring(mark(i, "rel"), 1, 1) < "8", F.concat(higher(i), F.lit(" is more reliable than "), lower(i))).otherwise(F.concat(lower(i), F.lit(" is less reliable than "), higher(i)))
+    ordered = F.array_sort(F.transform(at, lambda i: F.struct(mark(i, "relorder").alias("k"), said(i).alias("s"))))
+    return F.when(n > 1, F.concat(F.lit("For reference, "), F.array_join(ordered["s"], ". "), F.lit("."))).otherwise("")
+
+
+def object_index(name: Column) -> Column:
+    """The number in Object_<n>; null for other names."""
+    return F.regexp_extract(name, r"^Object_(\d+)$", 1).try_cast("int")
+
+
+def spaced(name: Column) -> Column:
+    return F.replace(name, F.lit("_"), F.lit(" "))
