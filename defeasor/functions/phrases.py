@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Predicate prefix, its plain verb. The order matters, as the first prefix that fits is used.
 VERBS = [("is ", "is not "), ("has ", "does not have "), ("can ", "cannot "), ("serves as ", "does not serve as "), ("appears ", "does not appear "), ("produces ", "does not produce "), ("tastes or smells ", "does not taste or smell "), ("displays ", "does not display "), ("thrives ", "does not thrive ")]
 PLURAL_VERBS = [("is ", "are not "), ("are ", "are not "), ("has ", "do not have "), ("have ", "do not have "), ("can ", "cannot "), ("serves as ", "do not serve as "), ("appears ", "do not appear "), ("produces ", "do not produce "), ("thrives ", "do not thrive "), ("displays ", "do not display ")]
+# Beginnings of questions, templates of edges.
 QUESTIONS = [("is ", "Is ", " "), ("has ", "Does ", " have "), ("can ", "Can ", " "), ("serves as ", "Does ", " serve as "), ("appears ", "Does ", " appear "), ("produces ", "Does ", " produce "), ("tastes or smells ", "Does ", " taste or smell ")]
 TEMPLATES = {"is_a": "{subject} is a {object}.", "implies": "Objects that {subject_predicate} generally {object_predicate_plural}.", "conflict": "However, {subject} does not {object}.", "has_attribute": "{subject} {object_predicate}.", "inheritance": "{subject} is a kind of {object}.", "defeasible_has_property": "{subject} {object_predicate}.", "defeasible_lacks_property": "{subject} does not {object_predicate}.", "hypothesis_edge": "Does {subject} {object_predicate}?"}
 FALLBACK = "{subject} is related to {object}."

@@ -135,3 +135,72 @@ def latex_rows(results: DataFrame) -> DataFrame:
     """Table rows: model & accuracy & count."""
     g = results.groupBy("model").agg(F.avg("correct").alias("a"), F.count(F.lit(1)).alias("n"))
     return g.select("model", F.concat(F.col("model"), F.lit(" & "), F.format_string("%.1f", F.col("a") * 100), F.lit(" & "), F.col("n").cast("string"), F.lit(r" \\")).alias("tex"))
+
+
+def accuracy_by_task(results: DataFrame) -> DataFrame:
+    """model, config and accuracy in long form: one topology has two columns, entailment and effect, the others one."""
+    g = results.groupBy("model", "topology").agg(F.avg("correct").alias("all"), F.avg(F.when(F.col("cls") == "C0", F.col("correct"))).alias("entailment"), F.avg(F.when(F.col("cls") != "C0", F.col("correct"))).alias("effect"))
+    two = F.col("topology") == "F"
+    kinds = F.when(two, F.array(F.struct(F.lit(" entailment").alias("k"), F.col("entailment").alias("v")), F.struct(F.lit(" effect").alias("k"), F.col("effect").alias("v")))).otherwise(F.array(F.struct(F.lit("").alias("k"), F.col("all").alias("v"))))
+    return g.select("model", "topology", F.explode(kinds).alias("x")).select("model", F.concat("topology", "x.k").alias("config"), r6(F.col("x.v")).alias("accuracy"))
+
+
+def boxes(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Quartiles, whiskers (the last value within 1.5 interquartile ranges) and the number of outliers of each group."""
+    q = values.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = q.select(*by, *[F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
+    met = values.join(F.broadcast(q), by)  # a row for each group
+    return met.groupBy(*by, "q1", "q2", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("n_outliers")).select(*by, *[r6(F.col(c)).alias(c) for c in ("q1", "q2", "q3", "low", "high")], "n_outliers")
+
+
+def depth_band(results: DataFrame) -> DataFrame:
+    """The depth curve with its band of one standard error, cut to [0, 1]; no band where there is one value only."""
+    c = depth_curve(results)
+    sem = F.coalesce("sem_accuracy", F.lit(0.0))
+    return c.select("model", "topology", "depth", "mean_accuracy", r6(F.greatest(F.lit(0.0), F.col("mean_accuracy") - sem)).alias("low"), r6(F.least(F.lit(1.0), F.col("mean_accuracy") + sem)).alias("high"))
+
+
+def seed_bins(results: DataFrame, value: str, step: int) -> DataFrame:
+    lo = (F.floor((F.col(value) - 1) / step) * step + 1).cast("int")
+    return results.groupBy("model", "seed", lo.alias("lo")).agg(r6(F.avg("correct")).alias("accuracy"))
+
+
+def length_trend(results: DataFrame) -> DataFrame:
+    """Accuracy and mean depth of each (model, seed) and the model's least-squares line through them; rows without either
+    are left out."""
+    s = results.groupBy("model", "seed").agg(F.avg("correct").alias("a"), F.avg("depth").alias("d")).dropna()
+    return s.groupBy("model").agg(r6(F.regr_slope("a", "d")).alias("slope"), r6(F.regr_intercept("a", "d")).alias("intercept"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+
+
+def chi_squared_tail(x: Column, df: int) -> Column:
+    """P(chi-squared > x): exact sums for an even number of degrees of freedom, and for an odd one with the normal tail to 2e-7."""
+    half, out = x / 2, F.lit(0.0)
+    if df % 2 == 0:
+        term = F.lit(1.0)
+        for i in range(df // 2):
+            term = term if i == 0 else term * half / i
+            out = out + term
+        return F.exp(-half) * out
+    z = F.sqrt(x)
+    t = 1 / (1 + 0.3275911 * z / 2**0.5)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-half)
+    term = z * (2 / 3.141592653589793) ** 0.5 * F.exp(-half)
+    for i in range(1, (df + 1) // 2):
+        out = out + term
+        term = term * x / (2 * i + 1)
+    return tail + out
+
+
+def kruskal_test(results: DataFrame, models: int) -> DataFrame:
+    """H, its p value for a number of models, and whether it is below 0.05."""
+    p = chi_squared_tail(F.col("h"), models - 1)
+    return kruskal_wallis(results).select("h", "n", r6(p).alias("p"), (p < 0.05).alias("significant"))
+
+
+def paired_mcnemar(turns: DataFrame) -> DataFrame:
+    """Pairs of turns (model, pair, first, second; 1 correct, 0 wrong): discordant counts and the corrected statistic."""
+    g = turns.groupBy("model").agg(F.count_if((F.col("first") == 1) & (F.col("second") == 0)).alias("b"), F.count_if((F.col("first") == 0) & (F.col("second") == 1)).alias("c"))
+    stat = F.when(F.col("b") + F.col("c") > 0, F.pow(F.abs(F.col("b") - F.col("c")) - 1.0, F.lit(2)) / (F.col("b") + F.col("c")))
+    return g.select("model", "b", "c", r6(stat).alias("chi2"), r6(F.when(stat.isNotNull(), chi_squared_tail(stat, 1))).alias("p"))

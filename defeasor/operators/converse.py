@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .chain import mode_a_label
 
+# Fixed value: the question about an update.
 EFFECT_QUESTION = "Does this update strengthen, weaken, or have no effect on the support for the hypothesis?"
 
 

@@ -15,14 +15,15 @@ from ..functions.unions import union_of
 def ancestors(edges: DataFrame, subjects: DataFrame, depth: int) -> DataFrame:
     """(subject, node, dist) with the subject itself at 0. edges: src to its one parent dst; depth bounds the levels.
 
-    Every level is one equi-join; parents' tables are small next to subjects' in a taxonomy, so Spark broadcasts them where
-    their size allows.
+    Every level is one equi-join. From the second on only inner nodes are asked for their parents: a table without the
+    leaves, which Spark broadcasts where its size allows, so that a parent of very many subjects is no hot key.
     """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("parent"))
+    inner = step.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
     level = subjects.select("subject", F.col("subject").alias("node"), F.lit(0).alias("dist"))
     out = level
-    for _ in range(depth):
-        level = level.join(step, "node").select("subject", F.col("parent").alias("node"), (F.col("dist") + 1).alias("dist"))
+    for d in range(depth):
+        level = level.join(inner if d else step, "node").select("subject", F.col("parent").alias("node"), (F.col("dist") + 1).alias("dist"))
         out = union_of(out, level)
     return out
 

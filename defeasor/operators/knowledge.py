@@ -26,17 +26,18 @@ def matching_properties(properties: DataFrame, subjects: DataFrame) -> DataFrame
 
 
 def sample_attributes(pool: DataFrame, wanted: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """k attributes for each key: those of its domain first, then the others, each in an order fixed by domain and hash.
+    """k attributes for each key: those of its domain first, then the others, both in hash order.
 
-    pool: attribute, domain; wanted: key, domain. The order is made once for each pair of domains, so that keys meet k
-    rows each and not the whole pool.
+    pool: attribute, domain; wanted: key, domain. A domain needs its own first k; one with fewer needs some of the first 2 k
+    of all attributes. So no domain meets the whole pool.
     """
-    domains = wanted.select(F.col("domain").alias("own")).distinct()
-    ranked = domains.join(pool, F.lit(True))  # domains by attributes: both are fixed vocabularies
-    first = (F.col("own") == F.col("domain")).cast("int")
-    w = Window.partitionBy("own").orderBy(first.desc(), order_key("attr", "own", "attribute", seed=seed), "attribute")
-    top = ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("own").alias("domain"), "attribute", "rank")
-    return wanted.join(top, "domain").select("key", "attribute", "rank")
+    mark = order_key("attr", "attribute", seed=seed)
+    own = pool.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy(mark, "attribute"))).where(F.col("rank") <= k).select("domain", "attribute", "rank")
+    domains = wanted.select("domain").distinct().join(own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")), "domain", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k)
+    first = pool.select(F.col("attribute"), F.col("domain").alias("other"), mark.alias("mark")).orderBy("mark", "attribute").limit(2 * k)  # of these at most k - 1 are the domain's own
+    fill = domains.join(first, domains["domain"] != first["other"]).withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy("mark", "attribute")))
+    fill = fill.where(F.col("r") <= k - F.col("n")).select("domain", "attribute", (F.col("n") + F.col("r")).cast("int").alias("rank"))
+    return wanted.join(union_of(own, fill), "domain").select("key", "attribute", "rank")
 
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:

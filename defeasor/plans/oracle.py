@@ -130,7 +130,7 @@ ORACLE_SQL = {
     "disjunctive_property_match": "WITH k AS (SELECT DISTINCT p_type, p_brand, p_type || '|' || p_brand AS kind FROM part) SELECT DISTINCT p.kind AS property, s.kind AS subject FROM k p JOIN k s ON p.p_type = s.p_type OR p.p_brand = s.p_brand",
     "relation_join_weight_ordered": "WITH w AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, l_partkey) AS r FROM w) SELECT s_name AS start_label, p_name AS end_label, round(weight, 6) AS weight, r FROM t JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE r <= 3",
     "node_upsert_first_wins": "SELECT p_name AS id, arg_min(p_brand, p_partkey) AS label FROM part GROUP BY p_name",
-    "alias_group_concat": "SELECT p_brand, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS aliases FROM part GROUP BY p_brand",
+    "alias_group_concat": "SELECT p_name, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS aliases FROM part GROUP BY p_name",
     "property_dedup": "SELECT p_name AS lemma, p_type AS frame, min(p_partkey) AS ord FROM part GROUP BY ALL",
     "conversation_turn_explode": f"""WITH {E}, {_replayed()}, {TURNS} SELECT subject, CAST((serial - 1) * 4 + nth AS BIGINT) AS turn_ord, CASE WHEN nth % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
  CASE nth WHEN 0 THEN fact WHEN 1 THEN says WHEN 2 THEN 'Does this update strengthen, weaken, or have no effect on the support for the hypothesis?' ELSE eff END AS content,
@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "weighted_choice": f"SELECT c_custkey, {_draw} AS choice FROM customer",
     "sample_without_replacement": f"SELECT * FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY {_key('s', 'c_nationkey', 'c_custkey')}, c_custkey) AS r FROM customer) WHERE r <= 3",
     "attribute_sampling": f"""WITH pool AS (SELECT p_name AS attribute, min(p_type) AS domain FROM part GROUP BY 1), own AS (SELECT DISTINCT p_type AS own FROM part),
- t AS (SELECT own, attribute, row_number() OVER (PARTITION BY own ORDER BY CAST(own = domain AS INT) DESC, {_key('attr', 'own', 'attribute')}, attribute) AS rank FROM own CROSS JOIN pool)
+ t AS (SELECT own, attribute, CAST(row_number() OVER (PARTITION BY own ORDER BY CAST(own = domain AS INT) DESC, {_key('attr', 'attribute')}, attribute) AS BIGINT) AS rank FROM own CROSS JOIN pool)
  SELECT p_partkey AS key, attribute, rank FROM part JOIN t ON own = p_type WHERE rank <= 3""",
     "linear_graph_generate": f"WITH {LIN.replace('range(N)', 'range(200)')} SELECT * FROM lin",
     "tree_generate": f"WITH {_tree(4, 5, 1, 1, 0.4)} SELECT * FROM tn",
@@ -169,7 +169,7 @@ ORACLE_SQL = {
     "isa_extraction": r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> '') AS l FROM documents),
  s AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM d)
  SELECT doc_id, CAST(pos AS BIGINT) AS pos, regexp_extract(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$', 1) AS subject, regexp_extract(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$', 2) AS value
- FROM s WHERE regexp_matches(s, '^[A-Za-z, ]+$') AND s LIKE '% is %' AND regexp_matches(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$')""",
+ FROM s WHERE regexp_matches(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$')""",
     "batches": "SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // 5 AS batch FROM conversations WHERE turn = 0",
     "accuracy_heatmap_pivot": R + ", a AS (SELECT model, topology, avg(correct) AS a FROM x GROUP BY ALL) SELECT model, round(max(a) FILTER (topology = 'F'), 6) AS acc_F, round(max(a) FILTER (topology = 'O'), 6) AS acc_O, round(max(a) FILTER (topology = 'P'), 6) AS acc_P, round(avg(a), 6) AS row_mean FROM a GROUP BY model",
     "depth_curve_sem": R + " SELECT model, topology, depth, round(avg(correct), 6) AS mean_accuracy, round(stddev_samp(correct) / sqrt(count(*)), 6) AS sem_accuracy, count(*) AS n FROM x GROUP BY ALL",
@@ -194,6 +194,6 @@ ORACLE_SQL = {
     "spearman_depth": R + """, k AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY depth) + (count(*) OVER (PARTITION BY model, depth) - 1) / CAST(2 AS DOUBLE) AS a, rank() OVER (PARTITION BY model ORDER BY confidence) + (count(*) OVER (PARTITION BY model, confidence) - 1) / CAST(2 AS DOUBLE) AS b FROM x)
  SELECT model, round(corr(a, b), 6) AS rho, count(*) AS n FROM k GROUP BY model""",
     "dataset_stats_grouping_sets": R + " SELECT coalesce(topology, 'all') AS topology, coalesce(difficulty, 'all') AS difficulty, count(*) AS n, round(avg(correct), 6) AS positive_share, max(depth) AS max_depth FROM x GROUP BY CUBE (topology, difficulty)",
-    "complete_models": R + " SELECT model, count(DISTINCT (topology, difficulty)) AS n_cells FROM x GROUP BY model HAVING count(DISTINCT (topology, difficulty)) >= 5",
+    "complete_models": R + " SELECT model, count(DISTINCT (topology, difficulty)) AS n_cells FROM x GROUP BY model HAVING count(DISTINCT (topology, difficulty)) = (SELECT count(DISTINCT (topology, difficulty)) FROM x)",
     "latex_rows": R + r" SELECT model, model || ' & ' || printf('%.1f', avg(correct) * 100) || ' & ' || count(*) || ' \\' AS tex FROM x GROUP BY model",
 }

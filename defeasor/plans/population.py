@@ -114,11 +114,11 @@ def paraphrase_replies(spark, sf):
     return reply.select("conv_id", F.explode(both).alias("x")).select("conv_id", "x.version", "x.paraphrase")
 
 
-@query(f"WITH {T} SELECT coalesce(layer, 0) AS layer, dst, count(*) AS n_children, md5(string_agg(src, ',' ORDER BY src)) AS children FROM t GROUP BY ALL")
+@query(f"WITH {BUSHY} SELECT graph_id, coalesce(layer, 0) AS layer, string_agg(node, ',' ORDER BY node) AS nodes FROM tn GROUP BY ALL")
 def layer_grouping(spark, sf):
-    """The children of each parent by layer (missing: 0), as one digest of the sorted list."""
-    kids = F.md5(F.array_join(F.sort_array(F.collect_list("src")), ",").cast("binary"))
-    return taxonomy_edges(spark, sf).groupBy(F.coalesce("layer", F.lit(0)).alias("layer"), "dst").agg(F.count(F.lit(1)).alias("n_children"), kids.alias("children"))
+    """The nodes of each graph by layer (missing: 0), in order; a list is a layer of one graph."""
+    n = generate.tree_nodes(spark, 100, "bushy")
+    return n.groupBy("graph_id", F.coalesce("layer", F.lit(0)).alias("layer")).agg(F.array_join(F.sort_array(F.collect_list("node")), ",").alias("nodes"))
 
 
 @query(R + " SELECT model, CASE model WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE split_part(model, '-', -1) END AS short_name, CASE WHEN count(*) = 0 THEN '—' ELSE printf('%.1f', round(100 * avg(correct), 1)) END AS pct, CASE model WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 99 END AS rank FROM x GROUP BY model")
@@ -151,4 +151,4 @@ def json_tokens(spark, sf):
 @query(f"WITH {T}, k AS (SELECT dst AS node, min(src) AS a, max(src) AS b, count(*) AS n FROM t GROUP BY dst) SELECT node, n, a AS first_child, b AS last_child, (SELECT count(*) FROM t) AS n_edges FROM k")
 def object_graph_children(spark, sf):
     k = taxonomy_edges(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first_child"), F.max("src").alias("last_child"))
-    return k.withColumn("n_edges", F.sum("n").over(Window.partitionBy()))
+    return k.join(F.broadcast(k.agg(F.sum("n").alias("n_edges"))))  # one row

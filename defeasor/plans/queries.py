@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import hashing, phrases
 from ..operators import analytics, chain, converse, generate, inheritance, knowledge, ranking, skeptical, text
 from ..sources.views import evidence, last_edges, results, signed_events, table, taxonomy_edges, taxonomy_evidence
-from . import datasets, dialogue, population  # noqa: F401 (these add their queries to those of population)
+from . import datasets, dialogue, pools, population  # noqa: F401 (these add their queries to those of population)
 
 
 QUERIES = dict(population.QUERIES)
@@ -249,7 +249,8 @@ def node_upsert_first_wins(spark, sf):
 
 @query
 def alias_group_concat(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_name")), "|").alias("aliases"))
+    """The brands of each name: a list has as many entries as there are brands."""
+    return table(spark, sf, "part").groupBy("p_name").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), "|").alias("aliases"))
 
 
 @query
@@ -265,7 +266,7 @@ def conversation_turn_explode(spark, sf):
 
 @query
 def conversation_nested_json(spark, sf):
-    return converse.nested(converse.turns(chain.replay(evidence(spark, sf)))).select("subject", "n_turns", F.length("turns").alias("n_json"))
+    return converse.nested(converse.turns(chain.replay(evidence(spark, sf)))).select("subject", "n_turns", F.col("turns").alias("json"))
 
 
 @query
@@ -425,7 +426,7 @@ def nonce_filter(spark, sf):
 @query
 def isa_extraction(spark, sf):
     s = table(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "s"))
-    return s.where("s rlike '^[A-Za-z, ]+$' and s like '% is %'").select("doc_id", "pos", text.extract(F.col("s")).alias("e")).where("e.kind = 'isa'").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "e.subject", "e.value")
+    return s.select("doc_id", "pos", text.extract(F.col("s")).alias("e")).where("e.kind = 'isa'").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "e.subject", "e.value")
 
 
 @query
@@ -507,9 +508,10 @@ def dataset_stats_grouping_sets(spark, sf):
 
 @query
 def complete_models(spark, sf):
-    r = results(spark, sf)
-    n = r.groupBy("model").agg(F.count_distinct("topology", "difficulty").alias("n_cells"))
-    return n.where("n_cells >= 5")
+    """Models with every pair of topology and difficulty that there is."""
+    r = results(spark, sf).select("model", "topology", "difficulty").distinct()
+    every = r.agg(F.count_distinct("topology", "difficulty").alias("cells"))
+    return r.groupBy("model").agg(F.count(F.lit(1)).alias("n_cells")).join(F.broadcast(every), F.col("n_cells") == F.col("cells")).select("model", "n_cells")
 
 
 @query

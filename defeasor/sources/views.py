@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import bernoulli, number, order_key
 from ..functions.unions import sound_unions, union_of
+from ..operators.ranking import hash_bucket, numbered
 
 CHAIN_END = 9
 
@@ -49,7 +50,8 @@ def taxonomy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = taxonomy_edges(spark, sf_dir).where(~F.col("src").startswith("c")).select(F.col("src").alias("node"), "layer")
     picked = nodes.where(bernoulli(0.6, "bern", "node"))
     signed = picked.withColumn("pol", (number("sign", "node") % 2).cast("int"))
-    return signed.withColumn("serial", F.row_number().over(Window.orderBy(order_key("ser", "node"), "node")))
+    key = order_key("ser", "node")
+    return numbered(signed, hash_bucket(key), [key, "node"], "serial").drop("n_rows")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
