@@ -9,18 +9,19 @@ encoding is inferred (hex, base32, base64) and gives the alphabet. Three tests a
 characters in the alphabet: chi-squared for uniformity (Wilson-Hilferty), runs above and below the middle, and lag-1 serial
 correlation. A candidate counts as random only if none of the three rejects randomness at ``accept``.
 
-The discovery itself is tested against ordinary text, whose law is learned from the corpus: over the candidates that the
-battery rejects, for each encoding, the excess of chi-squared a character and the share of neighbours of different classes
-(capital, small, digit, other), with their spread between strings. A candidate's two deviations from that law, each scaled
-by what its length lets expect, are added up to one z, and p = P(z as large | text). Benjamini-Hochberg over all candidates
-of the corpus, on a histogram of p with a fixed number of bins, holds the share of false discoveries below ``fdr``.
+The discovery itself is tested against ordinary text. Candidates fall into at most 14 strata by their encoding and the
+classes of characters they have (capital, small, digit). For each stratum the law of text is learned from the corpus: over
+the candidates that the battery rejects, the excess of chi-squared a character and the share of neighbours of different
+classes, with their spread between strings. A candidate's two deviations from that law, each scaled by what its length
+lets expect, are added up to one z, and p = P(z as large | text). Benjamini-Hochberg over all candidates of a stratum in
+the corpus, on a histogram of p with a fixed number of bins, holds the share of false discoveries below ``fdr`` in each.
 Discoveries are spans of kind random. Candidates inside of a base span are tested like others, but not reported twice.
 
-Edge cases: a corpus with fewer than ``LEAST`` rejected candidates of an encoding uses the law in ``TEXT_LAW``; null and empty texts have no spans; repeated rows are scanned each for itself; spans of one start are in the
+Edge cases: a stratum with fewer than ``LEAST`` rejected candidates uses its encoding's law in ``TEXT_LAW``; null and empty texts have no spans; repeated rows are scanned each for itself; spans of one start are in the
 order of the kinds; an empty table gives an empty result; only the named columns are read.
 
 Scale: one scan of the texts writes the few spans and candidates; the second pass reads those only. The histogram has at
-most ``BINS`` rows. Nothing is shuffled but the histogram.
+most 14 * ``BINS`` rows. Nothing is shuffled but the histogram.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def _normal_tail(z: Column) -> Column:
 
 
 def battery(found: Column) -> Column:
-    """struct<enc, n, chi2, changes, p_uniform, p_runs, p_serial> of one candidate string of 20 or more characters."""
+    """struct<enc, stratum, n, chi2, changes, p_uniform, p_runs, p_serial> of one candidate of 20 or more characters."""
     enc = F.when(found.rlike("^[0-9a-fA-F]+$"), F.lit("hex")).when(found.rlike("^[A-Z2-7]+=*$"), F.lit("base32")).otherwise(F.lit("base64"))
 
     def tests(v: Column) -> Column:
@@ -119,7 +120,9 @@ def battery(found: Column) -> Column:
         step = lambda c, at: F.when(c >= at, 1).otherwise(0)
         kind = lambda c: F.when(v["enc"] == "hex", step(c, 10)).when(v["enc"] == "base32", step(c, 26)).otherwise(step(c, 26) + step(c, 52) + step(c, 62))
         changes = F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.when(kind(F.get(x, i)) != kind(F.get(x, i - 1)), 1.0).otherwise(0.0))
-        return let(F.struct(v["enc"].alias("enc"), n.alias("n"), k.alias("k"), x.alias("x"), (k / n * squares - n).alias("chi2"), mean.alias("mean"), high.alias("high"), turns.alias("runs"), changes.alias("changes")), p_values)
+        has = lambda cls, mark: F.when(v["s"].rlike(cls), mark).otherwise("")
+        stratum = F.concat(v["enc"], F.lit(" "), has("[A-Z]", "u"), has("[a-z]", "l"), has("[0-9]", "d"))
+        return let(F.struct(v["enc"].alias("enc"), stratum.alias("stratum"), n.alias("n"), k.alias("k"), x.alias("x"), (k / n * squares - n).alias("chi2"), mean.alias("mean"), high.alias("high"), turns.alias("runs"), changes.alias("changes")), p_values)
 
     def p_values(v: Column) -> Column:
         n, df, x = v["n"], v["k"] - 1, v["x"]
@@ -130,7 +133,7 @@ def battery(found: Column) -> Column:
         spread = F.aggregate(x, F.lit(0.0), lambda a, c: a + (c - v["mean"]) * (c - v["mean"]))
         lag = F.aggregate(F.sequence(F.lit(1), F.size(x) - 1), F.lit(0.0), lambda a, i: a + (F.get(x, i) - v["mean"]) * (F.get(x, i - 1) - v["mean"]))
         z_serial = F.when(spread > 0, (lag / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-        return F.struct(v["enc"].alias("enc"), n.cast("int").alias("n"), v["chi2"].alias("chi2"), v["changes"].alias("changes"), _normal_tail(z_chi).alias("p_uniform"), (2 * _normal_tail(F.abs(z_runs))).alias("p_runs"), (2 * _normal_tail(F.abs(z_serial))).alias("p_serial"))
+        return F.struct(v["enc"].alias("enc"), v["stratum"].alias("stratum"), n.cast("int").alias("n"), v["chi2"].alias("chi2"), v["changes"].alias("changes"), _normal_tail(z_chi).alias("p_uniform"), (2 * _normal_tail(F.abs(z_runs))).alias("p_runs"), (2 * _normal_tail(F.abs(z_serial))).alias("p_serial"))
 
     return let(F.struct(enc.alias("enc"), found.alias("s")), tests)
 
@@ -142,16 +145,24 @@ def _df(t: Column) -> Column:
     return F.when(t["enc"] == "hex", 15.0).when(t["enc"] == "base32", 31.0).otherwise(63.0)
 
 
+def _by_stratum(t: Column, values: dict[str, float], otherwise: Column) -> Column:
+    out = None
+    for name, x in sorted(values.items()):
+        out = F.when(t["stratum"] == name, F.lit(x)) if out is None else out.when(t["stratum"] == name, F.lit(x))
+    return otherwise if out is None else out.otherwise(otherwise)
+
+
 def text_law(rows: DataFrame, accept: float) -> Law:
-    """The law of ordinary text for each encoding, from the candidates that the battery rejects."""
+    """The law of ordinary text for strata with enough of it, from the candidates that the battery rejects."""
     c = rows.select(F.explode("__cands.t").alias("t")).where(~random_like(F.col("t"), accept)).select("t", ((F.col("t.chi2") - _df(F.col("t"))) / F.col("t.n")).alias("e"), (F.col("t.changes") / (F.col("t.n") - 1)).alias("q"))
-    found = c.groupBy("t.enc").agg(F.count(F.lit(1)), F.avg("e"), F.stddev_samp("e"), F.avg("q"), F.stddev_samp("q")).collect()  # three rows
-    return TEXT_LAW | {enc: (max(e, 0.1), max(se, SPREAD), min(max(q, 0.01), 0.9), max(sq, SPREAD)) for enc, n, e, se, q, sq in found if n >= LEAST}
+    found = c.groupBy("t.stratum").agg(F.count(F.lit(1)), F.avg("e"), F.stddev_samp("e"), F.avg("q"), F.stddev_samp("q")).collect()  # at most 14 rows
+    return {name: (max(e, 0.1), max(se, SPREAD), min(max(q, 0.01), 0.9), max(sq, SPREAD)) for name, n, e, se, q, sq in found if n >= LEAST}
 
 
 def p_text(t: Column, law: Law) -> Column:
     """P(as far from text | text): two deviations, each with the variance of its count and that between strings."""
-    of = lambda i: F.when(t["enc"] == "hex", law["hex"][i]).when(t["enc"] == "base32", law["base32"][i]).otherwise(law["base64"][i])
+    known = lambda i: F.when(t["enc"] == "hex", TEXT_LAW["hex"][i]).when(t["enc"] == "base32", TEXT_LAW["base32"][i]).otherwise(TEXT_LAW["base64"][i])
+    of = lambda i: _by_stratum(t, {name: x[i] for name, x in law.items()}, known(i))
     n, df, excess, q = t["n"].cast("double"), _df(t), of(0), of(2)
     z_chi = (df + n * excess - t["chi2"]) / F.sqrt(2 * df + 4 * n * excess + F.pow(n * of(1), F.lit(2.0)))
     z_mix = (t["changes"] - (n - 1) * q) / F.sqrt((n - 1) * q * (1 - q) + F.pow((n - 1) * of(3), F.lit(2.0)))
@@ -170,18 +181,21 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return stash(rows.select(id_col, F.size("__a").cast("long").alias("n_assign"), F.size("__k").cast("long").alias("n_access"), F.size("__h").cast("long").alias("n_hex"), F.col("__base").cast(SPAN).alias("__base"), "__cands"), "spans")
 
 
-def threshold(rows: DataFrame, law: Law, fdr: float, accept: float) -> float:
-    """The largest p that Benjamini-Hochberg admits (by the upper edges of its bins); -1 if none."""
-    p = rows.select(F.explode("__cands.t").alias("t")).select(p_text(F.col("t"), law).alias("p"), random_like(F.col("t"), accept).alias("r"))
+def thresholds(rows: DataFrame, law: Law, fdr: float, accept: float) -> dict[str, float]:
+    """For each stratum the largest p that Benjamini-Hochberg admits (by the upper edges of its bins), if any."""
+    p = rows.select(F.explode("__cands.t").alias("t")).select("t.stratum", p_text(F.col("t"), law).alias("p"), random_like(F.col("t"), accept).alias("r"))
     bin_of = F.least(F.lit(BINS - 1), F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * 100)).cast("int")
-    bins = p.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("all"), F.count_if("r").alias("n")).collect()  # BINS rows at most
-    total, rank, best = sum(b["all"] for b in bins), 0, -1.0
-    for b in sorted(bins, key=lambda b: -b["bin"]):
-        rank += b["n"]
-        edge = 10 ** (-b["bin"] / 100)
-        if b["n"] and edge <= fdr * rank / total:
-            best = edge
-    return best
+    bins = p.groupBy("stratum", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("all"), F.count_if("r").alias("n")).collect()  # 14 * BINS rows at most
+    out: dict[str, float] = {}
+    for name in {b["stratum"] for b in bins}:
+        mine = sorted((b for b in bins if b["stratum"] == name), key=lambda b: -b["bin"])
+        total, rank = sum(b["all"] for b in mine), 0
+        for b in mine:
+            rank += b["n"]
+            edge = 10 ** (-b["bin"] / 100)
+            if b["n"] and edge <= fdr * rank / total:
+                out[name] = edge
+    return out
 
 
 def random_like(t: Column, accept: float) -> Column:
@@ -197,8 +211,8 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Per row: id, n_assign, n_access, n_hex, base (string), spans (string), span_list (kind, start, end)."""
     rows = scan(docs, id_col=id_col, text_col=text_col)
     law = text_law(rows, accept)
-    most = threshold(rows, law, fdr, accept)
-    hit = F.filter("__cands", lambda c: ~c["known"] & random_like(c["t"], accept) & (p_text(c["t"], law) <= most))
+    most = thresholds(rows, law, fdr, accept)
+    hit = F.filter("__cands", lambda c: ~c["known"] & random_like(c["t"], accept) & (p_text(c["t"], law) <= _by_stratum(c["t"], most, F.lit(-1.0))))
     random = F.transform(hit, lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), c["end"].alias("end"))).cast(SPAN)
     every = F.array_sort(F.concat("__base", random))
     listed = F.transform(every, lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
