@@ -38,11 +38,17 @@ _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 class Vocabulary(dict):
     """Words as they stand in texts to rows of a table of hashes: the bare word and its STARTS first letters. Each
-    Python worker has one; it starts anew once it holds `most` words, so its size has a bound."""
+    Python worker has one; it starts anew once it holds `most` words and at the end of a task, so its size has a bound and
+    nothing is kept for tasks of other operators."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
-        self.hashes, self.most = np.zeros((1 + len(STARTS), 1 << 10), np.uint64), most
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.hashes = np.zeros((1 + len(STARTS), 1 << 10), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
@@ -148,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             found = [text_features(t, bits).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "y", "x"])
+        _vocabulary.clear()
 
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
     one = picked.select("__id", "__y", "__text").mapInArrow(run, out).groupBy("id", "y").agg(F.min("x").alias("x"))  # one row of each id: max_rows at most
@@ -167,6 +174,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         for batch in batches:
             s = np.array([m.score(text_features(t, m.bits), dense) for t in batch.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=out.names)
+        _vocabulary.clear()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text")).mapInArrow(run, out)
 
@@ -182,5 +190,6 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
         for batch in batches:
             keep = [m.score(text_features((t or "").encode("utf-8", "replace"), m.bits), dense) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        _vocabulary.clear()
 
     return docs.mapInArrow(run, docs.schema)

@@ -59,7 +59,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     worker. The settings are those of the session; no result depends on them."""
     sound_unions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def packed(df: DataFrame, **columns: Column | str) -> DataFrame:
