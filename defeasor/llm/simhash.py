@@ -195,17 +195,18 @@ def _longs(masks: list[int]) -> Column:
 def links(reps: DataFrame, radius: int = 3, pivots: int = 16, hot: int = 2048) -> DataFrame:
     """Links (a < b, unsigned order not implied) between distinct fingerprints __fp that keep every component together."""
     table = with_pivots(reps.select("__fp"), pivots)
-    keyed = table.select("__fp", "__pivots", _masked(_longs(block_masks(radius)), "k")).select("__fp", "__pivots", "k.t", "k.m")
-    shared = keyed.groupBy("t", "m").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = keyed.join(shared, ["t", "m"])
-    zero = F.lit(0)
-    calm = met.where(F.col("c") <= hot).withColumns({"t2": zero, "m2": zero.cast("bigint")})
-    # a key that many fingerprints share has keys of its own, from the other bits
-    finer = F.element_at(F.array(*map(_longs, finer_masks(radius))), F.col("t") + 1)
-    busy = met.where(F.col("c") > hot).select("__fp", "__pivots", "t", "m", _masked(finer, "k")).select("__fp", "__pivots", "t", "m", (F.col("k.t") + 1).alias("t2"), F.col("k.m").alias("m2"))
+    keyed = table.select("__fp", _masked(_longs(block_masks(radius)), "k")).select("__fp", "k.t", "k.m")
+    shared = stash(keyed.groupBy("t", "m").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    met = stash(keyed.join(shared, ["t", "m"]), "met")
     keys = ["t", "m", "t2", "m2"]
-    again = busy.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = calm.select(*keys, "c", "__fp", "__pivots").union(busy.join(again, keys).select(*keys, "c", "__fp", "__pivots"))
+    calm = met.where(F.col("c") <= hot).withColumns({"t2": F.lit(0), "m2": F.lit(0).cast("bigint")}).select(*keys, "c", "__fp")
+    if not (busy := met.where(F.col("c") > hot)).isEmpty():
+        # a key that many fingerprints share has keys of its own, from the other bits
+        finer = F.element_at(F.array(*map(_longs, finer_masks(radius))), F.col("t") + 1)
+        busy = busy.select("__fp", "t", "m", _masked(finer, "k")).select("__fp", "t", "m", (F.col("k.t") + 1).alias("t2"), F.col("k.m").alias("m2"))
+        again = busy.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        calm = calm.union(busy.join(again, keys).select(*keys, "c", "__fp"))
+    met = calm.join(table, "__fp").select(*keys, "c", "__fp", "__pivots")
     met = dealt(met, keys, hot).repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b")
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
