@@ -204,3 +204,29 @@ def paired_mcnemar(turns: DataFrame) -> DataFrame:
     g = turns.groupBy("model").agg(F.count_if((F.col("first") == 1) & (F.col("second") == 0)).alias("b"), F.count_if((F.col("first") == 0) & (F.col("second") == 1)).alias("c"))
     stat = F.when(F.col("b") + F.col("c") > 0, F.pow(F.abs(F.col("b") - F.col("c")) - 1.0, F.lit(2)) / (F.col("b") + F.col("c")))
     return g.select("model", "b", "c", r6(stat).alias("chi2"), r6(F.when(stat.isNotNull(), chi_squared_tail(stat, 1))).alias("p"))
+
+
+def f_quantile(z: float, d1: Column, d2: Column) -> Column:
+    """The quantile of F(d1, d2) at a normal quantile z > 0, by the cube-root approximation."""
+    a, b = 2 / (9 * d1), 2 / (9 * d2)
+    # ((1 - b) u - (1 - a))^2 = z^2 (b u^2 + a), the larger root
+    p, q, r = (1 - b) * (1 - b) - z * z * b, (1 - a) * (1 - b), (1 - a) * (1 - a) - z * z * a
+    return F.pow((q + F.sqrt(q * q - p * r)) / p, F.lit(3.0))
+
+
+def icc_interval(results: DataFrame, z: float = 1.959963984540054) -> DataFrame:
+    """ICC(2,1) with its interval: two-way random effects, absolute agreement, Satterthwaite's degrees of freedom."""
+    s = seed_accuracy(results)
+    by = lambda c, name: s.groupBy(c).agg(F.avg("acc").alias(name))
+    x = s.join(by("model", "rm"), "model").join(by("seed", "cm"), "seed").join(F.broadcast(s.agg(F.avg("acc").alias("gm"))))  # one row
+    sq = lambda e: F.sum(F.pow(e, F.lit(2.0)))
+    a = x.agg(F.count_distinct("model").alias("n"), F.count_distinct("seed").alias("k"), sq(F.col("rm") - F.col("gm")).alias("r"), sq(F.col("cm") - F.col("gm")).alias("c"), sq(F.col("acc") - F.col("rm") - F.col("cm") + F.col("gm")).alias("e"))
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    a = a.select(n.alias("n"), k.alias("k"), (F.col("r") / (n - 1)).alias("r"), (F.col("c") / (k - 1)).alias("c"), (F.col("e") / ((n - 1) * (k - 1))).alias("e"))
+    n, k, r, c, e = (F.col(x) for x in "nkrce")
+    a = a.withColumn("icc", (r - e) / (r + (k - 1) * e + k * (c - e) / n))
+    icc = F.col("icc")
+    u, v = k * icc / (n * (1 - icc)) * c, (1 + k * icc * (n - 1) / (n * (1 - icc))) * e
+    a = a.withColumn("v", F.pow(u + v, F.lit(2.0)) / (u * u / (k - 1) + v * v / ((n - 1) * (k - 1))))
+    rest, lo, hi = k * c + (k * n - k - n) * e, f_quantile(z, n - 1, F.col("v")), f_quantile(z, F.col("v"), n - 1)
+    return a.select(r6(icc).alias("icc"), r6(n * (r - lo * e) / (lo * rest + n * r)).alias("ci_low"), r6(n * (hi * r - e) / (rest + n * hi * r)).alias("ci_high"))

@@ -111,3 +111,13 @@ def sample_without_replacement(rows: DataFrame, by: str, item: str, k: int, purp
     """k rows of each group in hash order."""
     w = Window.partitionBy(by).orderBy(order_key(purpose, by, item, seed=seed), item)
     return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+
+
+def tree_edges(nodes: DataFrame, seed: int = 42) -> DataFrame:
+    """Edges (graph_id, src, dst, type, layer, serial) of class trees: children inherit from parents, the root has the
+    property, one leaf is the hypothesis' subject, and other classes carry signed evidence."""
+    none = F.lit(None).cast("int")
+    spine = nodes.where("parent is not null").select("graph_id", F.col("node").alias("src"), F.col("parent").alias("dst"), F.lit("inheritance").alias("type"), "layer", none.alias("serial"))
+    top = nodes.where("parent is null").select("graph_id", "node", F.lit("Property"), F.lit("has_property"), "layer", none)
+    hyp = hypothesis_leaf(nodes, seed).select("graph_id", "leaf", F.lit("Property"), F.lit("hypothesis_edge"), "layer", none)
+    return union_of(spine, top, hyp, tree_evidence(nodes, seed=seed).select("graph_id", "node", F.lit("Property"), "type", "layer", "serial"))

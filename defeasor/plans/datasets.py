@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import phrases
+from ..functions.hashing import number
 from ..functions.unions import union_of
 from ..operators import generate, records, structures
 from ..operators.chain import delta_label, replay
@@ -354,3 +355,22 @@ def reliability_texts(spark, sf):
 
     g = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
     return g.select("n_regionkey", phrases.reliability(F.col("names"), F.col("n_regionkey")).alias("statement"))
+
+
+def demo_turns(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
+    """Turns of the first object of each graph, with one irrelevant update at a place drawn by hash; it changes nothing."""
+    turns = default_turns(nodes, edges).where("conv_id like 'Object\\\\_1\\\\_%'")
+    label = nodes.where("type = 'irrelevant_property'").groupBy("graph_id").agg(F.min_by("label", "node_ord").alias("label"))
+    ends = turns.groupBy("graph_id", "conv_id").agg(F.max("turn_ord").alias("last"), F.max_by("ground_truth", F.when(F.col("role") == "assistant", F.col("turn_ord"))).alias("final"))
+    spot = ends.join(label, "graph_id").withColumn("at", (2 + 2 * (number("spot", "graph_id", seed=seed) % F.floor((F.col("last") + 1) / 2))).cast("int"))
+    before = turns.where("role = 'assistant'").select("graph_id", F.col("turn_ord").alias("t"), F.col("ground_truth").alias("g"))
+    held = spot.join(before, "graph_id").where("t < at").groupBy("graph_id", "conv_id", "label", "at").agg(F.max_by("g", "t").alias("held"))
+    tell = F.concat(F.lit("Information update: Object_1 "), "label", F.lit(f". Question: {ENTAILMENT_QUESTION}"))
+    extra = union_of(_turn(held, F.col("at"), "user", tell), _turn(held, F.col("at") + 1, "assistant", F.lit(""), ground_truth=F.col("held"), effect=F.lit("no_effect"), task_type=F.lit("update_answer")))
+    moved = turns.join(spot.select("graph_id", "at"), "graph_id").withColumn("turn_ord", F.when(F.col("turn_ord") >= F.col("at"), F.col("turn_ord") + 2).otherwise(F.col("turn_ord"))).drop("at")
+    return union_of(moved.select(*TURN), extra.select(*TURN))
+
+
+@query()
+def demo_conversations(spark, sf):
+    return demo_turns(*_graphs(spark))

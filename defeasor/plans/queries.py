@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import hashing, phrases
 from ..operators import analytics, chain, converse, generate, inheritance, knowledge, ranking, skeptical, text
 from ..sources.views import evidence, last_edges, results, signed_events, table, taxonomy_edges, taxonomy_evidence
-from . import datasets, dialogue, pools, population  # noqa: F401 (these add their queries to those of population)
+from . import datasets, dialogue, graphs, pools, population  # noqa: F401 (these add their queries to those of population)
 
 
 QUERIES = dict(population.QUERIES)

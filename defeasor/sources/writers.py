@@ -100,3 +100,10 @@ def table_cells(frame: DataFrame) -> DataFrame:
         return F.format_number(c, 0) if t in ("int", "bigint", "smallint") else F.col(c).cast("string")
 
     return frame.select(*[F.coalesce(F.when(F.col(c).isNotNull(), cell(c, t)), F.lit("—")).alias(c) for c, t in frame.dtypes])
+
+
+def write_dump(graphs: DataFrame, samples: DataFrame, path: str) -> None:
+    """Each graph (graph_id, graph as JSON text) with its conversations (id sample_<graph_id>, conversations), one line each."""
+    both = graphs.withColumn("id", F.concat(F.lit("sample_"), F.col("graph_id").cast("string"))).join(samples, "id", "left")
+    whole = F.concat(F.lit('{"graph":'), "graph", F.lit(',"conversations":'), F.coalesce(F.to_json("conversations"), F.lit("[]")), F.lit("}"))
+    both.select(whole).write.mode("overwrite").text(path)

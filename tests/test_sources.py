@@ -103,6 +103,9 @@ def test_views_and_tables(spark, tmp_path):
     assert tuple(cells[0]) == ("m", "12.3", "1,234,567", "2.000") and tuple(cells[1]) == ("—",) * 4
     with pytest.raises(ValueError):
         writers.plot_frame(spark.range(11), 10)
+    writers.write_dump(structures.dictionaries(nodes, edges), datasets.samples(datasets.default_turns(nodes, edges)), str(tmp_path / "dump"))
+    dumped = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "dump")).collect()]
+    assert len(dumped) == 2 and all(d["graph"]["nodes"] and d["conversations"] for d in dumped)
     one = lambda **kw: spark.range(1).select(*[F.lit(v).alias(k) for k, v in kw.items()])
     writers.write_run(one(seed=1), one(nodes=2), spark.createDataFrame([("e1", "A b.")], "edge_id string, sentence string"), one(id="c"), str(tmp_path / "run"))
     doc = json.loads("".join(f.read_text() for f in (tmp_path / "run").glob("part-*")))

@@ -133,3 +133,16 @@ def test_datasets(spark, topology):
     assert datasets.statistics(turns).count() >= 1
     two = datasets.reseeded(spark, topology, 3, seeds=[1, 2])
     assert two.select("seed").distinct().count() == 2 and datasets.reseeded(spark, topology, 3, only=4).select("seed").first()[0] == datasets.SEEDS[4]
+
+
+def test_demo_turns(spark):
+    turns = datasets.demo_turns(*structures.default_graphs(spark, 12)).collect()
+    by = {}
+    for r in turns:
+        by.setdefault(r["graph_id"], []).append(r)
+    for conv in by.values():
+        conv.sort(key=lambda r: r["turn_ord"])
+        assert [r["turn_ord"] for r in conv] == list(range(len(conv))) and all(r["conv_id"].startswith("Object_1_") for r in conv)
+        extra = [i for i, r in enumerate(conv) if r["role"] == "user" and i and r["serial"] is None]
+        assert len(extra) == 1 and conv[extra[0] + 1]["ground_truth"] == conv[extra[0] - 1]["ground_truth"] and conv[extra[0] + 1]["effect"] == "no_effect"
+    assert len(by) == 12
