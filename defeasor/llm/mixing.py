@@ -22,6 +22,7 @@ many sources as there are hosts pass through no single task. ``mix`` shuffles th
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -46,13 +47,10 @@ def numbered_sources(sizes: DataFrame) -> DataFrame:
     rows the driver counts."""
     order = [F.col("__source").isNull(), F.col("__source")]
     ranged = stash(sizes.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "sources")
-    offsets, n = [], 0
-    for part, c in sorted(ranged.groupBy("__part").count().collect()):  # a row for each partition
-        offsets.append((part, n))
-        n += c
+    counts = dict(ranged.groupBy("__part").count().collect())  # a row for each partition
+    firsts = list(itertools.accumulate((counts.get(p, 0) for p in range(max(counts, default=0) + 1)), initial=0))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    starts = sizes.sparkSession.createDataFrame(offsets, "__part int, __first long")
-    return ranged.withColumn("__at", within).join(F.broadcast(starts), "__part").select("__source", "source_size", (F.col("__first") + F.col("__at")).alias("__at"))
+    return ranged.select("__source", "source_size", (F.get(F.array(*[F.lit(n).cast("bigint") for n in firsts]), F.col("__part")) + within).alias("__at"))
 
 
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
