@@ -7,11 +7,12 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, mixing, quality, secrets, shards, simhash, token_counts, toxicity
+from . import alignment, decontaminate, html_text, lexicon_bpe, line_dedup, mixing, quality, secrets, shards, simhash, spelling, token_counts, toxicity
 from .util import table
 
-#: The name of the vocabulary file among the public tokenizers.
+#: The names of the vocabulary files among the public tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def held_out(id_col: str) -> F.Column:
@@ -69,11 +70,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips_every=97)
+
+
+def op12_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    ids = lexicon_bpe.encode(table(spark, sf_dir, "documents"), path)
+    back = lexicon_bpe.decode(ids, path)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return alignment.align(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_simhash, op4_shards, op5_secrets, op6_token_counts, op7_line_dedup, op8_toxicity, op9_mixing, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_simhash, op4_shards, op5_secrets, op6_token_counts, op7_line_dedup, op8_toxicity, op9_mixing, op10_quality, op11_spelling, op12_lexicon_bpe, op13_alignment, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -120,4 +142,23 @@ e AS (SELECT *, CAST(floor(target) AS BIGINT) AS budget, CASE WHEN source_size >
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - start)) AS BIGINT) AS taken FROM e
 """
 
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+OP11_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT i, 0 AS k, i AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS times, hex(encode(id || ':' || run)) AS hx FROM r GROUP BY id, run),
+y AS (SELECT *, list_transform(range(len(hx) // 2), lambda i: CAST((strpos('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 1 AS BIGINT)) AS b FROM g),
+h AS (SELECT run, times, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM y, tab),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(times) AS BIGINT) AS n
+      FROM h GROUP BY 1 HAVING sum(times) >= 3 AND length(word) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (SELECT x.word AS a, z.word AS b FROM cut x JOIN cut z ON x.i = z.i AND x.rest = z.rest AND x.word <> z.word
+          UNION SELECT cut.word, w.word FROM cut JOIN w ON cut.rest = w.word UNION SELECT w.word, cut.word FROM cut JOIN w ON cut.rest = w.word),
+near AS (SELECT a AS word, b, w.n AS n_b, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS o, count(*) OVER (PARTITION BY a) AS n_near FROM pairs JOIN w ON w.word = b),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN n_b >= 2 * n THEN b END AS form, CASE WHEN n_b >= 2 * n THEN n_b END AS form_n FROM w LEFT JOIN near ON w.word = near.word AND o = 1),
+up AS (SELECT word, word AS root, form FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.form)
+SELECT f.word, f.form, up.root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN up ON f.word = up.word AND up.form IS NULL
+"""
+
+ORACLE_SQL = {"op11_spelling": OP11_SQL, "op2_decontaminate": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
