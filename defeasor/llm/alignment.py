@@ -187,11 +187,11 @@ def events(texts: DataFrame, side: int, a, b_file: str) -> DataFrame:
         encoder, pieces, lengths, _, dtype = _models(a.value, b_file)
         for batch in batches:
             row, at, sides, runs = [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                if side == A_SIDE:
-                    ids = np.frombuffer(encoder.encode(" " + text), "<u4")
-                elif (packed := pieces.encode(text)) is not None:
-                    ids = np.frombuffer(packed, dtype)
+            texts = batch.column(2).to_pylist()
+            encoded = encoder.encode_all([" " + t for t in texts]) if side == A_SIDE else map(pieces.encode, texts)
+            for i, packed in enumerate(encoded):
+                if packed is not None:
+                    ids = np.frombuffer(packed, "<u4" if side == A_SIDE else dtype)
                 else:
                     row.append(i)
                     at.append(-1)

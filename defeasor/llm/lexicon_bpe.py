@@ -1,9 +1,9 @@
 """Byte-level BPE through a minimal acyclic transducer of frequent words.
 
 A text is cut at the strings of added tokens (unless these count as plain text) and then into words by the vocabulary's
-pattern; no merge crosses a word. The words of the whole corpus are counted, and the ``lexicon_words`` most frequent of
-them are compiled, with the token ids they become, into a minimal acyclic transducer: words share prefixes and suffixes,
-ids are pushed towards the root as far as the words below a state agree. The transducer is one file of flat arrays in
+pattern; no merge crosses a word. The words of the whole corpus are counted, and the most frequent of them, up to
+``lexicon_words``, are compiled with the token ids they become into a minimal acyclic transducer: words share prefixes and
+suffixes, ids are pushed towards the root as far as the words below a state agree. The transducer is one file of flat arrays in
 the shared folder, sent to every executor once; Python workers map it into memory, so those of one machine share its pages.
 A word that it does not hold is merged by the rules, lowest rank first and leftmost among equals. Ids never depend on
 which words the lexicon holds.
@@ -35,6 +35,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from .util import shared_path, small_batches
+from .util import shared_path, small_batches, stash
 
 # Fixed value: the pattern of words of the byte-level vocabularies, as far as it concerns code points below U+0250.
 # No two of the alternatives before that of signs can start alike, so that their order is free.
 LATIN_WORDS = r" ?{letters}+| ?{numbers}+|'(?:s|t|re|ve|m|ll|d)| ?{signs}+|{space}+(?!{ink})|{space}+"
 LATIN = 0x250
 
-#: Words that a worker remembers with their ids before it starts anew.
-MEMO = 1 << 17
+#: Words that a worker remembers with their ids; when it has twice as many, those not met of late are forgotten.
+MEMO = 1 << 18
 #: Longest word, in bytes, that a lexicon holds and that is merged in a plain list; longer ones are merged from a heap.
 LONGEST = 64
 
@@ -105,7 +106,8 @@ class Vocabulary:
             if len(b) == 1:
                 self.single[b[0]] = i
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(model["vocab"][a], model["vocab"][b]): (rank, model["vocab"][a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {(model["vocab"][a], model["vocab"][b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [model["vocab"][a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.bytes_of.update({i: s.encode() for s, i in self.added.items()})
         self.size = max(self.bytes_of) + 1
@@ -115,35 +117,34 @@ class Vocabulary:
         ids, n = [self.single[b] for b in word], len(word)
         if n > LONGEST:
             return self._merge_long(ids)
-        none = (len(self.merges), -1)
-        found = [self.merges.get(p, none) for p in zip(ids, ids[1:])]
-        while found and (best := min(found)) is not none:
+        rank, none = self.ranks.get, len(self.made)
+        found = [rank(p, none) for p in zip(ids, ids[1:])]
+        while found and (best := min(found)) != none:
             i = found.index(best)
-            ids[i : i + 2] = [best[1]]
+            ids[i : i + 2] = [made] = [self.made[best]]
             del found[i]
             if i:
-                found[i - 1] = self.merges.get((ids[i - 1], ids[i]), none)
+                found[i - 1] = rank((ids[i - 1], made), none)
             if i < len(found):
-                found[i] = self.merges.get((ids[i], ids[i + 1]), none)
+                found[i] = rank((made, ids[i + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n = len(ids)
+        n, rank = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, *p) for i, p in enumerate(zip(ids, ids[1:])) if (r := rank(p)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, made = heapq.heappop(heap)
+            r, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue  # one of the two has been merged meanwhile
-            ids[i], ids[j], after[i] = made, -1, after[j]
+            ids[i], ids[j], after[i] = self.made[r], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if found := self.merges.get((made, ids[after[i]])):
-                    heapq.heappush(heap, (found[0], i, made, ids[after[i]], found[1]))
-            if (h := before[i]) >= 0 and (found := self.merges.get((ids[h], made))):
-                heapq.heappush(heap, (found[0], h, ids[h], made, found[1]))
+            for h, k in ((i, after[i]), (before[i], i)):
+                if h >= 0 and k < n and (r := rank((ids[h], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, h, ids[h], ids[k]))
         return [i for i in ids if i >= 0]
 
 
@@ -228,62 +229,96 @@ class Lexicon:
     """Looks words up in a compiled transducer, which stays in the buffer (a memory map, or bytes)."""
 
     def __init__(self, buffer):
-        states, arcs, outputs, n_ids, self.root = struct.unpack_from("<5q", buffer)
-        view, at = memoryview(buffer), 40
-        parts = []
-        for n in (states + 1, states, arcs, arcs, outputs + 1, n_ids):
-            parts.append(view[at : at + 4 * n].cast("i"))
+        self.states, arcs, outputs, n_ids, self.root = struct.unpack_from("<5q", buffer)
+        parts, at = [], 40
+        for n in (self.states + 1, self.states, arcs, arcs, outputs + 1, n_ids):
+            parts.append(np.frombuffer(buffer, np.int32, n, at))
             at += 4 * n
-        self.first, self.final, self.targets, self.outs, self.starts, self.ids = parts
-        self.labels, self.at = buffer, at
-        self.states = states
+        first, self.final, self.targets, self.outs, self.starts, self.ids = parts
+        # the arcs in the order of their state and byte, as they are stored
+        self.arcs = np.repeat(np.arange(self.states, dtype=np.int64), np.diff(first)) << 8 | np.frombuffer(buffer, np.uint8, arcs, at)
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def find(self, word: bytes) -> list[int] | None:
-        """Ids of a word; None if the lexicon does not hold it."""
-        state, out, first, at, ids, starts = self.root, [], self.first, self.at, self.ids, self.starts
-        for i in range(len(word)):
-            arc = self.labels.find(word[i : i + 1], at + first[state], at + first[state + 1]) - at
-            if arc < 0:
-                return None
-            if o := self.outs[arc]:
-                out += ids[starts[o] : starts[o + 1]]
-            state = self.targets[arc]
-        o = self.final[state]
-        return None if o < 0 else out + list(ids[starts[o] : starts[o + 1]])
+    def find_all(self, words: list[bytes]) -> list[bytes | None]:
+        """Packed ids of each word, None for those that the lexicon does not hold. All words walk together, a byte a step."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        text, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        state, alive = np.full(len(words), self.root, np.int64), np.flatnonzero(sizes) if len(self.arcs) else np.zeros(0, np.int64)
+        lost, said = (sizes > 0) & (len(self.arcs) == 0), []
+        for k in range(int(sizes.max(initial=0))):
+            key = state[alive] << 8 | text[begin[alive] + k]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1) if len(self.arcs) else key
+            there = self.arcs[arc] == key if len(self.arcs) else np.zeros(0, bool)
+            lost[alive[~there]] = True
+            alive, arc = alive[there], arc[there]
+            state[alive] = self.targets[arc]
+            speaks = self.outs[arc] > 0
+            said.append((alive[speaks], self.outs[arc[speaks]]))
+            alive = alive[sizes[alive] > k + 1]
+        held = ~lost & (self.final[state] >= 0)
+        said.append((np.flatnonzero(held), self.final[state[held]]))
+        found: list[bytes | None] = [b"" if h else None for h in held.tolist()]
+        for rows, outs in said:
+            for i, o in zip(rows.tolist(), outs.tolist()):
+                if found[i] is not None:
+                    found[i] += self.ids[self.starts[o] : self.starts[o + 1]].tobytes()
+        return found
 
 
 class Encoder(dict):
-    """Remembers the packed ids of words; those of a new word come from the lexicon or from the merges."""
+    """Remembers the packed ids of words; those of new words come from the lexicon or from the merges."""
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, plain: bool = False):
         super().__init__()
-        self.vocab, self.lexicon = vocab, lexicon
-        self.special = None if plain or not vocab.added else re.compile("(" + "|".join(re.escape(s) for s in sorted(vocab.added, key=len, reverse=True)) + ")")
+        self.vocab, self.lexicon, self.older = vocab, lexicon, {}
+        self.added = {} if plain else {s: array("I", [i]).tobytes() for s, i in vocab.added.items()}
+        self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")")
 
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.lexicon.find(raw) if self.lexicon and len(raw) <= LONGEST else None
-        self[word] = packed = array("I", self.vocab.merge(raw) if ids is None else ids).tobytes()
-        return packed
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join([b"".join(map(self.__getitem__, words)) for words in words_of(text)])
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def learn(self, words: set[str]) -> None:
         if len(self) > MEMO:
+            self.older = dict(self)
             self.clear()
+        new = []
+        for word in words.difference(self):
+            if packed := self.older.get(word):
+                self[word] = packed
+            else:
+                new.append(word)
+        raw = [w.encode() for w in new]
+        found = [None] * len(raw) if self.lexicon is None else self.lexicon.find_all([w if len(w) <= LONGEST else b"" for w in raw])
+        for word, b, ids in zip(new, raw, found):
+            self[word] = ids or array("I", self.vocab.merge(b)).tobytes()
+
+    def _parts(self, text: str | None) -> list[str]:
+        """Plain stretches at even places, added tokens at odd ones."""
         if not text:
-            return b""
-        if self.special is None or not self.special.search(text):
-            return self._plain(text)
-        parts = self.special.split(text)
-        return b"".join(array("I", [self.vocab.added[p]]).tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))
+            return []
+        return self.special.split(text) if any(s in text for s in self.added) else [text]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; words are learned about a million characters at a time."""
+        held: list[list[bytes | list[str]]] = []
+        size = 0
+        for text in texts:
+            cut = [self.added[part] if i % 2 else words for i, part in enumerate(self._parts(text)) for words in ([()] if i % 2 else words_of(part))]
+            held.append(cut)
+            size += len(text or "")
+            if size > 1 << 20:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, held: list[list[bytes | list[str]]]) -> Iterator[bytes]:
+        self.learn({w for cut in held for part in cut if not isinstance(part, bytes) for w in part})
+        for cut in held:
+            yield b"".join([part if isinstance(part, bytes) else b"".join(map(self.__getitem__, part)) for part in cut])
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
 
 
 def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -310,12 +345,19 @@ def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, out).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, definition: str, *, text_col: str = "text", lexicon_words: int = 1 << 15) -> str:
-    """Compiles the most frequent words of all texts; the name under which executors have the file."""
+def build_lexicon(docs: DataFrame, definition: str, *, text_col: str = "text", lexicon_words: int = 1 << 17) -> str:
+    """Compiles the most frequent words of all texts; the name under which executors have the file. The words are those of
+    at least a count that leaves no more than lexicon_words of them, so no task and no driver sorts words."""
     spark = docs.sparkSession
-    frequent = word_counts(docs, text_col=text_col).where("n > 1").orderBy(F.desc("n"), "word").limit(lexicon_words)
+    counted = stash(word_counts(docs, text_col=text_col).where("n > 1").withColumn("size", F.floor(F.log2("n") * 8)), "words")
+    least, total = None, 0
+    for r in counted.groupBy("size").count().orderBy(F.desc("size")).collect():  # some 500 sizes at most
+        total += r["count"]
+        if total > lexicon_words:
+            break
+        least = r["size"]
     vocab = vocabulary(definition)
-    words = [r["word"].encode() for r in frequent.select("word").collect()]  # lexicon_words at most
+    words = [] if least is None else [r["word"].encode() for r in counted.where(F.col("size") >= least).select("word").collect()]
     return share(spark, compile_lexicon({w: tuple(vocab.merge(w)) for w in words}))
 
 
@@ -349,7 +391,7 @@ def _by_row(docs: DataFrame, id_col: str, value_col: str, out: T.StructType, mak
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{value_col}`")).mapInArrow(run, out)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 1 << 15) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 1 << 17) -> DataFrame:
     """Per row: id, n_tokens, ids (binary: little-endian unsigned 32-bit integers)."""
     definition = read(tokenizer_path)
     lexicon = build_lexicon(docs, definition, text_col=text_col, lexicon_words=lexicon_words)
@@ -359,7 +401,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         encoder = Encoder(vocabulary(shared.value), Lexicon.open(SparkFiles.get(lexicon)))
 
         def apply(texts: list[str | None]) -> list[pa.Array]:
-            ids = [encoder.encode(t) for t in texts]
+            ids = list(encoder.encode_all(texts))
             return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
 
         return apply

@@ -44,13 +44,14 @@ def test_transducer_is_minimal_and_whole():
     lexicon = lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon(words))
     for i in range(3**7):
         word = bytes(b"abc"[i // 3**k % 3] for k in range(i % 7 + 1))
-        assert lexicon.find(word) == (list(words[word]) if word in words else None)
+        found = lexicon.find_all([word, b"abcabcabc", b""])
+        assert found == [array("I", words[word]).tobytes() if word in words else None, None, None]
     same = {stem + tail: (7,) for stem in (b"walk", b"talk", b"call") for tail in (b"", b"s", b"ed", b"ing", b"er", b"ers")}
     shared = lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon(same))
     # brute force: states are the different sets of what may follow, with what is still to come of the output
     futures = {tuple(sorted(w[len(p) :] for w in same if w.startswith(p))) for w in same for p in (w[:k] for k in range(len(w) + 1))}
     assert shared.states == len(futures)
-    assert lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon({})).find(b"a") is None
+    assert lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon({})).find_all([b"a", b""]) == [None, None]
 
 
 def test_merges_as_the_library_does(vocab, library):
