@@ -108,9 +108,10 @@ def partition_subjects(subjects: DataFrame, share: float, cap: int, seed: int =
     return out.where(F.col("rank_in_section") <= F.when(F.col("section") == "t4", t4).otherwise(cap - t4)).drop("__n4", "__r")
 
 
-def bypass_options(chain_length: int, spark) -> DataFrame:
-    """Pairs (j, k) with k >= j + 2, and the nested pairs (b_j, b_k) strictly inside of those with a gap of 3 or more."""
-    i = spark.range(chain_length).select(F.col("id").cast("int").alias("j"))
-    a = i.join(i.withColumnRenamed("j", "k"), F.expr("k >= j + 2"))
-    b = a.selectExpr("j as b_j", "k as b_k")
-    return a.where("k - j >= 3").join(b, F.expr("b_j > j and b_k < k"))
+def bypass_options(chains: DataFrame) -> DataFrame:
+    """(subject, j, k, b_j, b_k) from chains (subject, length): pairs with k >= j + 3, each with the pairs b_k >= b_j + 2
+    strictly inside of it. Both are spread inside a chain's row."""
+    spans = chains.where("length >= 5").select("subject", "length", F.explode(F.expr("sequence(0, length - 5)")).alias("j"))
+    spans = spans.select("subject", "j", F.explode(F.expr("sequence(j + 4, length - 1)")).alias("k"))
+    inner = spans.select("subject", "j", "k", F.explode(F.expr("sequence(j + 1, k - 3)")).alias("b_j"))
+    return inner.select("subject", "j", "k", "b_j", F.explode(F.expr("sequence(b_j + 2, k - 1)")).alias("b_k"))

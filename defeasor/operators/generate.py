@@ -15,10 +15,15 @@ TREE_PRESETS = {"jellyfish": (4, 5, 1, 1, 0.4, 1.0), "balanced": (3, 2, 2, 2, 1.
 CONCEPTS = [("animal", 0.20), ("mammal", 0.15), ("vertebrate", 0.15), ("plant", 0.15), ("insect", 0.15), ("microorganism", 0.10), ("bird", 0.10)]
 
 
-def linear_graphs(spark: SparkSession, n: int, shortest: int = 4, longest: int = 6, seed: int = 42) -> DataFrame:
+def ids_of(spark: SparkSession, n: int | DataFrame) -> DataFrame:
+    """Ids of graphs: the numbers below n, or the column id of a table."""
+    return n.select("id") if isinstance(n, DataFrame) else spark.range(n)
+
+
+def linear_graphs(spark: SparkSession, n: int | DataFrame, shortest: int = 4, longest: int = 6, seed: int = 42) -> DataFrame:
     """Edges (graph_id, src, dst, type, layer, serial) of class chains: Subclass_i inherits from Subclass_(i-1), the root
     has the property, the deepest class is the hypothesis' subject, and some inner classes carry signed evidence."""
-    g = spark.range(n).select(F.col("id").alias("graph_id"), (shortest + number("len", "id", seed=seed) % (longest - shortest + 1)).cast("int").alias("depth"))
+    g = ids_of(spark, n).select(F.col("id").alias("graph_id"), (shortest + number("len", "id", seed=seed) % (longest - shortest + 1)).cast("int").alias("depth"))
     cls = lambda i: F.concat(F.lit("Subclass_"), i.cast("string"))
     none = F.lit(None).cast("int")
     steps = g.select("graph_id", "depth", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("i"))
@@ -34,10 +39,10 @@ def linear_graphs(spark: SparkSession, n: int, shortest: int = 4, longest: int =
     return union_of(backbone, top, hyp, ev)
 
 
-def tree_nodes(spark: SparkSession, n: int, preset: str = "jellyfish", seed: int = 42) -> DataFrame:
+def tree_nodes(spark: SparkSession, n: int | DataFrame, preset: str = "jellyfish", seed: int = 42) -> DataFrame:
     """Nodes (graph_id, node, parent, layer) of class trees: one explode for each level, ids are paths."""
     depth, breadth, fewest, most, survival, decay = TREE_PRESETS.get(preset, TREE_PRESETS["jellyfish"])
-    level = spark.range(n).select(F.col("id").alias("graph_id"), F.lit("0").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("layer"))
+    level = ids_of(spark, n).select(F.col("id").alias("graph_id"), F.lit("0").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("layer"))
     out = level
     for d in range(depth):
         cap = max(fewest, int(most * decay ** max(0, d - 1)))

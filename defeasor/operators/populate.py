@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import bernoulli, number, order_key
 from ..functions.unions import union_of
+from .generate import ids_of
 
 
 def labelled_by_position(nodes: DataFrame, names: DataFrame, fallback: str) -> DataFrame:
@@ -45,7 +46,7 @@ def irrelevant_sample(wanted: DataFrame, pool: DataFrame, allowed: DataFrame, us
     return rest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def grown_trees(spark: SparkSession, n: int, chain: int = 5, most: int = 3, p: float = 0.3, seed: int = 42) -> DataFrame:
+def grown_trees(spark: SparkSession, n: int | DataFrame, chain: int = 5, most: int = 3, p: float = 0.3, seed: int = 42) -> DataFrame:
     """Property nodes (graph_id, node, parent, layer) of trees that grow node by node under a parent still open.
 
     A node takes one child, or with probability p up to 2..most. The newest node is always open, so growth never stops.
@@ -62,7 +63,7 @@ def grown_trees(spark: SparkSession, n: int, chain: int = 5, most: int = 3, p: f
 
     kind = "array<struct<node:int,parent:int,layer:int,left:int>>"
     first = F.array(entry(F.lit(0), F.lit(-1), F.lit(1))).cast(kind)
-    rows = spark.range(n).withColumn("nodes", F.aggregate(F.sequence(F.lit(1), F.lit(max(1, chain - 1))), first, lambda acc, i: grow(acc, i).cast(kind)))
+    rows = ids_of(spark, n).withColumn("nodes", F.aggregate(F.sequence(F.lit(1), F.lit(max(1, chain - 1))), first, lambda acc, i: grow(acc, i).cast(kind)))
     return rows.select(F.col("id").alias("graph_id"), F.explode("nodes").alias("x")).select("graph_id", "x.node", "x.parent", "x.layer").where(F.col("node") < chain)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import bernoulli, number, order_key, pick, unit
 from ..functions.unions import union_of
+from .generate import ids_of
 from .skeptical import EVIDENCE, NEGATIVE, POSITIVE
 
 
@@ -50,11 +51,11 @@ def _object(j: Column) -> Column:
     return F.concat(F.lit("Object_"), j.cast("string"))
 
 
-def default_graphs(spark: SparkSession, n: int, difficulty: str = "easy", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def default_graphs(spark: SparkSession, n: int | DataFrame, difficulty: str = "easy", seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of chains of properties with objects at the root, evidence on inner properties, irrelevant attributes
     and a hypothesis for each object. The serial counts a graph's evidence through: by property, then objects in hash order."""
     shape = DEFAULT_SHAPES[difficulty]
-    g = spark.range(n).select(F.col("id").alias("graph_id"))
+    g = ids_of(spark, n).select(F.col("id").alias("graph_id"))
     g = g.select("graph_id", _between(*shape.chain, "dlen", seed).alias("length"), _between(*shape.objects, "dobj", seed).alias("objects"), _between(*shape.irrelevant, "dirr", seed).alias("irrelevant"), (F.lit(shape.sparsity[0]) + unit("dsp", "graph_id", seed=seed) * F.lit(round(shape.sparsity[1] - shape.sparsity[0], 6))).alias("sparsity"))
     upto = lambda lo, hi: F.explode(F.sequence(F.lit(lo).cast("bigint"), hi))
     chain = g.select("graph_id", "length", upto(0, F.col("length") - 1).alias("i"))

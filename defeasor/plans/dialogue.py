@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims, generate, knowledge, populate, text
-from ..sources.views import evidence, table, taxonomy_edges
+from ..sources.views import evidence, graph_keys, table, taxonomy_edges
 from .oracle import BUSHY, E, T, _key, _num, _unit
 from .population import query
 
@@ -97,7 +97,7 @@ x0 AS (SELECT t.graph_id, t.node, avg(x1.x) AS x, t.layer FROM tn t JOIN x1 ON x
 SELECT graph_id, node, round(x, 6) AS x, -layer AS y FROM (SELECT graph_id, node, x, layer FROM lf WHERE layer = 2 UNION ALL SELECT graph_id, node, x, layer FROM x1 UNION ALL SELECT * FROM x0)""")
 def tree_layout(spark, sf):
     """Places of the nodes of class trees: leaves in order, parents above the middle of their children."""
-    return populate.tree_layout(generate.tree_nodes(spark, 100, "bushy"), depth=2)
+    return populate.tree_layout(generate.tree_nodes(spark, graph_keys(spark, sf), "bushy"), depth=2)
 
 
 @query(f"""WITH a AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS modifier, string_split(p_type, ' ')[1] AS base FROM part),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics, generate, pools, records, structures, text
-from ..sources.views import results, table
+from ..sources.views import graph_keys, results, table
 from .datasets import DG, _graphs
-from .oracle import BUSHY, LEAF, SA, _key, _unit
+from .oracle import BUSHY, ISA, LEAF, SA, _key, _unit
 from .population import query
 
 
@@ -15,19 +15,19 @@ from .population import query
 SELECT graph_id, node AS src, parent AS dst, 'inheritance' AS type, layer, CAST(NULL AS INT) AS serial FROM tn WHERE parent IS NOT NULL UNION ALL SELECT graph_id, node, 'Property', 'has_property', layer, NULL FROM tn WHERE parent IS NULL UNION ALL SELECT graph_id, leaf, 'Property', 'hypothesis_edge', layer, NULL FROM lf
  UNION ALL SELECT graph_id, node, 'Property', CASE WHEN {_unit('esign', 'graph_id', 'node')} < 0.5 THEN 'defeasible_has_property' ELSE 'defeasible_lacks_property' END, layer, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY {_key('eser', 'graph_id', 'node')}) AS INT) FROM k""")
 def tree_graph_generate(spark, sf):
-    return generate.tree_edges(generate.tree_nodes(spark, 100, "bushy"))
+    return generate.tree_edges(generate.tree_nodes(spark, graph_keys(spark, sf), "bushy"))
 
 
 @query(f"""WITH {DG} SELECT graph_id, 'Property_' || (length - 1) AS target, array_to_string([('Object_' || j) FOR j IN range(1, objects + 1)], ',') AS subjects FROM g""")
 def hypothesis_discovery(spark, sf):
     """Targets with their subjects in the order of first sight."""
-    return structures.hypotheses(_graphs(spark)[1]).select("graph_id", "target", F.array_join("subjects", ",").alias("subjects"))
+    return structures.hypotheses(_graphs(spark, sf)[1]).select("graph_id", "target", F.array_join("subjects", ",").alias("subjects"))
 
 
 @query(f"""WITH {DG}, p AS (SELECT graph_id, 'Property_' || max(i) AS target, count(*) - 2 AS inner_nodes FROM ch GROUP BY graph_id) SELECT graph_id, target, CAST(inner_nodes AS BIGINT) AS inner_nodes FROM p""")
 def leaf_targets(spark, sf):
     """The hypothesis' target of each graph and its number of inner properties."""
-    n, e = _graphs(spark)
+    n, e = _graphs(spark, sf)
     inner = structures.intermediate(n, e).groupBy("graph_id").agg(F.count(F.lit(1)).alias("inner_nodes"))
     return structures.leaf_target(n, e).join(inner, "graph_id").select("graph_id", "target", "inner_nodes")
 
@@ -36,7 +36,7 @@ def leaf_targets(spark, sf):
  UNION ALL SELECT graph_id, 'hypothesis_edge', objects FROM g UNION ALL SELECT graph_id, 'has_attribute', irr FROM g UNION ALL SELECT graph_id, CASE WHEN pol = 1 THEN 'defeasible_has_property' ELSE 'defeasible_lacks_property' END, count(*) FROM de GROUP BY 1, 2""")
 def graph_summary(spark, sf):
     """Nodes and edges of each graph by kind."""
-    n, e = _graphs(spark)
+    n, e = _graphs(spark, sf)
     count = lambda t: t.groupBy("graph_id", F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     return structures.union_of(count(n), count(e))
 
@@ -44,14 +44,14 @@ def graph_summary(spark, sf):
 @query(f"""WITH {DG} SELECT graph_id, 'Property_' || i AS node_id, CAST(1 AS DOUBLE) AS x, CAST(i AS DOUBLE) AS y, '#82e0aa' AS colour FROM ch UNION ALL SELECT graph_id, 'Object_' || j, 0, j - 1, '#7fb3d5' FROM ob UNION ALL SELECT graph_id, 'Irrelevant_' || k, 2, k, '#d5d8dc' FROM ir""")
 def graph_layouts(spark, sf):
     """Places in columns by kind, and colours."""
-    n, e = _graphs(spark)
+    n, e = _graphs(spark, sf)
     return structures.styles(n, e)[0].join(structures.layouts(n, e, "columns"), ["graph_id", "node_id"]).select("graph_id", "node_id", "x", "y", "colour")
 
 
 @query(f"""WITH {DG}, n AS (SELECT graph_id, i AS node_ord, 'Property_' || i AS node_id FROM ch UNION ALL SELECT graph_id, j + 1000, 'Object_' || j FROM ob UNION ALL SELECT graph_id, k + 2000, 'Irrelevant_' || k FROM ir) SELECT * FROM n""")
 def graph_round_trip(spark, sf):
     """Nodes after writing graphs as JSON and reading them back."""
-    return structures.from_dictionaries(structures.dictionaries(*_graphs(spark)))[0].select("graph_id", "node_ord", "node_id")
+    return structures.from_dictionaries(structures.dictionaries(*_graphs(spark, sf)))[0].select("graph_id", "node_ord", "node_id")
 
 
 @query("""WITH e AS (SELECT s_suppkey AS subject, CASE WHEN s_suppkey % 2 = 0 THEN 'bypass' ELSE 'contradiction' END AS scenario, 'P' || s_nationkey AS node, s_suppkey % 3 AS b, s_suppkey % 3 + 2 AS a FROM supplier), m AS (SELECT *, unnest(range(0, 6)) AS serial FROM e)
@@ -98,9 +98,7 @@ def kruskal_p_value(spark, sf):
     return analytics.kruskal_test(results(spark, sf), 5)
 
 
-@query(r"""WITH d AS (SELECT list_filter(list_transform(string_split(text, '.'), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> '') AS l FROM documents), s AS (SELECT unnest(l) AS s FROM d),
-x AS (SELECT regexp_extract(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$', 1) AS entity, regexp_extract(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$', 2) AS value FROM s WHERE regexp_matches(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$'))
-SELECT entity, count(DISTINCT value) AS n, md5(string_agg(DISTINCT value, '|' ORDER BY value)) AS subclasses FROM x GROUP BY entity""")
+@query(r"""WITH d AS (SELECT list_filter(list_transform(string_split(text, '.'), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> '') AS l FROM documents), s AS (SELECT unnest(l) AS s FROM d), """ + ISA.format(cols="s") + " SELECT subject AS entity, count(DISTINCT value) AS n, md5(string_agg(DISTINCT value, '|' ORDER BY value)) AS subclasses FROM x GROUP BY 1")
 def extracted_entities(spark, sf):
     """The distinct subclasses of each entity that sentences speak of."""
     s = table(spark, sf, "documents").select(F.explode(text.sentences(F.col("text"))).alias("s")).select("s", text.extract(F.col("s")).alias("e")).where("e.kind = 'isa'")

@@ -41,7 +41,7 @@ R = """WITH x AS (SELECT o_orderpriority AS model, CAST(o_custkey % 20 AS INT) A
  CAST(l_linenumber AS INT) AS depth, CAST(l_discount >= CAST(0.04 AS DOUBLE) AS INT) AS correct, CASE l_returnflag WHEN 'A' THEN 'C1' WHEN 'R' THEN 'C2' ELSE 'C0' END AS cls, l_quantity AS confidence
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 SA = R + ", sa AS (SELECT model, seed, avg(correct) AS acc FROM x GROUP BY ALL)"
-LIN = f"""g AS (SELECT i AS graph_id, CAST(4 + {_num('len', 'i')} % 3 AS INT) AS depth FROM range(N) q(i)),
+LIN = f"""g AS (SELECT i AS graph_id, CAST(4 + {_num('len', 'i')} % 3 AS INT) AS depth FROM (SELECT c_custkey AS i FROM customer) q),
 st AS (SELECT graph_id, depth, CAST(unnest(range(1, depth + 1)) AS INT) AS i FROM g),
 wt AS (SELECT *, least(depth - 1, greatest(1, depth // 2) + {_num('n', 'graph_id')} % (depth - greatest(1, depth // 2) + 1)) AS wanted, row_number() OVER (PARTITION BY graph_id ORDER BY {_key('pick', 'graph_id', 'i')}) AS r FROM st WHERE i < depth),
 ev AS (SELECT graph_id, i, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY i) AS INT) AS serial, CASE WHEN {_unit('sign', 'graph_id', 'i')} < 0.5 THEN 'defeasible_has_property' ELSE 'defeasible_lacks_property' END AS type FROM wt WHERE r <= wanted),
@@ -53,7 +53,7 @@ FP = """, fp AS (SELECT graph_id, md5(max(layer) || '|' || coalesce(string_agg(l
 
 def _tree(depth: int, breadth: int, fewest: int, most: int, survival: float) -> str:
     """Level by level; decay 1."""
-    levels = ["n0 AS (SELECT i AS graph_id, '0' AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS layer FROM range(100) q(i))"]
+    levels = ["n0 AS (SELECT i AS graph_id, '0' AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS layer FROM (SELECT c_custkey AS i FROM customer) q)"]
     for d in range(depth):
         k = str(breadth) if d == 0 else f"{fewest} + {_num('kids', 'graph_id', 'node')} % {most - fewest + 1}"
         live = "" if d == 0 else f"WHERE {_unit('live', 'graph_id', 'node')} < CAST({survival} AS DOUBLE)"
@@ -84,6 +84,12 @@ for _name, _w in _concepts[:-1]:
     _draw += f"WHEN {_unit('w', 'c_custkey')} < CAST('{_upto!r}' AS DOUBLE) THEN '{_name}' "
 _draw += "ELSE 'bird' END"
 
+#: Subject and value of class sentences s, in words.
+ISA = r"""w AS (SELECT {cols}, regexp_split_to_array(trim(s), '\s+') AS w FROM s WHERE NOT regexp_matches(s, '[^\w\s-]')),
+v AS (SELECT *, list_position(list_transform(w[2:len(w) - 1], lambda x: lower(x) IN ('is', 'are')), true) AS v FROM w),
+p AS (SELECT {cols}, w[1:v] AS a, w[v + 2:] AS b FROM v WHERE v > 0),
+x AS (SELECT {cols}, array_to_string(CASE WHEN len(a) > 1 AND lower(a[1]) IN ('a', 'an') THEN a[2:] ELSE a END, ' ') AS subject, array_to_string(CASE WHEN len(b) > 1 AND lower(b[1]) IN ('a', 'an') THEN b[2:] ELSE b END, ' ') AS value FROM p)"""
+
 ORACLE_SQL = {
     "scan_filter_evidence": f"WITH {S} SELECT event_id, subject, pol, idx FROM s",
     "digraph_last_write_wins": f"WITH {E} SELECT subject, idx, event_id, pol FROM l",
@@ -99,7 +105,8 @@ ORACLE_SQL = {
  h AS (SELECT *, len(list_filter(en, lambda x: x <= 2 AND len(list_filter(b, lambda y: y > x AND y <= 2)) = 0)) > 0 AND NOT list_contains(b, 5) AS fires FROM g),
  k AS (SELECT subject, b, CASE WHEN fires THEN list_append(en, 5) ELSE en END AS en FROM h)
  SELECT subject, CASE WHEN len(list_filter(en, lambda x: len(list_filter(b, lambda y: y > x)) = 0)) > 0 THEN 'ENTAILED' ELSE 'DEFEATED' END AS state, list_contains(en, 5) AS enters_5 FROM k""",
-    "bypass_option_pairs": "WITH i AS (SELECT CAST(i AS INT) AS i FROM range(10) t(i)), p AS (SELECT a.i AS j, b.i AS k FROM i a JOIN i b ON b.i >= a.i + 2) SELECT p.j, p.k, q.j AS b_j, q.k AS b_k FROM p JOIN p q ON q.j > p.j AND q.k < p.k WHERE p.k - p.j >= 3",
+    "bypass_option_pairs": f"""WITH c AS (SELECT s_suppkey AS subject, 5 + {_num('chain', 's_suppkey')} % 4 AS length FROM supplier), i AS (SELECT subject, CAST(unnest(range(length)) AS INT) AS i FROM c),
+ p AS (SELECT a.subject, a.i AS j, b.i AS k FROM i a JOIN i b ON a.subject = b.subject AND b.i >= a.i + 2) SELECT p.subject, p.j, p.k, q.j AS b_j, q.k AS b_k FROM p JOIN p q ON p.subject = q.subject AND q.j > p.j AND q.k < p.k WHERE p.k - p.j >= 3""",
     "irrelevant_turns_interleaved": f"""WITH {E}, x AS (SELECT user_id AS subject, unnest(range(1, least(count(*), 3) + 1)) AS ord FROM events WHERE event_type = 'view' GROUP BY user_id),
  mk AS (SELECT subject, k, row_number() OVER (PARTITION BY subject ORDER BY k) AS serial FROM (SELECT subject, {_key('mix', 'subject', "'m' || serial")} AS k FROM e)),
  u AS (SELECT subject, k, 'main' AS kind, serial AS n FROM mk UNION ALL SELECT subject, {_key('mix', 'subject', "'x' || ord")}, 'irrelevant', ord FROM x)
@@ -123,9 +130,11 @@ ORACLE_SQL = {
  SELECT CASE WHEN best IS NULL OR best % 10 = 1 THEN 'yes' ELSE 'no' END AS answer, CASE WHEN NOT onp THEN 'no effect' WHEN pol = 1 THEN 'strengthen' ELSE 'weaken' END AS effect, CAST(count(*) AS BIGINT) AS n FROM al GROUP BY ALL""",
     "inheritance_final_answer": "WITH RECURSIVE " + ANC.format("WHERE src LIKE 'c%'") + TEV + " SELECT anc.subject, CASE WHEN max(te.layer * 10 + te.pol) IS NULL OR max(te.layer * 10 + te.pol) % 10 = 1 THEN 'yes' ELSE 'no' END AS answer FROM anc LEFT JOIN te USING (node) GROUP BY anc.subject",
     "tree_distance_to_subject": "WITH RECURSIVE " + ANC.format("") + f", pq AS (SELECT src AS a, 'n' || ({_num('far', 'src')} % 25) AS b FROM t WHERE src LIKE 'c%') SELECT a, b, CAST(min(x.dist + y.dist) AS BIGINT) AS distance FROM pq JOIN anc x ON x.subject = a JOIN anc y ON y.subject = b AND y.node = x.node GROUP BY a, b",
-    "linear_distance": f"WITH {LIN.replace('range(N)', 'range(200)')} SELECT e.graph_id, e.serial, least(h.layer - e.layer, 2) AS distance FROM lin e JOIN lin h ON h.graph_id = e.graph_id AND h.type = 'hypothesis_edge' WHERE e.type LIKE 'defeasible%'",
-    "skeptical_resolution": f"""WITH {LIN.replace('range(N)', 'range(100)')}, c AS (SELECT 'g' || graph_id AS graph_id, graph_id AS gid, src AS subject, dst AS target, unnest([0, 1, 2, 3, 4]) AS cut FROM lin WHERE type = 'hypothesis_edge')
- SELECT graph_id, subject, target, coalesce((SELECT CASE WHEN arg_max(e.type, e.layer) = 'defeasible_lacks_property' THEN 'False' END FROM lin e WHERE e.graph_id = gid AND e.type LIKE 'defeasible%' AND e.serial <= cut), 'True') AS answer FROM c""",
+    "linear_distance": f"WITH {LIN} SELECT e.graph_id, e.serial, least(h.layer - e.layer, 2) AS distance FROM lin e JOIN lin h ON h.graph_id = e.graph_id AND h.type = 'hypothesis_edge' WHERE e.type LIKE 'defeasible%'",
+    "skeptical_resolution": f"""WITH {LIN}, c AS (SELECT graph_id, graph_id AS gid, src AS subject, dst AS target, unnest([0, 1, 2, 3, 4]) AS cut FROM lin WHERE type = 'hypothesis_edge')
+ SELECT graph_id, subject, target, cut AS cutoff, coalesce((SELECT CASE WHEN arg_max(e.type, e.layer) = 'defeasible_lacks_property' THEN 'False' END FROM lin e WHERE e.graph_id = gid AND e.type LIKE 'defeasible%' AND e.serial <= cut), 'True') AS answer FROM c""",
+    "skeptical_taxonomy": f"""WITH RECURSIVE {T}{TEV}, up AS (SELECT src AS subject, src AS node, 0 AS d FROM t WHERE layer = 3 UNION ALL SELECT subject, t.dst, d + 1 FROM up JOIN t ON t.src = up.node)
+ SELECT subject, CASE arg_min(pol, d) FILTER (pol IS NOT NULL) WHEN 1 THEN 'True' WHEN 0 THEN 'False' ELSE 'Skeptical/Unknown' END AS answer FROM up LEFT JOIN te ON te.node = up.node GROUP BY subject""",
     "subclass_superclass_lookup": "WITH e AS (SELECT n_name AS c, r_name AS p FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT DISTINCT lower(p) AS label, c AS found, 'sub' AS direction FROM e UNION SELECT DISTINCT lower(c), p, 'super' FROM e",
     "disjunctive_property_match": "WITH k AS (SELECT DISTINCT p_type, p_brand, p_type || '|' || p_brand AS kind FROM part) SELECT DISTINCT p.kind AS property, s.kind AS subject FROM k p JOIN k s ON p.p_type = s.p_type OR p.p_brand = s.p_brand",
     "relation_join_weight_ordered": "WITH w AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, l_partkey) AS r FROM w) SELECT s_name AS start_label, p_name AS end_label, round(weight, 6) AS weight, r FROM t JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE r <= 3",
@@ -147,11 +156,11 @@ ORACLE_SQL = {
     "reliability_pairs": "WITH a AS (SELECT s_nationkey, s_name, lead(s_name) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS less FROM supplier) SELECT s_nationkey, s_name || ' is more reliable than ' || less || '.' AS statement FROM a WHERE less IS NOT NULL",
     "template_fill": "SELECT p_partkey, 'is made of ' || lower(p_name) AS sentence FROM part",
     "url_concepts": "SELECT page_id, regexp_extract(url, '^https?://[^/]+/(?:[a-z]{2}/)?([^/?#]*)', 1) AS concept FROM pages",
-    "fingerprint_linear": f"WITH {LIN.replace('range(N)', 'range(300)')}{FP} SELECT * FROM fp",
+    "fingerprint_linear": f"WITH {LIN}{FP} SELECT * FROM fp",
     "fingerprint_tree_canonical": f"""WITH {BUSHY}, a1 AS (SELECT n1.graph_id, n1.node, '(' || coalesce(string_agg('()', '') FILTER (n2.node IS NOT NULL), '') || ')' AS f FROM n1 LEFT JOIN n2 ON n2.graph_id = n1.graph_id AND n2.parent = n1.node GROUP BY 1, 2)
  SELECT graph_id, '(' || string_agg(f, '' ORDER BY f) || ')' AS form FROM a1 GROUP BY graph_id""",
     "fingerprint_subjects": f"WITH {E} SELECT subject, md5(string_agg(lpad(CAST(idx AS VARCHAR), 2, '0') || CASE WHEN pol = 1 THEN '+' ELSE '-' END, ',' ORDER BY idx)) AS fingerprint FROM e GROUP BY subject",
-    "dedup_saturation": f"""WITH {LIN.replace('range(N)', 'range(300)')}{FP}, a AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY graph_id) = 1 AS is_new FROM fp),
+    "dedup_saturation": f"""WITH {LIN}{FP}, a AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY graph_id) = 1 AS is_new FROM fp),
  b AS (SELECT *, sum(CAST(is_new AS INT)) OVER (ORDER BY graph_id) AS isl FROM a), c AS (SELECT *, CAST(sum(CAST(NOT is_new AS INT)) OVER (PARTITION BY isl ORDER BY graph_id) AS BIGINT) AS run FROM b)
  SELECT graph_id, is_new, run, is_new AND NOT coalesce(bool_or(run >= 10) OVER (ORDER BY graph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS accepted FROM c""",
     "weighted_choice": f"SELECT c_custkey, {_draw} AS choice FROM customer",
@@ -159,7 +168,7 @@ ORACLE_SQL = {
     "attribute_sampling": f"""WITH pool AS (SELECT p_name AS attribute, min(p_type) AS domain FROM part GROUP BY 1), own AS (SELECT DISTINCT p_type AS own FROM part),
  t AS (SELECT own, attribute, CAST(row_number() OVER (PARTITION BY own ORDER BY CAST(own = domain AS INT) DESC, {_key('attr', 'attribute')}, attribute) AS BIGINT) AS rank FROM own CROSS JOIN pool)
  SELECT p_partkey AS key, attribute, rank FROM part JOIN t ON own = p_type WHERE rank <= 3""",
-    "linear_graph_generate": f"WITH {LIN.replace('range(N)', 'range(200)')} SELECT * FROM lin",
+    "linear_graph_generate": f"WITH {LIN} SELECT * FROM lin",
     "tree_generate": f"WITH {_tree(4, 5, 1, 1, 0.4)} SELECT * FROM tn",
     "tree_hypothesis_leaf": f"WITH {BUSHY}, {LEAF} SELECT * FROM lf",
     "tree_evidence": f"""WITH {BUSHY}, {LEAF}, k AS (SELECT tn.* FROM tn WHERE layer > 0 AND NOT EXISTS (SELECT 1 FROM lf WHERE lf.graph_id = tn.graph_id AND lf.leaf = tn.node) AND {_unit('ev', 'graph_id', 'node')} < 0.6)
@@ -167,9 +176,7 @@ ORACLE_SQL = {
     "markov_transitions": f"WITH {EN}, w AS (SELECT '^' || word || '$' AS w FROM en), a AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w) SELECT substr(w, i, 2) AS state, substr(w, i + 2, 1) AS next, count(*) AS n FROM a GROUP BY ALL",
     "nonce_filter": f"WITH {EN}, d AS (SELECT DISTINCT word FROM en) SELECT word FROM d WHERE len(word) BETWEEN 4 AND 10 AND NOT regexp_matches(word, '[^aeiouy]{{4,}}') AND len(list_filter(range(1, len(word) - 1), lambda i: word[i] = word[i + 1] AND word[i] = word[i + 2])) = 0",
     "isa_extraction": r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> '') AS l FROM documents),
- s AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM d)
- SELECT doc_id, CAST(pos AS BIGINT) AS pos, regexp_extract(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$', 1) AS subject, regexp_extract(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$', 2) AS value
- FROM s WHERE regexp_matches(s, '^(?i:An? )?([\w\s-]+?)\s+(?i:is|are)\s+(?i:an? )?([\w\s-]+?)$')""",
+ s AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM d), """ + ISA.format(cols="doc_id, pos") + " SELECT doc_id, CAST(pos AS BIGINT) AS pos, subject, value FROM x",
     "batches": "SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // 5 AS batch FROM conversations WHERE turn = 0",
     "accuracy_heatmap_pivot": R + ", a AS (SELECT model, topology, avg(correct) AS a FROM x GROUP BY ALL) SELECT model, round(max(a) FILTER (topology = 'F'), 6) AS acc_F, round(max(a) FILTER (topology = 'O'), 6) AS acc_O, round(max(a) FILTER (topology = 'P'), 6) AS acc_P, round(avg(a), 6) AS row_mean FROM a GROUP BY model",
     "depth_curve_sem": R + " SELECT model, topology, depth, round(avg(correct), 6) AS mean_accuracy, round(stddev_samp(correct) / sqrt(count(*)), 6) AS sem_accuracy, count(*) AS n FROM x GROUP BY ALL",

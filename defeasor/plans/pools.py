@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import pick
 from ..operators import analytics, generate, pools
-from ..sources.views import results, table, taxonomy_edges
+from ..sources.views import graph_keys, results, table, taxonomy_edges
 from .datasets import SEEDS
 from .oracle import ANC, LIN, R, T, _key, _num, _unit
 from .population import query
@@ -148,28 +148,30 @@ def definition_kinds(spark, sf):
     return table(spark, sf, "part").select("p_partkey", pools.edge_kind(F.element_at(words, (F.col("p_partkey") % 7 + 1).cast("int"))).alias("kind"))
 
 
-@query(f"""WITH c AS (SELECT i AS graph_id, [4, 5, 6][{_num('variant', 'i')} % 3 + 1] AS length FROM range(200) q(i)), s AS (SELECT *, CASE length WHEN 4 THEN 0.8 WHEN 5 THEN 0.6 ELSE 0.5 END::DOUBLE AS lo, CASE length WHEN 4 THEN 1.0 WHEN 5 THEN 0.8 ELSE 0.75 END::DOUBLE AS hi FROM c),
+@query(f"""WITH c AS (SELECT i AS graph_id, [4, 5, 6][{_num('variant', 'i')} % 3 + 1] AS length FROM (SELECT c_custkey AS i FROM customer) q), s AS (SELECT *, CASE length WHEN 4 THEN 0.8 WHEN 5 THEN 0.6 ELSE 0.5 END::DOUBLE AS lo, CASE length WHEN 4 THEN 1.0 WHEN 5 THEN 0.8 ELSE 0.75 END::DOUBLE AS hi FROM c),
 m AS (SELECT *, CAST(least(greatest(greatest(1, floor(lo * length)), floor(hi * length)), length - 1) AS BIGINT) AS mx FROM s), n AS (SELECT *, CAST(least(greatest(1, floor(lo * length)), mx) AS BIGINT) AS mn FROM m), k AS (SELECT *, mn + {_num('share', 'graph_id')} % (mx - mn + 1) AS n FROM n),
 d AS (SELECT graph_id, n, unnest(range(1, length)) AS depth FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {_key('depth', 'graph_id', 'depth')}) AS serial FROM d)
 SELECT graph_id, CAST(depth AS INT) AS depth, CASE WHEN {_unit('lsign', 'graph_id', 'depth')} < 0.5 THEN 'defeasible_has_property' ELSE 'defeasible_lacks_property' END AS type, CAST(serial AS INT) AS serial FROM r WHERE serial <= n""")
 def linear_evidence_by_share(spark, sf):
     """Variants of easy chains, each with its share of evidence, revealed in hash order."""
     v = pools.LINEAR_VARIANTS["easy"]
-    g = spark.range(200).select(F.col("id").alias("graph_id"), pick([x[0] for x in v], "variant", "id").alias("length"))
+    g = graph_keys(spark, sf).select(F.col("id").alias("graph_id"), pick([x[0] for x in v], "variant", "id").alias("length"))
     of = lambda i: F.when(F.col("length") == v[0][0], F.lit(v[0][i])).when(F.col("length") == v[1][0], F.lit(v[1][i])).otherwise(F.lit(v[2][i]))
     return pools.evidence_by_share(g.withColumns({"lo": of(1), "hi": of(2)}))
 
 
-@query("SELECT i - 1 AS seed_index, s AS seed FROM (SELECT unnest(range(1, 21)) AS i, unnest([" + ", ".join(map(str, SEEDS)) + "]) AS s)")
+@query("SELECT c_custkey AS graph_id, c_custkey % 20 AS seed_index, CAST([" + ", ".join(map(str, SEEDS)) + "][c_custkey % 20 + 1] AS INT) AS seed FROM customer")
 def seed_manifest(spark, sf):
-    return spark.createDataFrame(list(enumerate(SEEDS)), "seed_index bigint, seed int")
+    """The seed of the run that each graph is dealt to."""
+    run = F.col("id") % len(SEEDS)
+    return graph_keys(spark, sf).select(F.col("id").alias("graph_id"), run.alias("seed_index"), F.element_at(F.array(*map(F.lit, SEEDS)), (run + 1).cast("int")).alias("seed"))
 
 
-@query(f"WITH {LIN.replace('range(N)', 'range(50)')} SELECT graph_id, src AS node, dst AS neighbour FROM lin WHERE type = 'inheritance'")
+@query(f"WITH {LIN} SELECT graph_id, src AS node, dst AS neighbour FROM lin WHERE type = 'inheritance'")
 def typed_neighbours(spark, sf):
     from ..operators.structures import neighbours
 
-    return neighbours(generate.linear_graphs(spark, 50), "inheritance")
+    return neighbours(generate.linear_graphs(spark, graph_keys(spark, sf)), "inheritance")
 
 
 @query(R + """, g AS (SELECT model, topology, avg(correct) AS a, avg(correct) FILTER (cls = 'C0') AS e, avg(correct) FILTER (cls <> 'C0') AS f FROM x GROUP BY ALL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import generate, populate, text
-from ..sources.views import results, table, taxonomy_edges
+from ..sources.views import graph_keys, results, table, taxonomy_edges
 from .oracle import BUSHY, LIN, R, T, _key, _num, _unit
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -31,14 +31,14 @@ def _names(spark, sf) -> DataFrame:
 SELECT graph_id, node, CAST(pos AS INT) AS pos, coalesce(r_name, 'concept_' || pos) AS label FROM b LEFT JOIN region ON r_regionkey = pos""")
 def tree_concept_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Class nodes in breadth-first order take the concepts of a list."""
-    return populate.labelled_by_position(populate.breadth_first(generate.tree_nodes(spark, 100, "bushy")), _names(spark, sf), "concept")
+    return populate.labelled_by_position(populate.breadth_first(generate.tree_nodes(spark, graph_keys(spark, sf), "bushy")), _names(spark, sf), "concept")
 
 
-@query(f"""WITH {LIN.replace("range(N)", "range(200)")} SELECT graph_id, src AS node, layer AS pos, coalesce(r_name, 'concept_' || layer) AS label
+@query(f"""WITH {LIN} SELECT graph_id, src AS node, layer AS pos, coalesce(r_name, 'concept_' || layer) AS label
 FROM (SELECT DISTINCT graph_id, src, layer FROM lin WHERE type IN ('inheritance', 'has_property')) LEFT JOIN region ON r_regionkey = layer""")
 def linear_concept_labels(spark, sf):
     """Classes of a chain take the concept of their layer."""
-    g = generate.linear_graphs(spark, 200).where("type in ('inheritance', 'has_property')")
+    g = generate.linear_graphs(spark, graph_keys(spark, sf)).where("type in ('inheritance', 'has_property')")
     return populate.labelled_by_position(g.select("graph_id", F.col("src").alias("node"), F.col("layer").alias("pos")).distinct(), _names(spark, sf), "concept")
 
 
@@ -63,17 +63,17 @@ def irrelevant_attribute_sampling(spark, sf):
 @query()
 def default_tree_generate(spark, sf):
     """Grown node by node; tests hold its invariants."""
-    return populate.grown_trees(spark, 200)
+    return populate.grown_trees(spark, graph_keys(spark, sf))
 
 
 @query()
 def default_tree_target(spark, sf):
-    return populate.tree_target(populate.grown_trees(spark, 200))
+    return populate.tree_target(populate.grown_trees(spark, graph_keys(spark, sf)))
 
 
 @query()
 def default_object_evidence(spark, sf):
-    return populate.object_evidence(populate.grown_trees(spark, 200, chain=7), 4)
+    return populate.object_evidence(populate.grown_trees(spark, graph_keys(spark, sf), chain=7), 4)
 
 
 def _words(spark, sf) -> DataFrame:
@@ -117,7 +117,7 @@ def paraphrase_replies(spark, sf):
 @query(f"WITH {BUSHY} SELECT graph_id, coalesce(layer, 0) AS layer, string_agg(node, ',' ORDER BY node) AS nodes FROM tn GROUP BY ALL")
 def layer_grouping(spark, sf):
     """The nodes of each graph by layer (missing: 0), in order; a list is a layer of one graph."""
-    n = generate.tree_nodes(spark, 100, "bushy")
+    n = generate.tree_nodes(spark, graph_keys(spark, sf), "bushy")
     return n.groupBy("graph_id", F.coalesce("layer", F.lit(0)).alias("layer")).agg(F.array_join(F.sort_array(F.collect_list("node")), ",").alias("nodes"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import hashing, phrases
-from ..operators import analytics, chain, converse, generate, inheritance, knowledge, ranking, skeptical, text
-from ..sources.views import evidence, last_edges, results, signed_events, table, taxonomy_edges, taxonomy_evidence
+from ..functions.unions import union_of
+from ..operators import analytics, chain, converse, generate, inheritance, knowledge, ranking, resolving, text
+from ..sources.views import evidence, graph_keys, last_edges, results, signed_events, table, taxonomy_edges, taxonomy_evidence
 from . import datasets, dialogue, graphs, pools, population  # noqa: F401 (these add their queries to those of population)
 
 
@@ -86,7 +87,9 @@ def chain_bypass_fold_many(spark, sf):
 
 @query
 def bypass_option_pairs(spark, sf):
-    return chain.bypass_options(10, spark)
+    """Bypasses of each supplier's chain, whose length is drawn by hash, with the claims that lie strictly inside."""
+    chains = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("subject"), (5 + hashing.number("chain", "s_suppkey") % 4).cast("int").alias("length"))
+    return chain.bypass_options(chains)
 
 
 @query
@@ -199,7 +202,7 @@ def tree_distance_to_subject(spark, sf):
 
 @query
 def linear_distance(spark, sf):
-    g = generate.linear_graphs(spark, 200)
+    g = generate.linear_graphs(spark, graph_keys(spark, sf))
     subject = g.where("type = 'hypothesis_edge'").select("graph_id", F.col("layer").alias("depth"))
     return g.where("type like 'defeasible%'").join(subject, "graph_id").select("graph_id", "serial", F.least(F.col("depth") - F.col("layer"), F.lit(2)).alias("distance"))
 
@@ -207,11 +210,20 @@ def linear_distance(spark, sf):
 @query
 def skeptical_resolution(spark, sf):
     """The general resolver on generated class chains, one answer for each cutoff."""
-    g = generate.linear_graphs(spark, 100)
-    cols = [F.concat(F.lit("g"), F.col("graph_id").cast("string")).alias("graph_id")]
-    edges = g.where("type <> 'hypothesis_edge'").select(*cols, F.col("layer").alias("edge_ord"), "src", "dst", "type", "serial")
-    hyp = g.where("type = 'hypothesis_edge'").select(*cols, F.col("src").alias("subject"), F.col("dst").alias("target"), F.explode(F.array(*map(F.lit, range(5)))).alias("cutoff"))
-    return skeptical.resolve_graphs(edges, hyp)
+    g = generate.linear_graphs(spark, graph_keys(spark, sf))
+    edges = g.where("type <> 'hypothesis_edge'").select("graph_id", F.col("layer").alias("edge_ord"), "src", "dst", "type", "serial")
+    hyp = g.where("type = 'hypothesis_edge'").select("graph_id", F.col("src").alias("subject"), F.col("dst").alias("target"), F.explode(F.array(*map(F.lit, range(5)))).alias("cutoff"))
+    return resolving.resolve_all(resolving.signed_edges(edges), hyp)
+
+
+@query
+def skeptical_taxonomy(spark, sf):
+    """The general resolver on one graph of all customers, suppliers, nations and regions: does evidence give a leaf the property?"""
+    tree = taxonomy_edges(spark, sf)
+    spine = tree.select("src", "dst", F.lit("+").alias("sign"))
+    signs = taxonomy_evidence(spark, sf).select(F.col("node").alias("src"), F.lit("Property").alias("dst"), F.when(F.col("pol") == 1, "+").otherwise("-").alias("sign"))
+    asked = tree.where("layer = 3").select(F.lit(0).alias("graph_id"), F.col("src").alias("subject"), F.lit("Property").alias("target"))
+    return resolving.resolve_all(union_of(spine, signs).withColumn("graph_id", F.lit(0)), asked).select("subject", "answer")
 
 
 @query
@@ -346,12 +358,12 @@ def url_concepts(spark, sf):
 
 @query
 def fingerprint_linear(spark, sf):
-    return generate.linear_fingerprints(generate.linear_graphs(spark, 300))
+    return generate.linear_fingerprints(generate.linear_graphs(spark, graph_keys(spark, sf)))
 
 
 @query
 def fingerprint_tree_canonical(spark, sf):
-    return generate.canonical_trees(generate.tree_nodes(spark, 100, "bushy"), 2)
+    return generate.canonical_trees(generate.tree_nodes(spark, graph_keys(spark, sf), "bushy"), 2)
 
 
 @query
@@ -363,7 +375,7 @@ def fingerprint_subjects(spark, sf):
 
 @query
 def dedup_saturation(spark, sf):
-    f = generate.linear_fingerprints(generate.linear_graphs(spark, 300))
+    f = generate.linear_fingerprints(generate.linear_graphs(spark, graph_keys(spark, sf)))
     return generate.saturation(f, 10)
 
 
@@ -386,27 +398,27 @@ def attribute_sampling(spark, sf):
 
 @query
 def linear_graph_generate(spark, sf):
-    return generate.linear_graphs(spark, 200).select("graph_id", "src", "dst", "type", "layer", F.col("serial").cast("int").alias("serial"))
+    return generate.linear_graphs(spark, graph_keys(spark, sf)).select("graph_id", "src", "dst", "type", "layer", F.col("serial").cast("int").alias("serial"))
 
 
 @query
 def tree_generate(spark, sf):
-    return generate.tree_nodes(spark, 100, "jellyfish")
+    return generate.tree_nodes(spark, graph_keys(spark, sf), "jellyfish")
 
 
 @query
 def tree_evidence(spark, sf):
-    return generate.tree_evidence(generate.tree_nodes(spark, 100, "bushy"))
+    return generate.tree_evidence(generate.tree_nodes(spark, graph_keys(spark, sf), "bushy"))
 
 
 @query
 def tree_hypothesis_leaf(spark, sf):
-    return generate.hypothesis_leaf(generate.tree_nodes(spark, 100, "bushy"))
+    return generate.hypothesis_leaf(generate.tree_nodes(spark, graph_keys(spark, sf), "bushy"))
 
 
 @query
 def phonotactic_corpus(spark, sf):
-    return text.phonotactic_words(spark, 2000)
+    return text.phonotactic_words(spark, graph_keys(spark, sf))
 
 
 def _words(spark, sf) -> DataFrame:

@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def graph_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of generated graphs: one for each customer."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
 def signed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, subject, pol (1, -1), idx (chain position 1..8); views and clicks carry no sign and are left out."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup", "error"))

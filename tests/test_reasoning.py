@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from defeasor.operators import chain, skeptical
+from defeasor.operators import chain, resolving, skeptical
 
 BIRDS = [("Canary", "Bird", "is_a"), ("Eagle", "Bird", "is_a"), ("Dog", "Mammal", "is_a"), ("Bird", "Animal", "inheritance"), ("Mammal", "Animal", "inheritance"), ("Animal", "CanFly", "inheritance"), ("Canary", "CanFly", "hypothesis_edge")]
 LACKS, HAS = "defeasible_lacks_property", "defeasible_has_property"
@@ -44,6 +44,45 @@ def test_resolve_graphs(spark):
     assert {r["graph_id"]: r["answer"] for r in out.collect()} == {n: c[3] for n, c in CASES.items()}
 
 
+EDGES, ASKED = "graph_id string, edge_ord int, src string, dst string, type string, serial int", "graph_id string, subject string, target string, cutoff int"
+
+
+def test_resolver_of_joins(spark):
+    """Known cases and random graphs with conflicts and cutoffs, all at once, against the resolver of one graph."""
+    edges = [(n, i, *e, None) for n, (es, *_) in CASES.items() for i, e in enumerate(es)]
+    queries = [(n, x, y, None) for n, (_, x, y, _) in CASES.items()]
+    rng = random.Random(12)
+    for g in range(60):
+        nodes = [f"n{i}" for i in range(rng.randint(3, 10))]
+        es = [(nodes[a], nodes[b]) for a in range(len(nodes)) for b in range(a + 1, len(nodes)) if rng.random() < 0.5]
+        edges += [(f"r{g}", i, a, b, rng.choice(["inheritance", "inheritance", HAS, LACKS, LACKS, "hypothesis_edge"]), rng.choice([None, 1, 2, 3])) for i, (a, b) in enumerate(es + es[:2])]
+        queries += [(f"r{g}", nodes[0], y, cut) for y in (nodes[-1], nodes[-2]) for cut in (None, 0, 2)]
+    got = resolving.resolve_all(resolving.signed_edges(spark.createDataFrame(edges, EDGES)), spark.createDataFrame(queries, ASKED))
+    by_graph = {}
+    for n, _, u, v, t, s in edges:
+        by_graph.setdefault(n, []).append((u, v, t, s))
+    expected = {(n, x, y, c): skeptical.resolve(skeptical.signs(by_graph.get(n, []), c), x, y) for n, x, y, c in queries}
+    assert len(set(expected.values())) == 3
+    assert {(r["graph_id"], r["subject"], r["target"], r["cutoff"]): r["answer"] for r in got.collect()} == expected
+
+
+def test_resolver_of_joins_on_one_large_graph(spark):
+    """Layers of many nodes, none of which meets another layer in one task."""
+    rng, width, depth = random.Random(13), 1500, 4
+    edges = [("x", f"0:{i}", "+") for i in range(width)]
+    edges += [(f"{d}:{i}", f"{d + 1}:{j}", "+" if rng.random() < 0.8 else "-") for d in range(depth) for i in range(width) for j in rng.sample(range(width), 3)]
+    edges += [(f"{depth}:{i}", "y", "+") for i in range(width)]
+    got = resolving.resolve_all(spark.createDataFrame([(1, *e) for e in edges], "graph_id int, src string, dst string, sign string"), spark.createDataFrame([(1, "x", "y"), (1, "x", "3:7"), (1, "2:5", "y")], "graph_id int, subject string, target string"))
+    signed = {(u, v): s for u, v, s in edges}
+    assert {(r["subject"], r["target"]): r["answer"] for r in got.collect()} == {(x, y): skeptical.resolve(signed, x, y) for x, y in (("x", "y"), ("x", "3:7"), ("2:5", "y"))}
+
+
+def test_resolver_of_joins_cycle(spark):
+    edges = spark.createDataFrame([(1, "a", "b", "+"), (1, "b", "c", "+"), (1, "c", "b", "+"), (1, "b", "y", "+")], "graph_id int, src string, dst string, sign string")
+    with pytest.raises(ValueError):
+        resolving.resolve_all(edges, spark.createDataFrame([(1, "a", "y")], "graph_id int, subject string, target string"))
+
+
 def slow_state(pos, neg, rules=()):
     if set(pos) & set(neg):
         return "UNDETERMINED"

@@ -81,3 +81,14 @@ def test_queries_against_sql(spark):
         theirs = sorted(tuple(text(v) for _, v in sorted(zip(cols, r))) for r in res.fetchall())
         ours = sorted(tuple(text(r[c]) for c in sorted(cols)) for r in df.collect())
         assert ours == theirs, name
+
+
+def test_every_query_reads_a_table(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from defeasor.plans.queries import QUERIES
+
+    for name, query in QUERIES.items():
+        with pytest.raises(AnalysisException):
+            query(spark, f"{tmp_path}/none")
+            raise AssertionError(name)
