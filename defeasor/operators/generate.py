@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -104,12 +104,17 @@ def saturation(fingerprints: DataFrame, stop: int) -> DataFrame:
 
 def weighted_choice(rows: DataFrame, key: str, options: list[tuple[str, float]], purpose: str = "w", seed: int = 42) -> DataFrame:
     """rows with choice, drawn by cumulative weights (one CASE, no join)."""
+    return rows.withColumn("choice", drawn_choice(key, options, purpose, seed))
+
+
+def drawn_choice(key: str, options: list[tuple[str, float]], purpose: str = "w", seed: int = 42) -> Column:
+    """One of the options by cumulative weights, drawn by the hash of a key."""
     total, out, upto = sum(w for _, w in options), None, 0.0
     u = unit(purpose, key, seed=seed)
     for name, w in options[:-1]:
         upto += w / total
         out = F.when(u < F.lit(upto), name) if out is None else out.when(u < F.lit(upto), name)
-    return rows.withColumn("choice", out.otherwise(options[-1][0]) if out is not None else F.lit(options[-1][0]))
+    return out.otherwise(options[-1][0]) if out is not None else F.lit(options[-1][0])
 
 
 def sample_without_replacement(rows: DataFrame, by: str, item: str, k: int, purpose: str = "s", seed: int = 42) -> DataFrame:

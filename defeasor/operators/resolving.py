@@ -10,37 +10,13 @@ shuffled, and every step is written to the shared folder, so the number of steps
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stored import written
 from ..functions.unions import sound_unions, union_of
 from .skeptical import EVIDENCE, NEGATIVE, POSITIVE, UNKNOWN
 
-_own: dict[str, str] = {}
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a temporary one for a local session without the setting)."""
-    spark = df.sparkSession
-    sound_unions(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="defeasor-")
-        folder = _own[app]
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def signed_edges(edges: DataFrame) -> DataFrame:
     """(graph_id, src, dst, sign, serial) from (graph_id, edge_ord, src, dst, type, serial): the last edge of a pair wins; types
     without a sign have none. serial: that of evidence only."""

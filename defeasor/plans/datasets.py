@@ -107,13 +107,17 @@ def default_turns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return conversation(openings, updates)
 
 
+#: Lengths of class chains and presets of class trees by difficulty.
+LINEAR_LENGTHS = {"easy": (4, 6), "hard": (20, 30)}
+TREE_PRESET = {"easy": "bushy", "hard": "balanced"}
+
+
 def _linear(spark: SparkSession, n: int, difficulty: str, seed: int) -> DataFrame:
-    lo, hi = {"easy": (4, 6), "hard": (20, 30)}[difficulty]
-    return linear_turns(generate.linear_graphs(spark, n, lo, hi, seed))
+    return linear_turns(generate.linear_graphs(spark, n, *LINEAR_LENGTHS[difficulty], seed))
 
 
 def _tree(spark: SparkSession, n: int, difficulty: str, seed: int) -> DataFrame:
-    return tree_turns(generate.tree_nodes(spark, n, "bushy" if difficulty == "easy" else "balanced", seed))
+    return tree_turns(generate.tree_nodes(spark, n, TREE_PRESET[difficulty], seed))
 
 
 def _default(spark: SparkSession, n: int, difficulty: str, seed: int) -> DataFrame:

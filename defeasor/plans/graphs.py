@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, generate, pools, records, structures, text
+from ..operators import analytics, distinct, generate, pools, records, structures, text
 from ..sources.views import graph_keys, results, table
 from .datasets import DG, _graphs
-from .oracle import BUSHY, ISA, LEAF, SA, _key, _unit
+from .oracle import BUSHY, CONCEPT, ISA, LEAF, SA, _key, _unit
 from .population import query
 
 
@@ -104,3 +104,10 @@ def extracted_entities(spark, sf):
     s = table(spark, sf, "documents").select(F.explode(text.sentences(F.col("text"))).alias("s")).select("s", text.extract(F.col("s")).alias("e")).where("e.kind = 'isa'")
     e = pools.entity_sets(s.select(F.col("e.subject").alias("entity"), F.lit("isa").alias("kind"), F.col("e.value").alias("value"), F.lit("").alias("sentence")))
     return e.select("entity", F.size("subclasses").cast("bigint").alias("n"), F.md5(F.array_join("subclasses", "|").cast("binary")).alias("subclasses"))
+
+
+@query(f"""WITH {DG}, e AS (SELECT graph_id, string_agg(j || ':' || (i + 1) || ':' || CASE WHEN pol = 1 THEN 'defeasible_has_property' ELSE 'defeasible_lacks_property' END, ',' ORDER BY j, i) AS e FROM de GROUP BY graph_id)
+SELECT graph_id, md5({CONCEPT} || '|' || length || '|' || objects || '|' || irr || '|' || coalesce(e, '')) AS fingerprint FROM g LEFT JOIN e USING (graph_id)""")
+def fingerprint_default(spark, sf):
+    """Fingerprints of default graphs under a concept drawn for each."""
+    return distinct.default_fingerprints(*_graphs(spark, sf), generate.drawn_choice("graph_id", generate.CONCEPTS))

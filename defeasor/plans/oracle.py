@@ -83,6 +83,7 @@ for _name, _w in _concepts[:-1]:
     _upto += _w / _total
     _draw += f"WHEN {_unit('w', 'c_custkey')} < CAST('{_upto!r}' AS DOUBLE) THEN '{_name}' "
 _draw += "ELSE 'bird' END"
+CONCEPT = _draw.replace("c_custkey", "graph_id")
 
 #: Subject and value of class sentences s, in words.
 ISA = r"""w AS (SELECT {cols}, regexp_split_to_array(trim(s), '\s+') AS w FROM s WHERE NOT regexp_matches(s, '[^\w\s-]')),
@@ -160,6 +161,9 @@ ORACLE_SQL = {
     "fingerprint_tree_canonical": f"""WITH {BUSHY}, a1 AS (SELECT n1.graph_id, n1.node, '(' || coalesce(string_agg('()', '') FILTER (n2.node IS NOT NULL), '') || ')' AS f FROM n1 LEFT JOIN n2 ON n2.graph_id = n1.graph_id AND n2.parent = n1.node GROUP BY 1, 2)
  SELECT graph_id, '(' || string_agg(f, '' ORDER BY f) || ')' AS form FROM a1 GROUP BY graph_id""",
     "fingerprint_subjects": f"WITH {E} SELECT subject, md5(string_agg(lpad(CAST(idx AS VARCHAR), 2, '0') || CASE WHEN pol = 1 THEN '+' ELSE '-' END, ',' ORDER BY idx)) AS fingerprint FROM e GROUP BY subject",
+    "distinct_generation": f"""WITH {LIN}{FP}, d AS (SELECT graph_id, md5({CONCEPT} || '|' || fingerprint) AS fingerprint FROM fp),
+ a AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY graph_id) = 1 AS is_new, row_number() OVER (ORDER BY graph_id) AS o FROM d), b AS (SELECT *, sum(is_new::INT) OVER (ORDER BY o) AS rank, o - coalesce(max(CASE WHEN is_new THEN o END) OVER (ORDER BY o), 0) AS run FROM a)
+ SELECT graph_id, fingerprint FROM b WHERE is_new AND rank <= 500 AND o <= coalesce((SELECT min(o) FROM b WHERE run >= 15), o)""",
     "dedup_saturation": f"""WITH {LIN}{FP}, a AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY graph_id) = 1 AS is_new FROM fp),
  b AS (SELECT *, sum(CAST(is_new AS INT)) OVER (ORDER BY graph_id) AS isl FROM a), c AS (SELECT *, CAST(sum(CAST(NOT is_new AS INT)) OVER (PARTITION BY isl ORDER BY graph_id) AS BIGINT) AS run FROM b)
  SELECT graph_id, is_new, run, is_new AND NOT coalesce(bool_or(run >= 10) OVER (ORDER BY graph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS accepted FROM c""",

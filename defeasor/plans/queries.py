@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import hashing, phrases
+from ..functions import hashing, phrases, stored
 from ..functions.unions import union_of
-from ..operators import analytics, chain, converse, generate, inheritance, knowledge, ranking, resolving, text
+from ..operators import analytics, chain, converse, distinct, generate, inheritance, knowledge, ranking, resolving, text
 from ..sources.views import evidence, graph_keys, last_edges, results, signed_events, table, taxonomy_edges, taxonomy_evidence
 from . import datasets, dialogue, graphs, pools, population  # noqa: F401 (these add their queries to those of population)
 
@@ -361,6 +361,20 @@ def fingerprint_linear(spark, sf):
     return generate.linear_fingerprints(generate.linear_graphs(spark, graph_keys(spark, sf)))
 
 
+def _with_concept(ids: DataFrame) -> DataFrame:
+    """Fingerprints of class chains under a concept drawn for each."""
+    prints = generate.linear_fingerprints(generate.linear_graphs(ids.sparkSession, ids))
+    drawn = generate.weighted_choice(prints, "graph_id", generate.CONCEPTS)
+    return drawn.select("graph_id", F.md5(F.concat_ws("|", "choice", "fingerprint").cast("binary")).alias("fingerprint"))
+
+
+@query
+def distinct_generation(spark, sf):
+    """The first 500 distinct class chains of the customers' graphs, or those before 15 duplicates in a row."""
+    store = stored.fresh_path(spark, "accepted")
+    return distinct.search(graph_keys(spark, sf), _with_concept, store, wanted=500, stop=15)[0]
+
+
 @query
 def fingerprint_tree_canonical(spark, sf):
     return generate.canonical_trees(generate.tree_nodes(spark, graph_keys(spark, sf), "bushy"), 2)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import structures
+from .operators import distinct, structures
+from .operators import generate as structural
 from .plans import datasets
 from .sources import files, writers
 
@@ -24,6 +26,31 @@ def generate(spark: SparkSession, out: str, topologies: list[str], difficulties:
     return paths
 
 
+def fingerprints(spark: SparkSession, topology: str, difficulty: str, seed: int) -> Callable[[DataFrame], DataFrame]:
+    """What makes two raw graphs of a topology duplicates, under the concept drawn for each."""
+    concept = structural.drawn_choice("graph_id", structural.CONCEPTS, seed=seed)
+    under = lambda f, form: f.select("graph_id", F.md5(F.concat_ws("|", concept, form).cast("binary")).alias("fingerprint"))
+    if topology == "linear_inheritance":
+        return lambda ids: under(structural.linear_fingerprints(structural.linear_graphs(spark, ids, *datasets.LINEAR_LENGTHS[difficulty], seed)), "fingerprint")
+    if topology == "tree_inheritance":
+        preset = datasets.TREE_PRESET[difficulty]
+        return lambda ids: under(structural.canonical_trees(structural.tree_nodes(spark, ids, preset, seed), structural.TREE_PRESETS[preset][0]), "form")
+    return lambda ids: distinct.default_fingerprints(*structures.default_graphs(spark, ids, difficulty, seed), concept)
+
+
+def generate_distinct(spark: SparkSession, out: str, topology: str, difficulty: str, n: int, seed: int, most_attempts: int = 1 << 20) -> distinct.Report:
+    """A dataset of n graphs of which no two are alike, nor like one of an earlier run over the same folder; its metadata has the
+    counts of the search, which ends at 15 (classes: 10) duplicates in a row."""
+    path = f"{out}/{topology}_{difficulty}_distinct"
+    stop = 10 if "inheritance" in topology else 15
+    ids, report = distinct.search(spark.range(most_attempts), fingerprints(spark, topology, difficulty, seed), f"{path}/store", wanted=n, stop=stop, first_round=max(256, 2 * n))
+    turns = datasets.dataset(spark, topology, ids.select(F.col("graph_id").alias("id")), difficulty, seed)
+    counts = {"attempts": report.attempts, "duplicates": report.duplicates, "saturated": report.saturated}
+    meta = datasets.metadata(turns, topology, difficulty, n, seed).select("*", *[F.lit(v).alias(k) for k, v in counts.items()])
+    writers.write_samples(meta, datasets.samples(turns), f"{path}/dataset")
+    return report
+
+
 def reseed(spark: SparkSession, out: str, topologies: list[str], n: int, only: int | None = None, seeds: list[int] | None = None) -> None:
     """Datasets of all seeds (or one), partitioned by topology and seed, and the manifest of seeds."""
     for topology in topologies:
@@ -74,10 +101,15 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--seed-index", type=int)
     p.add_argument("--stage", default="turns")
+    p.add_argument("--distinct", action="store_true", help="no two graphs alike, nor like those of earlier runs in --out")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("defeasor").getOrCreate()
     topologies = a.topology or sorted(datasets.TOPOLOGIES)
-    if a.command == "generate":
+    if a.command == "generate" and a.distinct:
+        for topology in topologies:
+            for difficulty in a.difficulty or ["easy", "hard"]:
+                print(topology, difficulty, generate_distinct(spark, a.out, topology, difficulty, a.samples, a.seed))
+    elif a.command == "generate":
         generate(spark, a.out, topologies, a.difficulty or ["easy", "hard"], a.samples, a.seed)
     elif a.command == "reseed":
         reseed(spark, a.out, topologies, min(a.samples, 30), a.seed_index)
