@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, distinct, generate, pools, records, structures, text
+from ..operators import analytics, dialogues, distinct, generate, pools, records, structures, text
 from ..sources.views import graph_keys, results, table
 from .datasets import DG, _graphs
 from .oracle import BUSHY, CONCEPT, ISA, LEAF, SA, _key, _unit
@@ -111,3 +111,25 @@ SELECT graph_id, md5({CONCEPT} || '|' || length || '|' || objects || '|' || irr
 def fingerprint_default(spark, sf):
     """Fingerprints of default graphs under a concept drawn for each."""
     return distinct.default_fingerprints(*_graphs(spark, sf), generate.drawn_choice("graph_id", generate.CONCEPTS))
+
+
+@query()
+def whole_conversations(spark, sf):
+    """Evidence, irrelevant and quantified updates and episodes of two sources under a cap of 60 turns, one conversation for each
+    customer's graph; tests hold it against a replay turn by turn."""
+    return dialogues.whole_conversations(*_graphs(spark, sf), cap=60)
+
+
+@query(f"""WITH {DG}, s AS (SELECT graph_id, 'Object_' || j AS subject, row_number() OVER (PARTITION BY graph_id ORDER BY {_key('late', 'graph_id', "'Object_' || j")}) AS o, objects FROM ob JOIN g USING (graph_id)),
+t AS (SELECT * FROM s WHERE objects > 1 AND o <= least(objects - 1, greatest(1, round_even(objects * 0.5, 0)))), p AS (SELECT de.graph_id, subject, serial, i, row_number() OVER (PARTITION BY de.graph_id, j ORDER BY serial) AS r, count(*) OVER (PARTITION BY de.graph_id, j) AS n FROM de JOIN t ON t.graph_id = de.graph_id AND subject = 'Object_' || j WHERE pol = 1),
+a AS (SELECT graph_id, subject, list(struct_pack(serial := serial, i := i) ORDER BY {_key('anchor', 'graph_id', 'subject', "'Property_' || i")}) AS a FROM p WHERE r > n // 2 GROUP BY ALL),
+d AS (SELECT *, {", ".join(f"{_unit('source', 'graph_id', 'subject', str(k))} < 0.7 AS f{k}" for k in (0, 2, 4, 6))} FROM a),
+e AS (SELECT graph_id, subject, 0 AS ep, a[1] AS x, f0 AS f, a, f0, f2, f4, f6 FROM d),
+k AS (SELECT *, a[1].serial + CASE WHEN f0 THEN -0.5 ELSE 0.5 END AS b0, list_filter([f2, f4, f6], lambda f: a[2].serial + CASE WHEN f THEN -0.5 ELSE 0.5 END <> a[1].serial + CASE WHEN f0 THEN -0.5 ELSE 0.5 END) AS ok FROM e),
+o AS (SELECT graph_id, subject, 0 AS ep, x, f0 AS first FROM k UNION ALL SELECT graph_id, subject, 1, a[2], ok[1] FROM k WHERE len(a) > 1 AND len(ok) > 0)
+SELECT graph_id, subject, CAST(ep AS INT) AS ep, 'Property_' || x.i AS node, CAST(x.i AS INT) AS idx, first AS b_first, CAST(x.serial + CASE WHEN first THEN -0.5 ELSE 0.5 END AS DOUBLE) AS b_serial, CAST(x.serial AS DOUBLE) AS a_serial FROM o""")
+def source_episodes(spark, sf):
+    """Episodes of two sources on the subjects kept back for them, drawn with at most eight tries and two for a subject."""
+    n, e = _graphs(spark, sf)
+    late = dialogues.ordered_subjects(e, 0.5).where("late").select("graph_id", "subject")
+    return dialogues.plan_episodes(records.chain_evidence(e).join(late, ["graph_id", "subject"], "left_semi"))
