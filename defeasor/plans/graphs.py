@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics, dialogues, distinct, generate, pools, records, structures, text
 from ..sources.views import graph_keys, results, table
 from .datasets import DG, _graphs
-from .oracle import BUSHY, CONCEPT, ISA, LEAF, SA, _key, _unit
+from .oracle import BUSHY, CONCEPT, ISA, LEAF, LIN, SA, _key, _unit
 from .population import query
 
 
@@ -133,3 +133,18 @@ def source_episodes(spark, sf):
     n, e = _graphs(spark, sf)
     late = dialogues.ordered_subjects(e, 0.5).where("late").select("graph_id", "subject")
     return dialogues.plan_episodes(records.chain_evidence(e).join(late, ["graph_id", "subject"], "left_semi"))
+
+
+@query(f"""WITH {LIN}, evd AS (SELECT graph_id, src, layer, (type = 'defeasible_has_property')::INT AS pol, serial FROM lin WHERE type LIKE 'defeasible%'),
+gr AS (SELECT graph_id, list(src) AS members, min(serial) AS f FROM evd GROUP BY graph_id HAVING count(*) >= 2 AND count(DISTINCT pol) = 2), sb AS (SELECT graph_id, 'Subclass_' || i AS subject, i AS own FROM st),
+gev AS (SELECT graph_id, CAST(serial AS DOUBLE) AS tm, 'edge' AS kind, src, pol, members FROM evd AS e LEFT JOIN gr USING (graph_id) UNION ALL SELECT graph_id, f - 0.5, 'group', NULL, NULL, members FROM gr),
+kn AS (SELECT e.*, CASE WHEN len(members) = 2 THEN f ELSE serial END AS since FROM evd AS e LEFT JOIN gr USING (graph_id)),
+ans AS (SELECT gev.*, subject, CASE WHEN coalesce((SELECT max(layer * 2 + k.pol) FROM kn k WHERE k.graph_id = gev.graph_id AND since <= tm AND layer <= own), 1) % 2 = 1 THEN 'yes' ELSE 'no' END AS answer FROM gev JOIN sb USING (graph_id)),
+eff AS (SELECT *, coalesce(lag(answer) OVER (PARTITION BY graph_id, subject ORDER BY tm), 'yes') AS before FROM ans)
+SELECT graph_id, subject, CAST(tm AS DOUBLE) AS "at", kind, src AS source, answer, CASE WHEN kind = 'group' THEN 'no effect' WHEN coalesce(list_contains(members, subject) AND subject <> src, false) THEN CASE pol WHEN 0 THEN 'strengthen' ELSE 'weaken' END
+ WHEN before <> 'yes' AND answer = 'yes' THEN 'strengthen' WHEN before = 'yes' AND answer <> 'yes' THEN 'weaken' WHEN pol = 1 THEN 'strengthen' ELSE 'weaken' END AS effect FROM eff""")
+def linear_group_replay(spark, sf):
+    """Class chains with exception groups: the announcement, inferred members of groups of two, and effects on every class."""
+    lin = generate.linear_graphs(spark, graph_keys(spark, sf))
+    layers = lin.where("type = 'inheritance'").select("graph_id", F.col("src").alias("node"), "layer")
+    return records.grouped_replay(lin, layers, layers.select("graph_id", F.col("node").alias("subject")))

@@ -146,3 +146,46 @@ def test_demo_turns(spark):
         extra = [i for i, r in enumerate(conv) if r["role"] == "user" and i and r["serial"] is None]
         assert len(extra) == 1 and conv[extra[0] + 1]["ground_truth"] == conv[extra[0] - 1]["ground_truth"] and conv[extra[0] + 1]["effect"] == "no_effect"
     assert len(by) == 12
+
+
+def test_grouped_replay(spark):
+    """Groups of two (the second member is inferred) and of three, step by step."""
+    import itertools
+
+    rng, edges, layers = random.Random(3), [], []
+    for g in range(60):
+        depth = rng.randint(2, 6)
+        layers += [(g, f"c{i}", i) for i in range(depth)]
+        members = rng.sample(range(depth), rng.randint(1, min(4, depth)))
+        edges += [(g, f"c{i}", "P", rng.choice(["defeasible_has_property", "defeasible_lacks_property"]), n) for n, i in enumerate(members, 1)]
+    asked = [(g, n) for g, n, _ in layers]
+    got = records.grouped_replay(spark.createDataFrame(edges, "graph_id int, src string, dst string, type string, serial int"), spark.createDataFrame(layers, "graph_id int, node string, layer int"), spark.createDataFrame(asked, "graph_id int, subject string"))
+    expected, sizes = [], set()
+    for g, s in asked:
+        mine = sorted((x for x in edges if x[0] == g), key=lambda x: x[4])
+        group = [x[1] for x in mine] if len(mine) >= 2 and len({x[3] for x in mine}) == 2 else []
+        sizes.add(len(group))
+        own, before, told = int(s[1:]), "yes", []
+        schedule = list(itertools.chain.from_iterable(([("group", None)] if i == 0 and group else []) + [("edge", x)] for i, x in enumerate(mine)))
+        for kind, x in schedule:
+            if kind == "edge":
+                told.append(x)
+            seen = mine if len(group) == 2 and told else told
+            above = [x2 for x2 in seen if int(x2[1][1:]) <= own]
+            deepest = max(above, key=lambda x2: int(x2[1][1:]), default=None)
+            now = "yes" if deepest is None or deepest[3] == "defeasible_has_property" else "no"
+            if kind == "group":
+                what, at, src = "no effect", mine[0][4] - 0.5, None
+            else:
+                has = x[3] == "defeasible_has_property"
+                at, src = float(x[4]), x[1]
+                if s in group and s != src:
+                    what = "weaken" if has else "strengthen"
+                elif before != now:
+                    what = "strengthen" if now == "yes" else "weaken"
+                else:
+                    what = "strengthen" if has else "weaken"
+            expected.append((g, s, at, kind, src, now, what))
+            before = now
+    assert {2, 3} <= sizes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
