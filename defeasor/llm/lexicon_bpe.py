@@ -313,7 +313,7 @@ class Encoder(dict):
         yield from self._joined(held)
 
     def _joined(self, held: list[list[bytes | list[str]]]) -> Iterator[bytes]:
-        self.learn({w for cut in held for part in cut if not isinstance(part, bytes) for w in part})
+        self.learn(set().union(*[part for cut in held for part in cut if not isinstance(part, bytes)]))
         for cut in held:
             yield b"".join([part if isinstance(part, bytes) else b"".join(map(self.__getitem__, part)) for part in cut])
 
