@@ -230,3 +230,33 @@ def icc_interval(results: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     a = a.withColumn("v", F.pow(u + v, F.lit(2.0)) / (u * u / (k - 1) + v * v / ((n - 1) * (k - 1))))
     rest, lo, hi = k * c + (k * n - k - n) * e, f_quantile(z, n - 1, F.col("v")), f_quantile(z, F.col("v"), n - 1)
     return a.select(r6(icc).alias("icc"), r6(n * (r - lo * e) / (lo * rest + n * r)).alias("ci_low"), r6(n * (hi * r - e) / (rest + n * hi * r)).alias("ci_high"))
+
+
+def odds_ratio(cells: DataFrame, by: list[str], z: float = 1.959963984540054) -> DataFrame:
+    """by, odds ratio of right answers (a right, b wrong) in the first condition against the second (c right, d wrong), its
+    interval and p value. Half a count is added to each of the four, so that none is empty."""
+    g = cells.select(*by, *[(F.col(c) + 0.5).cast("double").alias(c) for c in "abcd"])
+    g = g.withColumns({"log_or": F.log(F.col("a") * F.col("d") / (F.col("b") * F.col("c"))), "se": F.sqrt(1 / F.col("a") + 1 / F.col("b") + 1 / F.col("c") + 1 / F.col("d"))})
+    bound = lambda sign: r6(F.exp(F.col("log_or") + sign * F.lit(z) * F.col("se")))
+    p = chi_squared_tail(F.pow(F.col("log_or") / F.col("se"), F.lit(2.0)), 1)
+    return g.select(*by, r6(F.exp("log_or")).alias("odds_ratio"), bound(-1).alias("ci_low"), bound(1).alias("ci_high"), p.alias("p"))
+
+
+def holm(tests: DataFrame, family: list[str], order: list[str], p: str = "p") -> DataFrame:
+    """tests with p_holm: the step-down correction inside each family. With m tests the k-th smallest p value counts m - k + 1
+    times, no less than those before it and one at most; null p values are no tests and stay null. A family is a set of
+    planned tests, which one window partition holds."""
+    w = Window.partitionBy(*family, F.col(p).isNull())
+    ranked = w.orderBy(p, *order)
+    m, k = F.count(F.lit(1)).over(w), F.row_number().over(ranked)
+    steps = tests.withColumn("__step", (m - k + 1) * F.col(p))
+    return steps.withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("__step").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))))).drop("__step")
+
+
+def bias_tests(results: DataFrame) -> DataFrame:
+    """(topology, model, odds_ratio, ci_low, ci_high, p_holm, significant) of congruent (C1) against incongruent (C2) items, corrected
+    for the models of a topology."""
+    n = lambda cls, right: F.count_if((F.col("cls") == cls) & (F.col("correct") == right))
+    cells = results.groupBy("topology", "model").agg(n("C1", 1).alias("a"), n("C1", 0).alias("b"), n("C2", 1).alias("c"), n("C2", 0).alias("d"))
+    tests = holm(odds_ratio(cells, ["topology", "model"]), ["topology"], ["model"])
+    return tests.select("topology", "model", "odds_ratio", "ci_low", "ci_high", r6("p_holm").alias("p_holm"), (F.col("p_holm") < 0.05).alias("significant"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics, dialogues, distinct, generate, pools, records, structures, text
 from ..sources.views import graph_keys, results, table
 from .datasets import DG, _graphs
-from .oracle import BUSHY, CONCEPT, ISA, LEAF, LIN, SA, _key, _unit
+from .oracle import BUSHY, CONCEPT, ISA, LEAF, LIN, R, SA, _key, _unit
 from .population import query
 
 
@@ -148,3 +148,13 @@ def linear_group_replay(spark, sf):
     lin = generate.linear_graphs(spark, graph_keys(spark, sf))
     layers = lin.where("type = 'inheritance'").select("graph_id", F.col("src").alias("node"), "layer")
     return records.grouped_replay(lin, layers, layers.select("graph_id", F.col("node").alias("subject")))
+
+
+@query(R + """, k AS (SELECT topology, model, count(*) FILTER (cls = 'C1' AND correct = 1) + 0.5::DOUBLE AS a, count(*) FILTER (cls = 'C1' AND correct = 0) + 0.5::DOUBLE AS b, count(*) FILTER (cls = 'C2' AND correct = 1) + 0.5::DOUBLE AS c, count(*) FILTER (cls = 'C2' AND correct = 0) + 0.5::DOUBLE AS d FROM x GROUP BY ALL),
+l AS (SELECT topology, model, ln(a * d / (b * c)) AS l, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM k), z AS (SELECT *, abs(l / se) AS z FROM l), t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z / 2::DOUBLE ** 0.5::DOUBLE) AS t FROM z),
+p AS (SELECT *, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-z * z / 2) AS p FROM t),
+h AS (SELECT *, (count(*) OVER (PARTITION BY topology) - row_number() OVER (PARTITION BY topology ORDER BY p, model) + 1) * p AS step FROM p), s AS (SELECT *, least(1.0::DOUBLE, max(step) OVER (PARTITION BY topology ORDER BY p, model)) AS p_holm FROM h)
+SELECT topology, model, round(exp(l), 6) AS odds_ratio, round(exp(l - 1.959963984540054::DOUBLE * se), 6) AS ci_low, round(exp(l + 1.959963984540054::DOUBLE * se), 6) AS ci_high, round(p_holm, 6) AS p_holm, p_holm < 0.05 AS significant FROM s""")
+def bias_odds(spark, sf):
+    """Odds ratios of congruent against incongruent items with intervals, p values corrected step by step for the models."""
+    return analytics.bias_tests(results(spark, sf))
