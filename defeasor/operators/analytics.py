@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.special import f_quantile, normal_tails
+
 #: Six decimals, as oracles compare.
 def r6(x: Column) -> Column:
     return F.round(x, 6)
@@ -175,7 +177,7 @@ def length_trend(results: DataFrame) -> DataFrame:
 
 
 def chi_squared_tail(x: Column, df: int) -> Column:
-    """P(chi-squared > x): exact sums for an even number of degrees of freedom, and for an odd one with the normal tail to 2e-7."""
+    """P(chi-squared > x): finite sums for an even number of degrees of freedom, and for an odd one with the normal tail."""
     half, out = x / 2, F.lit(0.0)
     if df % 2 == 0:
         term = F.lit(1.0)
@@ -184,13 +186,11 @@ def chi_squared_tail(x: Column, df: int) -> Column:
             out = out + term
         return F.exp(-half) * out
     z = F.sqrt(x)
-    t = 1 / (1 + 0.3275911 * z / 2**0.5)
-    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-half)
     term = z * (2 / 3.141592653589793) ** 0.5 * F.exp(-half)
     for i in range(1, (df + 1) // 2):
         out = out + term
         term = term * x / (2 * i + 1)
-    return tail + out
+    return normal_tails(z) + out
 
 
 def kruskal_test(results: DataFrame, models: int) -> DataFrame:
@@ -206,16 +206,9 @@ def paired_mcnemar(turns: DataFrame) -> DataFrame:
     return g.select("model", "b", "c", r6(stat).alias("chi2"), r6(F.when(stat.isNotNull(), chi_squared_tail(stat, 1))).alias("p"))
 
 
-def f_quantile(z: float, d1: Column, d2: Column) -> Column:
-    """The quantile of F(d1, d2) at a normal quantile z > 0, by the cube-root approximation."""
-    a, b = 2 / (9 * d1), 2 / (9 * d2)
-    # ((1 - b) u - (1 - a))^2 = z^2 (b u^2 + a), the larger root
-    p, q, r = (1 - b) * (1 - b) - z * z * b, (1 - a) * (1 - b), (1 - a) * (1 - a) - z * z * a
-    return F.pow((q + F.sqrt(q * q - p * r)) / p, F.lit(3.0))
-
-
-def icc_interval(results: DataFrame, z: float = 1.959963984540054) -> DataFrame:
-    """ICC(2,1) with its interval: two-way random effects, absolute agreement, Satterthwaite's degrees of freedom."""
+def icc_interval(results: DataFrame, level: float = 0.95) -> DataFrame:
+    """ICC(2,1) with its interval: two-way random effects, absolute agreement, Satterthwaite's degrees of freedom and exact
+    quantiles of F."""
     s = seed_accuracy(results)
     by = lambda c, name: s.groupBy(c).agg(F.avg("acc").alias(name))
     x = s.join(by("model", "rm"), "model").join(by("seed", "cm"), "seed").join(F.broadcast(s.agg(F.avg("acc").alias("gm"))))  # one row
@@ -228,7 +221,7 @@ def icc_interval(results: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     icc = F.col("icc")
     u, v = k * icc / (n * (1 - icc)) * c, (1 + k * icc * (n - 1) / (n * (1 - icc))) * e
     a = a.withColumn("v", F.pow(u + v, F.lit(2.0)) / (u * u / (k - 1) + v * v / ((n - 1) * (k - 1))))
-    rest, lo, hi = k * c + (k * n - k - n) * e, f_quantile(z, n - 1, F.col("v")), f_quantile(z, F.col("v"), n - 1)
+    rest, lo, hi = k * c + (k * n - k - n) * e, f_quantile((1 + level) / 2, n - 1, F.col("v")), f_quantile((1 + level) / 2, F.col("v"), n - 1)
     return a.select(r6(icc).alias("icc"), r6(n * (r - lo * e) / (lo * rest + n * r)).alias("ci_low"), r6(n * (hi * r - e) / (rest + n * hi * r)).alias("ci_high"))
 
 

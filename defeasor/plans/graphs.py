@@ -72,19 +72,21 @@ def trait_sampling(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.array_join(pools.traits(F.col("c_custkey"), 5), ",").alias("traits"))
 
 
-_Q = "pow(({q} + sqrt({q} * {q} - {p} * {r})) / {p}, 3)"
-
-
 def _f(d1: str, d2: str) -> str:
-    a, b, z = f"(2.0::DOUBLE / (9 * ({d1})))", f"(2.0::DOUBLE / (9 * ({d2})))", "1.959963984540054::DOUBLE"
-    return _Q.format(p=f"((1 - {b}) * (1 - {b}) - {z} * {z} * {b})", q=f"((1 - {a}) * (1 - {b}))", r=f"((1 - {a}) * (1 - {a}) - {z} * {z} * {a})")
+    """The 0.975 quantile of F(d1, d2) in SQL: bisection over the angle t of the beta density in sin(t)^2, integrated by
+    Simpson's rule."""
+    density = f"CASE WHEN i = 0 THEN 0 ELSE exp(({d1} - 1) * ln(sin(t * i / 2000)) + ({d2} - 1) * ln(cos(t * i / 2000))) END"
+    below = f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density}))) * t / 6000"
+    share = f"2 * exp(lgamma(({d1} + {d2}) / 2) - lgamma({d1} / 2) - lgamma({d2} / 2)) * {below}"
+    half = f"SELECT v, d, (lo + hi) / 2 AS t, lo, hi, step FROM b WHERE step < 55"
+    return f"(WITH RECURSIVE b(lo, hi, step, v, d) AS (SELECT 0::DOUBLE, pi() / 2, 0, v.v, v.n - 1 FROM v UNION ALL SELECT CASE WHEN {share} < 0.975 THEN t ELSE lo END, CASE WHEN {share} < 0.975 THEN hi ELSE t END, step + 1, v, d FROM ({half})) SELECT {d2} / {d1} * tan(lo) ** 2 FROM b WHERE step = 55)"
 
 
 @query(SA + f""", a AS (SELECT *, avg(acc) OVER (PARTITION BY model) AS rm, avg(acc) OVER (PARTITION BY seed) AS cm, avg(acc) OVER () AS gm FROM sa),
 b AS (SELECT count(DISTINCT model)::DOUBLE AS n, count(DISTINCT seed)::DOUBLE AS k, sum((rm - gm) ** 2) AS r, sum((cm - gm) ** 2) AS c, sum((acc - rm - cm + gm) ** 2) AS e FROM a),
 m AS (SELECT n, k, r / (n - 1) AS r, c / (k - 1) AS c, e / ((n - 1) * (k - 1)) AS e FROM b), i AS (SELECT *, (r - e) / (r + (k - 1) * e + k * (c - e) / n) AS icc FROM m),
 w AS (SELECT *, k * icc / (n * (1 - icc)) * c AS u, (1 + k * icc * (n - 1) / (n * (1 - icc))) * e AS t, k * c + (k * n - k - n) * e AS rest FROM i), v AS (SELECT *, (u + t) ** 2 / (u * u / (k - 1) + t * t / ((n - 1) * (k - 1))) AS v FROM w),
-f AS (SELECT *, {_f('n - 1', 'v')} AS lo, {_f('v', 'n - 1')} AS hi FROM v) SELECT round(icc, 6) AS icc, round(n * (r - lo * e) / (lo * rest + n * r), 6) AS ci_low, round(n * (hi * r - e) / (rest + n * hi * r), 6) AS ci_high FROM f""")
+f AS (SELECT *, {_f('d', 'v')} AS lo, {_f('v', 'd')} AS hi FROM v) SELECT round(icc, 6) AS icc, round(n * (r - lo * e) / (lo * rest + n * r), 6) AS ci_low, round(n * (hi * r - e) / (rest + n * hi * r), 6) AS ci_high FROM f""")
 def icc_with_interval(spark, sf):
     return analytics.icc_interval(results(spark, sf))
 
@@ -151,8 +153,8 @@ def linear_group_replay(spark, sf):
 
 
 @query(R + """, k AS (SELECT topology, model, count(*) FILTER (cls = 'C1' AND correct = 1) + 0.5::DOUBLE AS a, count(*) FILTER (cls = 'C1' AND correct = 0) + 0.5::DOUBLE AS b, count(*) FILTER (cls = 'C2' AND correct = 1) + 0.5::DOUBLE AS c, count(*) FILTER (cls = 'C2' AND correct = 0) + 0.5::DOUBLE AS d FROM x GROUP BY ALL),
-l AS (SELECT topology, model, ln(a * d / (b * c)) AS l, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM k), z AS (SELECT *, abs(l / se) AS z FROM l), t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z / 2::DOUBLE ** 0.5::DOUBLE) AS t FROM z),
-p AS (SELECT *, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-z * z / 2) AS p FROM t),
+l AS (SELECT topology, model, ln(a * d / (b * c)) AS l, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM k), z AS (SELECT *, abs(l / se) AS z FROM l),
+p AS (SELECT *, CASE WHEN z > 8 THEN 0 ELSE 1 - sqrt(2 / pi()) * z * exp(-z * z / 2) * list_reduce(list_reverse(range(1, 150)), lambda t, n: 1 + z * z / (2 * n + 1) * t, 1::DOUBLE) END AS p FROM z),
 h AS (SELECT *, (count(*) OVER (PARTITION BY topology) - row_number() OVER (PARTITION BY topology ORDER BY p, model) + 1) * p AS step FROM p), s AS (SELECT *, least(1.0::DOUBLE, max(step) OVER (PARTITION BY topology ORDER BY p, model)) AS p_holm FROM h)
 SELECT topology, model, round(exp(l), 6) AS odds_ratio, round(exp(l - 1.959963984540054::DOUBLE * se), 6) AS ci_low, round(exp(l + 1.959963984540054::DOUBLE * se), 6) AS ci_high, round(p_holm, 6) AS p_holm, p_holm < 0.05 AS significant FROM s""")
 def bias_odds(spark, sf):

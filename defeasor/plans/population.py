@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import generate, populate, text
+from ..operators import generate, populate, text, walks
+from ..functions.hashing import number
+from ..functions.stored import fresh_path
+from ..sources.documents import read_documents
 from ..sources.views import graph_keys, results, table, taxonomy_edges
 from .oracle import BUSHY, LIN, R, T, _key, _num, _unit
 
@@ -60,18 +63,31 @@ def irrelevant_attribute_sampling(spark, sf):
     return populate.irrelevant_sample(p, p, p.distinct(), p.distinct().where("false"), 3)
 
 
-@query()
+def _grown(chain: int) -> str:
+    """Property trees in SQL: each step draws one of the nodes that still take a child, for every graph."""
+    room = lambda i: f"CASE WHEN {_unit('wide', 'id', i)} < 0.3 THEN 2 + {_num('cap', 'id', i)} % 2 ELSE 1 END"
+    node = lambda i, parent, layer: f"{{'node': CAST({i} AS INT), 'parent': CAST({parent} AS INT), 'layer': CAST({layer} AS INT), 'room': CAST({room(i)} AS INT)}}"
+    return f"""RECURSIVE gr(id, i, ns) AS (SELECT id, 1, [{node('0', '-1', '1')}] FROM (SELECT c_custkey AS id FROM customer) UNION ALL SELECT id, i + 1, list_append(list_transform(ns, lambda x: {{'node': x.node, 'parent': x.parent, 'layer': x.layer, 'room': CAST(CASE WHEN x.node = c.node THEN x.room - 1 ELSE x.room END AS INT)}}), {node('i', 'c.node', 'c.layer + 1')})
+ FROM (SELECT id, i, ns, free[{_num('parent', 'id', 'i')} % len(free) + 1] AS c FROM (SELECT id, i, ns, list_filter(ns, lambda x: x.room > 0) AS free FROM gr WHERE i < {chain}))),
+tr AS (SELECT graph_id, x.node AS node, x.parent AS parent, x.layer AS layer FROM (SELECT id AS graph_id, unnest(ns) AS x FROM gr WHERE i = {chain}))"""
+
+
+_OPEN = "EXISTS (SELECT 1 FROM tr k WHERE k.graph_id = tr.graph_id AND k.parent = tr.node)"
+
+
+@query(f"WITH {_grown(5)} SELECT * FROM tr")
 def default_tree_generate(spark, sf):
-    """Grown node by node; tests hold its invariants."""
+    """Grown node by node under a node that still takes a child."""
     return populate.grown_trees(spark, graph_keys(spark, sf))
 
 
-@query()
+@query(f"WITH {_grown(5)} SELECT graph_id, node AS target FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY layer DESC, CAST(node AS VARCHAR) DESC) AS r FROM tr WHERE NOT {_OPEN}) WHERE r = 1")
 def default_tree_target(spark, sf):
     return populate.tree_target(populate.grown_trees(spark, graph_keys(spark, sf)))
 
 
-@query()
+@query(f"""WITH {_grown(7)}, p AS (SELECT * FROM (SELECT graph_id, node, layer, unnest(range(0, 4)) AS object FROM tr WHERE layer > 1 AND {_OPEN}) WHERE {_unit('oev', 'graph_id', 'node', 'object')} < 0.5)
+SELECT graph_id, CAST(object AS INT) AS object, node, layer, CASE WHEN {_unit('osign', 'graph_id', 'node', 'object')} < 0.5 THEN 1 ELSE -1 END AS pol, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY layer, node, {_key('oord', 'graph_id', 'node', 'object')}, object) AS INT) AS serial FROM p""")
 def default_object_evidence(spark, sf):
     return populate.object_evidence(populate.grown_trees(spark, graph_keys(spark, sf), chain=7), 4)
 
@@ -152,3 +168,43 @@ def json_tokens(spark, sf):
 def object_graph_children(spark, sf):
     k = taxonomy_edges(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first_child"), F.max("src").alias("last_child"))
     return k.join(F.broadcast(k.agg(F.sum("n").alias("n_edges"))))  # one row
+
+
+def _links(spark, sf) -> DataFrame:
+    """Urgent orders as relations between customers: the buyer is the parent of the customer that the order's hash names."""
+    n = table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").join(F.broadcast(n))  # one row
+    return o.select(F.col("o_custkey").alias("parent"), (1 + number("link", "o_orderkey") % F.col("n")).alias("child"))
+
+
+_LINKS = f"""lk AS (SELECT o_custkey AS parent, 1 + {_num('link', 'o_orderkey')} % (SELECT count(*) FROM customer) AS child FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, w(root, node, depth) AS (SELECT r, r, 0 FROM (SELECT min(c_custkey) AS r FROM customer GROUP BY c_nationkey) UNION SELECT root, child, depth + 1 FROM w JOIN lk ON lk.parent = w.node WHERE depth < 80)
+SELECT root, node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY ALL""")
+def walk_to_the_end(spark, sf):
+    """What is reached from the first customer of each nation, however far; the relations have cycles. (The SQL bounds its steps,
+    which would not end on a cycle; the walk does not.)"""
+    roots = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("root"))
+    return walks.reached_all(_links(spark, sf), roots)
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT least(parent, child) AS parent, greatest(parent, child) AS child FROM lk WHERE parent <> child), w(node, depth) AS (SELECT c_custkey, 0 FROM customer UNION SELECT child, depth + 1 FROM w JOIN e ON e.parent = w.node),
+k AS (SELECT parent AS node, count(*) AS n FROM e GROUP BY 1) SELECT node, CAST(max(depth) AS INT) AS depth, CAST(coalesce(max(n), 0) AS BIGINT) AS n_children FROM w LEFT JOIN k USING (node) GROUP BY node""")
+def longest_ways(spark, sf):
+    """The depth of each customer by its longest way, and its children, with the lower key of a relation as the parent."""
+    e = _links(spark, sf).where("parent <> child").select(F.least("parent", "child").alias("parent"), F.greatest("parent", "child").alias("child"))
+    return walks.longest_depths(e, table(spark, sf, "customer").select(F.col("c_custkey").alias("node")))
+
+
+@query("""WITH m AS (SELECT n_name AS task, unnest([1, 2]) AS run FROM nation), s AS (SELECT n_name AS task, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT m.task, run, count(s_name) AS n, coalesce(string_agg(s_name, '|' ORDER BY s_name), '') AS entities FROM m LEFT JOIN s USING (task) GROUP BY ALL""")
+def appended_runs(spark, sf):
+    """Two runs of a task in one file, the second one appended right behind the first, read back document by document."""
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list("s_name")).alias("e"))  # names of one nation
+    t = table(spark, sf, "nation").join(s, "n_nationkey", "left").select(F.col("n_name").alias("task"), F.coalesce("e", F.array().cast("array<string>")).alias("entities"))
+    run = lambda i: F.to_json(F.struct("task", F.lit(i).alias("run"), "entities", F.lit('}{ "\\').alias("note")), {"pretty": "true"})
+    path = fresh_path(spark, "runs")
+    t.select(F.concat(run(1), run(2))).write.text(path)
+    d = read_documents(spark, path).select(F.from_json("text", "task string, run int, entities array<string>").alias("d")).select("d.*")
+    return d.select("task", "run", F.size("entities").cast("bigint").alias("n"), F.array_join("entities", "|").alias("entities"))
