@@ -10,10 +10,12 @@ becomes one blank; character references are decoded; br counts as white space.
 
 Edge cases: null and empty pages, pages without tags' worth of words and pages of boilerplate only give the empty text;
 unclosed elements end with the element around them or where HTML implies it; no element that is or holds the article (the
-main element, else the longest article; on pages without either, over half of the words) is boilerplate; a page without any tag is one block of text. Repeated rows are read each for itself.
+main element, else the longest article; on pages without either, over half of the words) is boilerplate, but reader comments,
+and articles in them, always are; a headline outside of the article is none of its text; a "<" that begins no whole tag is text;
+a page without any tag is one block of text. Repeated rows are read each for itself.
 Empty tables give empty results. Only the named columns are read.
 
-Scale: one pass in place, no shuffle; memory is that of one batch of pages.
+Scale: in place, no shuffle; time is linear in a page's length, also for tags that never close; memory is that of one batch of pages.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ from pyspark.sql import types as T
 
 from .util import small_batches
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<svg\b(?:[^>"']|"[^"]*"|'[^']*')*?/>|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|head\b(?=\s*/))\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
+#: Attributes end before a "<" outside of quotes. Each quote sign permutes the states a scan can be in, so no more than three of the
+#: scans that begin at different tags run on over the same text: tags that never close cost linear time.
+_ATTRS = r"""(?:[^<>"']|"[^"]*"|'[^']*')"""
+_RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<svg\b{_ATTRS}*?/>|<(?P<raw>{_RAW}|head\b(?=\s*/))\b{_ATTRS}*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS}*+)>", re.S | re.I)
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|data-role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -42,10 +48,12 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
 _BOILER = frozenset("nav aside footer form menu dialog button fieldset".split())
 #: Fixed words by which class, id and role name boilerplate.
-_BOILER_HINTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus footer gdpr menu modal nav navbar navigation newsletter notice notices popup promo promoted recommended related replies respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+_BOILER_HINTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus footer gdpr menu modal nav navbar navigation newsletter notice notices popup promo promoted recommended related replies respond search share sharing sidebar siteinfo colophon social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Those of them that name reader comments, which no size makes the article.
+_COMMENT_HINTS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Parts that turn a hint into a statement about the page, and parts that only say which piece of a hint it is.
-_MODIFIERS = frozenset("has have no not with without enabled disabled enable disable is hide show open closed".split())
-_LAYOUT = frozenset("area bar block body bottom box btn button buttons col column container content group inner item items left link links list outer panel primary right row secondary section thread title top wrap wrapper".split())
+_MODIFIERS = frozenset("has have no not with without enabled disabled enable disable is hide show open closed type".split())
+_LAYOUT = frozenset("area article articles bar block body bottom box btn button buttons col column container content form group inner item items left link links list outer panel post posts primary right row secondary section signup slot stories story thread title top unit wrap wrapper".split())
 _P = frozenset(["p"])
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li dd dt main menu nav ol p pre section table ul".split())
 _SCOPE = frozenset("button caption html marquee table td th".split())
@@ -59,27 +67,31 @@ _NEVER_WHOLE = frozenset("nav aside footer menu dialog button header".split())
 Item = tuple[str, str, str, int]  # kind of token, what (tag name or words), place, position in the page
 
 
-def _names_boilerplate(value: str) -> bool:
+def _names(value: str, hints: frozenset[str]) -> bool:
     """Whether a word of a class, id or role does: it or its last part is a hint, or its first one before parts of layout."""
     for word in value.lower().split():
         parts = _PARTS.findall(word)
         if not parts or not _MODIFIERS.isdisjoint(parts):
             continue
+        if "".join(parts) in hints:
+            return True
         while len(parts) > 1 and parts[-1] in _LAYOUT:
             parts.pop()
-        if parts[-1] in _BOILER_HINTS:
+        if parts[-1] in hints:
             return True
     return False
 
 
+def _hinted(attrs: str, hints: frozenset[str]) -> bool:
+    return "=" in attrs and any(_names("".join(m), hints) for m in _HINT.findall(attrs))
+
+
 def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
     if name in _BOILER or (name == "header" and not in_main):
         return True
     if name in ("html", "body", "main") or "=" not in attrs and "hidden" not in attrs.lower():
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(_names_boilerplate("".join(m)) for m in _HINT.findall(attrs))
+    return bool(_HIDDEN.search(attrs)) or _hinted(attrs, _BOILER_HINTS)
 
 
 def _elements(tokens: list[re.Match]) -> dict[int, int]:
@@ -87,15 +99,23 @@ def _elements(tokens: list[re.Match]) -> dict[int, int]:
     end of an element around it, or where HTML implies its end."""
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = {}  # places in the stack by name, and of all elements that are not inline
+
+    def top(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
+    def cut(i: int, at: int) -> None:
+        for name, p in stack[i:]:
+            ends[p] = at
+            where[name].pop()
+            if name not in _INLINE:
+                where[""].pop()
+        del stack[i:]
 
     def close(names: frozenset[str], stop: frozenset[str], at: int) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                ends.update((p, at) for _, p in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+        i = top(names)
+        if i >= 0 and i >= top(stop):
+            cut(i, at)
 
     for at, m in enumerate(tokens):
         name = (m["name"] or "").lower()
@@ -103,13 +123,8 @@ def _elements(tokens: list[re.Match]) -> dict[int, int]:
             continue
         if m["close"]:
             if name in _INLINE:  # a stray one ends no block
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        ends.update((p, at) for _, p in stack[i:])
-                        del stack[i:]
-                    elif stack[i][0] in _INLINE:
-                        continue
-                    break
+                if top((name,)) > top(("",)):
+                    cut(top((name,)), at)
             else:
                 close(frozenset((name,)), frozenset() if name in _TABLE or name in ("body", "html") else _CELLS - {name}, at)
             continue
@@ -120,6 +135,8 @@ def _elements(tokens: list[re.Match]) -> dict[int, int]:
         if name in _CLOSES:
             close(*_CLOSES[name], at)
         if not (m["attrs"] or "").endswith("/"):
+            for key in (name,) if name in _INLINE else (name, ""):
+                where.setdefault(key, []).append(len(stack))
             stack.append((name, at))
     ends.update((p, len(tokens)) for _, p in stack)
     return ends
@@ -141,11 +158,20 @@ def read_page(page: str) -> list[Item]:
         at = m.end()
     n_before.append(n + _n_words(page[at:]))
     held = lambda p: n_before[ends[p]] - n_before[p]
-    mains = [p for p in ends if _is_main(tokens[p]["name"].lower(), tokens[p]["attrs"] or "") and held(p)]
+    comments, until = set(), -1  # elements of reader comments and all in them
+    for p in sorted(ends):
+        if p < until:
+            comments.add(p)
+        elif tokens[p]["name"].lower() not in ("html", "body") and _hinted(tokens[p]["attrs"] or "", _COMMENT_HINTS):
+            comments.add(p)
+            until = ends[p]
+    mains = [p for p in ends if p not in comments and _is_main(tokens[p]["name"].lower(), tokens[p]["attrs"] or "") and held(p)]
     the_main = max(mains, key=lambda p: (tokens[p]["name"].lower() != "article", held(p), -p), default=None)
 
     def whole(p: int, name: str) -> bool:
-        """Whether an element is or contains the article or, on pages without one, the bulk of the words."""
+        """Whether an element is or contains the article or, on pages without one, the bulk of the words; reader comments never."""
+        if p in comments:
+            return False
         if the_main is not None:
             return p <= the_main < ends[p]
         return name not in _NEVER_WHOLE and 2 * held(p) > n_before[-1]
