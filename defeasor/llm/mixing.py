@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import SPACE, WORD, copied, packed, row_keys, stash, unpacked, words
+from .util import SPACE, WORD, copied, one_each, packed, row_keys, stash, unpacked, words
 
 
 def with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
@@ -111,10 +111,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     b = budgets(with_sizes(docs, id_col, text_col, source_col, seed, first.alias("__k1"), second.alias("__k2")), **options)
     took = stash(b.select("__k1", "__k2", "__n", F.col("size").alias("__size"), (F.col("__epochs") * F.col("size") * F.col("__n") + F.col("__last")).alias("__taken")).where("__taken > 0"), "taken")
     epochs = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__taken") / F.col("__size")).cast("long") - 1)
-    out = whole.join(took.where("__n = 1"), ["__k1", "__k2"]).withColumn("__i", F.explode(epochs))
+    one = one_each(whole)
+    out = one.join(took.where("__n = 1"), ["__k1", "__k2"]).withColumn("__i", F.explode(epochs))
     if not (several := took.where("__n > 1")).isEmpty():  # one of equal rows, as often as all of them are taken
-        one = whole.join(several, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"])
-        out = out.union(copied(one, F.ceil(F.col("__taken") / F.col("__size")), "__i"))
+        out = out.union(copied(one.join(several, ["__k1", "__k2"]), F.ceil(F.col("__taken") / F.col("__size")), "__i"))
     take = F.least(F.col("__size"), F.col("__taken") - F.col("__i") * F.col("__size"))
     text = F.col("__row").getField(text_col)
     out = out.withColumn("__text", F.when(take < F.col("__size"), first_words(text, take)).otherwise(text))

@@ -13,8 +13,9 @@ other names are free.
 
 Scale: row numbers need no global sort. Rows are counted by a 128-bit hash of their content, which is all that is numbered:
 hashes go to buckets of some ``per_bucket`` of them (2**17 buckets at most), the driver sums up the buckets' rows, and a
-window numbers the hashes of a bucket. The rows meet their numbers in one join. Rows that are equal in all columns are one
-hash with a count: one of them is carried and copied by many tasks, so a row that a third of the table repeats meets in none.
+window numbers the hashes of a bucket. Rows that are equal in all columns are
+one hash with a count: repeats are dropped before rows are sent on, the rows that are left meet their numbers in one join, and
+copies are made by many tasks, so a row that a third of the table repeats meets in none.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .util import copied, packed, row_keys, stash
+from .util import copied, one_each, packed, row_keys, stash
 
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -98,8 +99,8 @@ def shard_rows(docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_id", t
         p = found.withColumn("__p", place("__at"))
         return p.select(*[F.col("__row").getField(c).alias(c) for c in kept.columns], F.lit("rows").alias("law"), F.pmod("__p", F.lit(n_shards)).cast("int").alias("shard"), F.floor(F.col("__p") / n_shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
-    out = placed(rows.join(numbers.where("__n = 1"), ["__k1", "__k2"]).withColumn("__at", F.col("__start")))
+    one = one_each(rows)
+    out = placed(one.join(numbers.where("__n = 1"), ["__k1", "__k2"]).withColumn("__at", F.col("__start")))
     if not (several := numbers.where("__n > 1")).isEmpty():
-        one = rows.join(several, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"])
-        out = out.union(placed(copied(one, F.col("__n"), "__i").withColumn("__at", F.col("__start") + F.col("__i"))))
+        out = out.union(placed(copied(one.join(several, ["__k1", "__k2"]), F.col("__n"), "__i").withColumn("__at", F.col("__start") + F.col("__i"))))
     return out

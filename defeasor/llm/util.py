@@ -85,6 +85,12 @@ def row_keys(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), nulls, *cols), F.xxhash64(F.lit(2), nulls, *cols)
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """One of each group of rows that agree in __k1 and __k2. Tasks drop repeats before they send rows on, so a row that a
+    third of the table repeats reaches the task of its keys once from each of them; a join by the keys needs no other exchange."""
+    return rows.dropDuplicates(["__k1", "__k2"])
+
+
 def copied(df: DataFrame, n: Column, name: str, chunk: int = 1000) -> DataFrame:
     """Each row n times, numbered from 0 in column `name`; the copies of one row are made by many tasks, chunk by chunk."""
     parts = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(n / chunk) - 1)))).repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
