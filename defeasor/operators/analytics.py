@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.once import once
 from ..functions.special import f_quantile, normal_tails
 
 #: Six decimals, as oracles compare.
@@ -221,7 +222,8 @@ def icc_interval(results: DataFrame, level: float = 0.95) -> DataFrame:
     icc = F.col("icc")
     u, v = k * icc / (n * (1 - icc)) * c, (1 + k * icc * (n - 1) / (n * (1 - icc))) * e
     a = a.withColumn("v", F.pow(u + v, F.lit(2.0)) / (u * u / (k - 1) + v * v / ((n - 1) * (k - 1))))
-    rest, lo, hi = k * c + (k * n - k - n) * e, f_quantile((1 + level) / 2, n - 1, F.col("v")), f_quantile((1 + level) / 2, F.col("v"), n - 1)
+    a = once(once(a, freedom=F.col("v")), lo=f_quantile((1 + level) / 2, n - 1, F.col("freedom")), hi=f_quantile((1 + level) / 2, F.col("freedom"), n - 1))
+    rest, lo, hi = k * c + (k * n - k - n) * e, F.col("lo"), F.col("hi")
     return a.select(r6(icc).alias("icc"), r6(n * (r - lo * e) / (lo * rest + n * r)).alias("ci_low"), r6(n * (hi * r - e) / (rest + n * hi * r)).alias("ci_high"))
 
 
