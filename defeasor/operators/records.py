@@ -185,7 +185,7 @@ def group_schedule(edges: DataFrame) -> DataFrame:
     """
     ev = edges.where(F.col("type").isin(*EVIDENCE)).select("graph_id", F.col("src").alias("source"), F.col("dst").alias("target"), (F.col("type") == EVIDENCE[0]).cast("int").alias("pol"), F.coalesce("serial", F.lit(0)).alias("serial"))
     g = ev.groupBy("graph_id", "target").agg(F.array_sort(F.collect_list("source")).alias("members"), F.count_distinct("pol").alias("kinds"), F.min("serial").alias("first")).where("size(members) >= 2 and kinds = 2").drop("kinds")  # a target's classes
-    of = ev.join(g, ["graph_id", "target"], "left")
+    of = ev.join(g.hint("merge"), ["graph_id", "target"], "left")
     inferred = F.when(F.size("members") == 2, F.col("first")).otherwise(F.col("serial"))
     each = of.select("graph_id", F.col("serial").cast("double").alias("at"), F.lit("edge").alias("kind"), "source", "target", "pol", "members", inferred.cast("double").alias("known_from"))
     announced = g.select("graph_id", (F.col("first") - 0.5).cast("double").alias("at"), F.lit("group").alias("kind"), F.lit(None).cast("string").alias("source"), "target", F.lit(None).cast("int").alias("pol"), "members", F.lit(None).cast("double").alias("known_from"))
@@ -198,18 +198,21 @@ def grouped_replay(edges: DataFrame, layers: DataFrame, asked: DataFrame) -> Dat
     layers: (graph_id, node, layer). The answer is the sign of the deepest evidence known at that moment, told or inferred, on the
     subject or above it (yes without any); an announcement changes nothing. The effect is that of ``effect``: for another member
     of the update's group the opposite of what the update says. What is known from when is one more row on the same axis as
-    the reveals, so one running maximum answers all; a graph's reveals meet its subjects once.
+    the reveals, so one running maximum answers all; a graph's reveals meet its subjects once. Generated graphs have several times
+    the size that Spark takes them for, so no side of a join is broadcast.
     """
     events = group_schedule(edges)
     depth = layers.select("graph_id", F.col("node").alias("source"), F.col("layer").alias("depth"))
-    e = events.join(depth, ["graph_id", "source"], "left")
-    s = asked.join(layers.select("graph_id", F.col("node").alias("subject"), F.col("layer").alias("own")), ["graph_id", "subject"])
-    code = F.when(F.col("depth") <= F.col("own"), F.col("depth") * 2 + F.col("pol"))
-    known = e.where("kind = 'edge'").join(s, "graph_id").select("graph_id", "subject", F.col("known_from").alias("at"), F.lit(0).alias("order"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("pol"), F.lit(None).cast("array<string>").alias("members"), code.alias("code"))
-    shown = e.join(s, "graph_id").select("graph_id", "subject", "at", F.lit(1).alias("order"), "kind", "source", "pol", "members", F.lit(None).cast("int").alias("code"))
+    e = events.join(depth.hint("merge"), ["graph_id", "source"], "left")
+    s = asked.join(layers.select("graph_id", F.col("node").alias("subject"), F.col("layer").alias("own")).hint("merge"), ["graph_id", "subject"])
+    met = e.join(s.hint("merge"), "graph_id").withColumn("code", F.when(F.col("depth") <= F.col("own"), F.col("depth") * 2 + F.col("pol")))
+    none = lambda kind: F.lit(None).cast(kind)
+    known = F.struct(F.col("known_from").alias("at"), F.lit(0).alias("order"), none("string").alias("kind"), none("string").alias("source"), none("int").alias("pol"), none("array<string>").alias("members"), F.col("code"))
+    shown = F.struct("at", F.lit(1).alias("order"), "kind", "source", "pol", "members", none("int").alias("code"))
+    line = met.select("graph_id", "subject", F.explode(F.when(F.col("kind") == "edge", F.array(known, shown)).otherwise(F.array(shown))).alias("x")).select("graph_id", "subject", "x.*")
     w = Window.partitionBy("graph_id", "subject")
     best = F.max("code").over(w.orderBy("at", "order", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    line = union_of(known, shown).withColumn("now", F.when(best.isNull() | (best % 2 == 1), "yes").otherwise("no")).where("kind is not null")
+    line = line.withColumn("now", F.when(best.isNull() | (best % 2 == 1), "yes").otherwise("no")).where("kind is not null")
     line = line.withColumn("before", F.coalesce(F.lag("now").over(w.orderBy("at", "source")), F.lit("yes")))
     kind = F.when(F.col("pol") == 1, EVIDENCE[0]).when(F.col("pol") == 0, EVIDENCE[1])
     other = F.coalesce(F.array_contains("members", F.col("subject")) & (F.col("subject") != F.col("source")), F.lit(False))

@@ -189,3 +189,12 @@ def test_grouped_replay(spark):
             before = now
     assert {2, 3} <= sizes
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_group_replay_broadcasts_nothing(spark, tmp_path):
+    """Generated graphs are larger than the estimates of their size, so the driver would take in what Spark calls small."""
+    from defeasor.plans.graphs import linear_group_replay
+
+    spark.range(40).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    plan = linear_group_replay(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
