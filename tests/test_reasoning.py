@@ -66,6 +66,28 @@ def test_resolver_of_joins(spark):
     assert {(r["graph_id"], r["subject"], r["target"], r["cutoff"]): r["answer"] for r in got.collect()} == expected
 
 
+def test_small_graphs_are_folded(spark, monkeypatch):
+    """Many small graphs are written a fixed number of times, however long their ways; by levels they give the same."""
+    rng, edges, asked = random.Random(14), [], []
+    for g in range(40):
+        nodes = [f"n{i}" for i in rng.sample(range(9), 9)]  # names say nothing of the order
+        edges += [(g, nodes[a], nodes[b], rng.choice("++-"), rng.choice([None, None, 1, 2])) for a in range(9) for b in range(a + 1, 9) if rng.random() < (0.3, 0.6)[g % 2]]
+        asked += [(g, nodes[x], nodes[y], cut) for x, y in ((0, 8), (0, 7), (1, 8), (3, 3), (8, 0)) for cut in (None, 0, 1)] + [(g, "no such", nodes[8], 1), (g, nodes[0], None, 1)]
+    edges += [(40, "a", "b", "+", None), (40, "b", "y", "-", None), (40, "u", "v", "+", None), (40, "v", "u", "+", None)]  # a cycle beside the part
+    asked += [(40, "a", "y", None), (41, "a", "y", None)]
+    edges = spark.createDataFrame(edges, "graph_id int, src string, dst string, sign string, serial int")
+    queries = spark.createDataFrame(asked, "graph_id int, subject string, target string, cutoff int")
+    tables, written = [], resolving.written
+    monkeypatch.setattr(resolving, "written", lambda df: tables.append(df) or written(df))
+    got = sorted(map(tuple, resolving.resolve_all(edges.where("graph_id < 40"), queries).collect()), key=str)
+    assert len(tables) <= 4
+    whole = sorted(map(tuple, resolving.resolve_all(edges, queries).collect()), key=str)
+    assert (40, "a", "y", None, "False") in whole and [r for r in whole if r[0] != 40] == [r for r in got if r[0] != 40]
+    assert len(got) == len(asked) and {r[4] for r in got} == {"True", "False", skeptical.UNKNOWN}
+    assert sorted(map(tuple, resolving.resolve_all(edges, queries, small=20).collect()), key=str) == whole
+    assert sorted(map(tuple, resolving.resolve_all(edges, queries, small=0).collect()), key=str) == whole
+
+
 def test_resolver_of_joins_on_one_large_graph(spark):
     """Layers of many nodes, none of which meets another layer in one task."""
     rng, width, depth = random.Random(13), 1500, 4
