@@ -279,13 +279,17 @@ def small_or_all(written: DataFrame, most: int = 1 << 20) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, rows: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The document of the smallest id of each __root, from rows (id, __hash, __fp) and of (__fp, __root)."""
-    each = stash(rows.withColumnRenamed(id_col, "__id").join(of, "__fp").groupBy("__root", "__id", "__hash").agg(F.count(F.lit(1)).alias("__n")), "rows")
+    """The document of the smallest id of each __root, from rows (id, __hash, __fp) and of (__fp, __root).
+
+    Rows are dealt by id and text only, and repeats of one are counted before; a fingerprint that many rows share is one row
+    with its smallest id, from partial minima, before it meets its root. So no task reads all copies of a text.
+    """
+    each = stash(rows.withColumnRenamed(id_col, "__id").groupBy("__id", "__hash", "__fp").agg(F.count(F.lit(1)).alias("__n")), "rows")
     first = F.min(F.struct(F.col("__id").isNull().alias("x"), F.col("__id"), F.col("__hash"), F.col("__n"))).alias("f")
-    keep = each.groupBy("__root").agg(first).select("__root", F.col("f.__id").alias("__k"), F.col("f.__hash").alias("__kh"), F.col("f.__n").alias("__kn"))
-    keep = stash(keep, "kept")
+    keep = each.groupBy("__fp").agg(first).join(of, "__fp").groupBy("__root").agg(F.min("f").alias("f"))
+    keep = stash(keep.select("__root", F.col("f.__id").alias("__k"), F.col("f.__hash").alias("__kh"), F.col("f.__n").alias("__kn")), "kept")
     chosen = F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__kh"))
-    gone = stash(each.join(keep, "__root").where(~chosen | (F.col("__n") > 1)).select("__id", "__hash"), "dropped")
+    gone = stash(each.join(keep.where("__kn = 1"), chosen, "left_anti").select("__id", "__hash"), "dropped")
     whole = packed(docs, __i=id_col, __h=F.xxhash64(text_col))
     same = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
     out = unpacked(whole.join(small_or_all(gone), same, "left_anti"), docs)
